@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) <= n:
         size = 1 << max(16, n.bit_length())
@@ -83,7 +83,7 @@ def word_spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word."""
-    pw, inv = _powers(len(buf) + 1)
+    pw, inv = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, U)
     np.cumsum(((_LOWER[buf] if lower else buf).astype(U) + U(1)) * pw[: len(buf)], out=sums[1:])
     return mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(U))
