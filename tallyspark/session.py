@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,3 +39,9 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are out of use, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
