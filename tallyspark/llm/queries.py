@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import jaccard_join, mixing, secrets, sharding, url_filter, warc
+from tallyspark.llm import decontaminate, jaccard_join, langid, mixing, passages, secrets, sharding, url_filter, warc, webp
 from tallyspark.llm.sql import ORACLE_SQL  # noqa: F401
+from tallyspark.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -54,6 +59,10 @@ def op5_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot")
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), **MIX)
 
@@ -62,7 +71,26 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read(written(webp.store(table(spark, sf_dir, "documents")), "media"))
+
+
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_jaccard_join, op4_secret_scan, op5_slot_sharding, op7_mix_budgets, op8_warc_revisits)
+    for f in (
+        op1_url_filter,
+        op2_jaccard_join,
+        op3_hyperdimensional_langid,
+        op4_secret_scan,
+        op5_slot_sharding,
+        op6_template_decontamination,
+        op7_mix_budgets,
+        op8_warc_revisits,
+        op9_webp_media,
+        op10_compact_windows,
+    )
 }
