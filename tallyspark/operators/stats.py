@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 
@@ -79,7 +80,7 @@ def class_thresholds(df: DataFrame, cls: str, score: str, correct: str, least_pr
     return g.groupBy(cls).agg(F.min(F.when(ok, F.col(score))).alias("threshold"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def clopper_pearson_upper(hits: pd.Series, n: pd.Series) -> pd.Series:
     """The exact 95 % upper bound of a share, by bisection on the binomial distribution."""
 
