@@ -74,8 +74,9 @@ def share(nodes: DataFrame, parent: list[str], budget: str, out: str) -> DataFra
     return df.withColumn(out, F.when(F.col("_full"), F.col("capacity")).otherwise(F.least(part, F.col("capacity")))).drop("_rest", "_w", "_full", "_level")
 
 
-def budgets(leaves: DataFrame, total: Column, weights: dict, max_epochs: int) -> DataFrame:
-    """Per leaf: its tokens and its budget. weights: {'domain': {name: int}, 'lang': {name: int}}, 1 where unnamed."""
+def budgets(leaves: DataFrame, total_share: tuple[int, int], weights: dict, max_epochs: int) -> DataFrame:
+    """Per leaf: its tokens and its budget. weights: {'domain': {name: int}, 'lang': {name: int}}, 1 where unnamed.
+    The root's budget is total_share (a, b), a/b of all tokens: one number for the driver."""
 
     def weight(level: str, c: str) -> Column:
         out = F.lit(1)
@@ -83,11 +84,12 @@ def budgets(leaves: DataFrame, total: Column, weights: dict, max_epochs: int) ->
             out = F.when(F.col(c) == name, F.lit(w)).otherwise(out)
         return out.cast("long")
 
+    a, b = total_share
+    tokens_in_all = leaves.agg(F.sum("leaf_tokens")).first()[0] or 0
     leaf = leaves.withColumn("capacity", F.col("leaf_tokens") * max_epochs)
     lang = leaf.groupBy("m_domain", "m_lang").agg(F.sum("capacity").alias("capacity"))
     domain = lang.groupBy("m_domain").agg(F.sum("capacity").alias("capacity"))
-    whole = domain.agg(F.sum("capacity").alias("all_tokens"))
-    d = domain.crossJoin(F.broadcast(whole.select(total.alias("root_budget")))).withColumn("weight", weight("domain", "m_domain")).withColumn("node_key", F.col("m_domain"))
+    d = domain.withColumn("root_budget", F.lit(tokens_in_all * a // b).cast("long")).withColumn("weight", weight("domain", "m_domain")).withColumn("node_key", F.col("m_domain"))
     d = share(d, ["root_budget"], "root_budget", "domain_budget").select("m_domain", "domain_budget")
     g = lang.join(d, "m_domain").withColumn("weight", weight("lang", "m_lang")).withColumn("node_key", F.col("m_lang"))
     g = share(g, ["m_domain"], "domain_budget", "lang_budget").select("m_domain", "m_lang", "domain_budget", "lang_budget")
@@ -102,10 +104,8 @@ def cuts(docs: DataFrame, *, total_share: tuple[int, int], weights: dict, domain
     """
     d = with_leaf(docs, domains)
     key = ["m_domain", "m_lang", "m_source"]
-    leaves = d.groupBy(*key).agg(F.sum("m_tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_docs"))
-    a, b = total_share
-    root = F.expr(f"cast(all_tokens div {max_epochs} * {a} div {b} as long)")
-    plan = budgets(leaves, root, weights, max_epochs)
+    leaves = small(d.groupBy(*key).agg(F.sum("m_tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_docs")))
+    plan = budgets(leaves, total_share, weights, max_epochs)
     plan = plan.withColumn("whole_epochs", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget div leaf_tokens")).otherwise(F.lit(max_epochs)).cast("long"))
     plan = plan.withColumn("left_tokens", F.col("leaf_budget") - F.col("whole_epochs") * F.col("leaf_tokens"))
     plan = plan.withColumn("ranges", F.ceil(F.col("leaf_docs") / RANGE_ROWS).cast("long"))
