@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells
-from tallyspark.operators import layout, queue, recipe, tables
+from tallyspark.operators import layout, matching, queue, recipe, tables
 from tallyspark.operators.reconcile import Spec, reconcile
 from tallyspark.plans.cleaning import CLASSIFIED, SPEC, sides
 from tallyspark.plans.registry import query, table
@@ -157,3 +157,40 @@ def t03(spark, d):
     html = "'<table><tr><td>a</td><td>' || n_name || '</td></tr><tr><td>b</td>' || CASE WHEN n_nationkey % 2 = 0 THEN '<td>c</td>' ELSE '' END || '</tr></table>'"
     c = tables.cells_of(table(spark, d, "nation").selectExpr("n_nationkey", f"{html} AS html"), "n_nationkey", "html")
     return tables.validate(c, ["n_nationkey"]).agg(F.count(F.lit(1)).alias("tables"), F.count_if("complete").alias("complete"))
+
+
+#: tables of three columns out of four rows of parts; the second version lost its row 1 and moved a column
+VERSION = "SELECT p_partkey // 4 AS t, p_partkey % 4 AS row, c.col, CASE c.col WHEN 0 THEN p_name || p_partkey WHEN 1 THEN 'x' ELSE p_brand || '-' || p_partkey END AS text FROM part, (VALUES (0), (1), (2)) AS c(col)"
+
+
+def versions(spark, d):
+    cols = F.array(*(F.struct(F.lit(i).alias("col"), t.alias("text")) for i, t in enumerate((F.concat("p_name", F.col("p_partkey").cast("string")), F.lit("x"), F.concat_ws("-", "p_brand", "p_partkey")))))
+    a = table(spark, d, "part").select(F.expr("p_partkey div 4").alias("t"), F.expr("p_partkey % 4").alias("row"), F.explode(cols).alias("c")).select("t", "row", "c.col", "c.text")
+    b = a.filter("row <> 1").withColumn("row", F.when(F.col("row") > 1, F.col("row") - 1).otherwise(F.col("row"))).withColumn("col", F.lit(2) - F.col("col"))
+    return a, b
+
+
+@query("j26_cell_correspondence", f"SELECT t, row, col, CASE WHEN row > 1 THEN row - 1 ELSE row END AS row_b, 2 - col AS col_b, true AS same FROM ({VERSION}) WHERE row <> 1 AND col <> 1")
+def j26(spark, d):
+    return matching.match_cells(*versions(spark, d), ["t"])
+
+
+@query("t05_reliability", "SELECT p_partkey // 4 AS t, 0.75::DOUBLE AS row_share, round(2.0::DOUBLE / 3, 6) AS col_share FROM part GROUP BY 1")
+def t05(spark, d):
+    return matching.reliability(*versions(spark, d), ["t"]).withColumn("col_share", F.round("col_share", 6))
+
+
+@query("t06_values_conserved", "SELECT p_partkey // 4 AS t, false AS conserved FROM part GROUP BY 1")
+def t06(spark, d):
+    return matching.values_conserved(*versions(spark, d), ["t"])
+
+
+@query("j31_set_join", "WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(p_name || ' ' || p_brand || ' ' || p_type, ' '))) AS items FROM part), m AS (SELECT items, min(id) AS id FROM s GROUP BY items) SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.items, y.items)) AS DOUBLE) / len(list_distinct(list_concat(x.items, y.items))) AS similarity FROM m x, m y WHERE x.id < y.id AND len(list_intersect(x.items, y.items)) >= 0.6 * len(list_distinct(list_concat(x.items, y.items)))")
+def j31(spark, d):
+    return matching.set_join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ").alias("items")), 0.6)
+
+
+@query("f30_roles", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(28,4)) AS paid, CAST(o_custkey AS DECIMAL(28,4)) AS owed FROM orders WHERE o_orderkey % 10 = 0")
+def f30(spark, d):
+    text = "'Paid: ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) || '; owed ' || o_custkey || ' units'"
+    return matching.roles(table(spark, d, "orders").filter("o_orderkey % 10 = 0").selectExpr("o_orderkey", f"{text} AS t"), "t", ["paid", "owed"]).drop("t")
