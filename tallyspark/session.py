@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def place(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is installed, however the driver found it."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in have:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only where it is unset (tests, a single machine) one is made."""
     sc = spark.sparkContext
