@@ -29,7 +29,7 @@ from tallyspark.session import written
 
 U = np.uint64
 WINDOW = 8
-COVER = 0.5
+COVER = 0.3
 MAP_BITS = 24
 #: fixed values: units of measure, currency and time that follow a number
 UNITS = (
