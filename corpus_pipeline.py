@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, jaccard_join, langid, mixing, sharding
 from tallyspark.llm.queries import DOMAINS, MIX
-from tallyspark.session import shared_path
+from tallyspark.session import place, shared_path
 
 #: cosine with the nearest language below which a document of some length is rejected, like one without letters
 LEAST_SCORE = 0.1
@@ -18,16 +18,19 @@ SHARDS = 8
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is recognised."""
+    place(spark)
     return langid.keep_known(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of the Jaccard join, the one with the least doc_id."""
+    place(spark)
     return jaccard_join.deduplicate(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark item."""
+    place(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
