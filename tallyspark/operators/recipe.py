@@ -18,7 +18,6 @@ from tallyspark.functions.money import strip
 
 OPERATORS = ("trim", "trim_columns", "rename", "map", "cast", "filter", "filter_compare", "group_summary", "duplicates")
 MAX_MAP = 1000
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 EXACT = "decimal(38,12)"
 
 
@@ -81,11 +80,21 @@ def map_values(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
     return df.withColumn(column, F.when(c["kind"] == "text", with_cell(c, c["kind"], F.coalesce(lookup[c["value"]], c["value"]))).otherwise(c).alias(column, metadata=df.schema[column].metadata))
 
 
-def plain_decimal(t: Column, whole: Column, frac: Column) -> Column:
-    """A decimal literal as written, without plus sign, padding zeros or a bare point; exponents are written out."""
-    text = F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.when(frac == "", "").otherwise(F.concat(F.lit("."), frac)))
-    written = F.regexp_replace(F.regexp_replace(t.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(t.rlike("[eE]"), written).otherwise(text)
+#: a number with white space around it, without and with an exponent
+PLAIN_NUMBER = r"(?U)^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
+EXPONENT_NUMBER = r"(?U)^\s*[+-]?(\d+(\.\d*)?|\.\d+)[eE][+-]?\d+\s*$"
+
+
+def plain_decimal(v: Column) -> Column:
+    """A decimal literal as written, without plus sign, padding zeros or a bare point; exponents are written out.
+
+    Each part is one replacement after the other on the same value, so a filter that Spark pushes below it stays small.
+    """
+    text = F.regexp_replace(v, r"(?U)^\s*\+?|\.?\s*$", "")
+    text = F.regexp_replace(text, r"^(?<s>-?)0+(?=\d)", "${s}")
+    text = F.regexp_replace(text, r"^(?<s>-?)\.", "${s}0.")
+    written = F.regexp_replace(v.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when(v.rlike(PLAIN_NUMBER), text).when(v.rlike(EXPONENT_NUMBER), written)
 
 
 #: fixed value: an ISO week date
@@ -96,13 +105,11 @@ def cast_value(df: DataFrame, c: Column, target: str) -> DataFrame:
     """df with _value, the cell's value as target, or null if it doesn't fit. Parts are columns, each computed once."""
     v = c["value"]
     if target in ("decimal", "integer"):
-        df = df.withColumn("_t", F.when((c["kind"] != "boolean") & strip(v).rlike(NUMBER), strip(v)))
-        df = df.withColumn("_w", F.regexp_extract("_t", r"^[+-]?0*(\d*)", 1)).withColumn("_f", F.regexp_extract("_t", r"\.(\d+)", 1))
-        df = df.withColumn("_value", plain_decimal(F.col("_t"), F.col("_w"), F.col("_f"))).drop("_w", "_f", "_t")
+        value = F.when(c["kind"] != "boolean", plain_decimal(v))
         if target == "integer":
-            whole = F.regexp_replace("_value", r"\.0*$", "")
-            df = df.withColumn("_value", F.when(~whole.contains("."), F.when(whole == "-0", "0").otherwise(whole)))
-        return df
+            whole = F.regexp_replace(value, r"^(-?\d+)\.0*$", "$1")
+            value = F.when(whole.rlike(r"^-?\d+$"), F.regexp_replace(whole, "^-0$", "0"))
+        return df.withColumn("_value", value)
     if target == "boolean":
         df = df.withColumn("_t", F.lower(strip(v)))
         return df.withColumn("_value", F.when(F.col("_t").isin("true", "1"), "true").when(F.col("_t").isin("false", "0"), "false")).drop("_t")
