@@ -142,21 +142,23 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
     """The columns keep, then lang_pred and score, for every row."""
     names = sorted(n for n, v in prototypes.items() if v.any())
     p = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), DIMS).T.astype(np.float32)
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_text"))
+    at = kept.columns.index("text" if "text" in keep else "_text")
+    n = len(keep)
     schema = kept.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            col = batch.column(batch.num_columns - 1)
+            col = batch.column(at)
             lang, score = [UND] * len(col), np.zeros(len(col))
             for a, _, texts in chunked(col):
-                v, n = bundles(texts)
+                v, letters_in = bundles(texts)
                 if names:
                     cos = (v @ p) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
                     best = cos.argmax(1)
-                    for i in np.flatnonzero(n):
+                    for i in np.flatnonzero(letters_in):
                         lang[a + i], score[a + i] = names[best[i]], min(1.0, max(0.0, round(float(cos[i, best[i]]), 6)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:n], "lang_pred", "score"])
 
     return kept.mapInArrow(rows, schema)
 
@@ -174,6 +176,7 @@ def keep_known(docs: DataFrame, least: float, short: int = 200, sample: int = SA
     ones hold too few trigrams to be rejected by score.
     """
     cols = docs.columns
-    rows = docs.select(F.struct(*cols).alias("_row"), "text")
-    known = (F.col("lang_pred") != UND) & ((F.length("_row.text") < short) | (F.col("score") >= least))
-    return predict(rows, train(docs, sample), ["_row"]).filter(known).select("_row.*")
+    rows = docs.select(F.struct(*(c for c in cols if c != "text"), F.length("text").alias("_length")).alias("_row"), "text")
+    known = (F.col("lang_pred") != UND) & ((F.col("_row._length") < short) | (F.col("score") >= least))
+    kept = predict(rows, train(docs, sample), ["_row", "text"]).filter(known)
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"_row.{c}") for c in cols))
