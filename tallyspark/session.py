@@ -18,20 +18,22 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: for Python workers: freed arrays go back to the system, as executors keep their workers
 WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "3000"
+#: Arrow batches: setting, Spark's default, ours
+BATCHES = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")]
 
 
 def place(spark: SparkSession) -> None:
     """Let Python workers import this package from where it is installed, however the driver found it, and keep their
-    memory small: texts are long, so Arrow batches have fewer rows unless the session asks for another number."""
+    memory small: texts are long, so Arrow batches are smaller unless the session asks for other sizes."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     for k, v in WORKER_ENV.items():
         env.setdefault(k, v)
-    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    for name, default, ours in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:
