@@ -10,6 +10,10 @@ map from the item's values to the document's must be a function, and one to one;
 count, else only those with the same values do. A document is contaminated by an item if the windows that count make up
 COVER of the item's windows.
 
+The same is asked of each occurrence by itself, as a text may hold an item with several sets of values, or other windows
+of its template: the matched windows of one alignment (place in the document minus place in the item), and those of
+alignments in a row. There windows without any fixed word count only if their values are the same.
+
 Defined cases: a null or empty text has no windows; an item shorter than WINDOW is one window of its whole sequence (met
 anywhere in documents), an item without words matches nothing; repeated items and rows each give their own rows, a
 repeated doc_id as one document; a null doc_id or item_id takes no part; an empty benchmark finds nothing.
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
@@ -146,9 +150,26 @@ def windows(df: DataFrame, widths: list[int] | None = None, bitmap=None) -> Data
     return df.mapInArrow(rows, WINDOWS)
 
 
+def occurrences(m: DataFrame, key: list[str], cover: float) -> DataFrame:
+    """key: those with an occurrence whose values map one to one and whose windows reach the cover."""
+    m = m.filter((F.size("slots") < F.col("width")) | (F.col("slots") == F.col("item_slots"))).withColumn("diag", F.col("at") - F.col("item_at"))
+    # alignments in a row shift by less than a window and an item
+    order = Window.partitionBy(*key).orderBy("diag")
+    step = F.col("diag") - F.lag("diag").over(order) > F.least(F.lit(WINDOW), F.col("windows") - 1)
+    m = m.withColumn("step", F.coalesce(step.cast("int"), F.lit(0))).withColumn("row", F.sum("step").over(order).cast("int"))
+    m = m.withColumn("occ", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("diag").alias("no")), F.struct(F.lit(1).alias("kind"), F.col("row").alias("no")))))
+    key = [*key, "occ"]
+    enough = m.groupBy(*key).agg(F.count_distinct("item_at").alias("n"), F.max("windows").alias("windows")).filter(F.col("n") >= F.col("windows") * F.lit(cover)).select(*key)
+    pair = m.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*key, F.col("x.item_slots").alias("theirs"), F.col("x.slots").alias("mine"))
+    # a value with two images, or two with one
+    pair = pair.distinct()
+    split = [pair.groupBy(*key, side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key) for side in ("theirs", "mine")]
+    return enough.join(split[0].unionByName(split[1]).distinct(), key, "left_anti").select(*key[:-1]).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """doc_id, item_id, windows, matched, same (matched with equal values), changed_slots, consistent, kind: a row for
-    each document and item that contaminates it. kind: 'verbatim' or 'reparameterised'."""
+    """doc_id, item_id, windows, matched, same (matched with equal values), changed_slots, consistent (over the document or
+    an occurrence), kind: a row for each document and item that contaminates it. kind: 'verbatim' or 'reparameterised'."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").filter("id is not null")
     bench = written(windows(items), "benchmark-windows")
@@ -180,8 +201,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     back = pair.groupBy(*key, "mine").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max("n").alias("most_back"))
     out = count.join(there, key, "left").join(back, key, "left")
     out = out.withColumn("consistent", (F.coalesce("most", F.lit(1)) == 1) & (F.coalesce("most_back", F.lit(1)) == 1)).withColumn("changed_slots", F.coalesce("changed_slots", F.lit(0)))
+    out = out.join(occurrences(m, key, cover).withColumn("occurs", F.lit(True)), key, "left")
     counted = F.when(F.col("consistent"), F.col("matched")).otherwise(F.col("same"))
-    out = out.filter(counted >= F.col("windows") * F.lit(cover))
+    out = out.filter((counted >= F.col("windows") * F.lit(cover)) | F.col("occurs")).withColumn("consistent", F.col("consistent") | F.coalesce("occurs", F.lit(False)))
     kind = F.when(F.col("same") >= F.col("windows") * F.lit(cover), "verbatim").otherwise("reparameterised")
     return out.select(*key, "windows", "matched", "same", "changed_slots", "consistent", kind.alias("kind"))
 

@@ -149,3 +149,21 @@ def test_template_of_odd_texts(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     form, own, slot, bounds = decontaminate.template(raw, np.array([0, len(raw)]))
     assert len(form) == len(own) == len(slot) == bounds[-1]
+
+
+def test_each_occurrence_of_a_question_counts(spark):
+    q = "A train leaves at {} and runs {} miles to the coast while another runs {} miles back from there, so how many passengers arrive before noon?"
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    docs = [
+        (1, f"{q.format(7, 12, 5)} {q.format(9, 31, 8)} {q.format(4, 18, 6)}"),  # variants in a row
+        (2, f"{q.format(9, 31, 8)} {filler} leaves at 2 and runs 88 miles to the coast"),  # one and a stray window
+        (3, q.format(9, 31, 31)),  # two values become one: no copy, as above
+        (4, q.replace("at {}", "at 7").format(12, 5)),
+        (5, filler),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, q.format(7, 12, 5))], "item_id long, text string")
+    assert {(r.doc_id, r.consistent) for r in decontaminate.contaminated(df, b).collect()} == {(i, True) for i in (1, 2, 4)}
+    # one value becomes two in each occurrence
+    b = spark.createDataFrame([(1, q.format(7, 12, 12))], "item_id long, text string")
+    assert decontaminate.contaminated(df.filter("doc_id = 2"), b).count() == 0
