@@ -14,6 +14,9 @@ The same is asked of each occurrence by itself, as a text may hold an item with
 of its template: the matched windows of one alignment (place in the document minus place in the item), and those of
 alignments in a row. There windows without any fixed word count only if their values are the same.
 
+RUN words in a row that are the same, of an item of any length, contaminate as well: the cover alone would ask for longer
+passages of longer items.
+
 Defined cases: a null or empty text has no windows; an item shorter than WINDOW is one window of its whole sequence (met
 anywhere in documents), an item without words matches nothing; repeated items and rows each give their own rows, a
 repeated doc_id as one document; a null doc_id or item_id takes no part; an empty benchmark finds nothing.
@@ -34,6 +37,8 @@ from tallyspark.session import written
 U = np.uint64
 WINDOW = 8
 COVER = 0.3
+#: words in a row that contaminate whatever the item's length
+RUN = 13
 MAP_BITS = 24
 #: fixed values: units of measure, currency and time that follow a number
 UNITS = (
@@ -167,6 +172,13 @@ def occurrences(m: DataFrame, key: list[str], cover: float) -> DataFrame:
     return enough.join(split[0].unionByName(split[1]).distinct(), key, "left_anti").select(*key[:-1]).distinct()
 
 
+def runs(m: DataFrame, key: list[str]) -> DataFrame:
+    """key: those with RUN words in a row that are the same."""
+    w = m.filter((F.col("slots") == F.col("item_slots")) & (F.col("width") == WINDOW)).select(*key, (F.col("at") - F.col("item_at")).alias("diag"), "at").distinct()
+    w = w.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*key, "diag").orderBy("at")))
+    return w.groupBy(*key, "diag", "run").count().filter(F.col("count") >= RUN - WINDOW + 1).select(*key).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, windows, matched, same (matched with equal values), changed_slots, consistent (over the document or
     an occurrence), kind: a row for each document and item that contaminates it. kind: 'verbatim' or 'reparameterised'."""
@@ -202,9 +214,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     out = count.join(there, key, "left").join(back, key, "left")
     out = out.withColumn("consistent", (F.coalesce("most", F.lit(1)) == 1) & (F.coalesce("most_back", F.lit(1)) == 1)).withColumn("changed_slots", F.coalesce("changed_slots", F.lit(0)))
     out = out.join(occurrences(m, key, cover).withColumn("occurs", F.lit(True)), key, "left")
+    out = out.join(runs(m, key).withColumn("verbatim", F.lit(True)), key, "left").withColumn("verbatim", F.coalesce("verbatim", F.lit(False)))
     counted = F.when(F.col("consistent"), F.col("matched")).otherwise(F.col("same"))
-    out = out.filter((counted >= F.col("windows") * F.lit(cover)) | F.col("occurs")).withColumn("consistent", F.col("consistent") | F.coalesce("occurs", F.lit(False)))
-    kind = F.when(F.col("same") >= F.col("windows") * F.lit(cover), "verbatim").otherwise("reparameterised")
+    out = out.filter((counted >= F.col("windows") * F.lit(cover)) | F.col("occurs") | F.col("verbatim")).withColumn("consistent", F.col("consistent") | F.coalesce("occurs", F.lit(False)))
+    kind = F.when((F.col("same") >= F.col("windows") * F.lit(cover)) | F.col("verbatim"), "verbatim").otherwise("reparameterised")
     return out.select(*key, "windows", "matched", "same", "changed_slots", "consistent", kind.alias("kind"))
 
 

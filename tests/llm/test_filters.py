@@ -167,3 +167,13 @@ def test_each_occurrence_of_a_question_counts(spark):
     # one value becomes two in each occurrence
     b = spark.createDataFrame([(1, q.format(7, 12, 12))], "item_id long, text string")
     assert decontaminate.contaminated(df.filter("doc_id = 2"), b).count() == 0
+
+
+def test_verbatim_run_of_a_long_item(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    filler = ["other"] * 20
+    docs = [(n, " ".join(filler + words[100 : 100 + n] + filler)) for n in (12, 13, 60)]
+    docs.append((1, " ".join(filler + words[100:112] + filler + words[200:212])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.kind) for r in decontaminate.contaminated(df, b).collect()} == {(13, "verbatim"), (60, "verbatim")}
