@@ -37,10 +37,13 @@ def place(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests, a single machine) one is made."""
+    """The folder named by spark.checkpoint.dir. Where it is unset one is made, on a single machine only: executors of a
+    cluster would write to their own disks."""
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -57,13 +60,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Spark's own file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that written() made and nothing reads any more."""
+    for df in frames:
+        if df is not None:
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

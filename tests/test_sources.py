@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells, text
-from tallyspark.operators import facts, queue, tables
+from tallyspark.operators import components, facts, queue, tables
 from tallyspark.operators.components import connected_components
+from tallyspark.session import shared_dir
 from tallyspark.sources import literal, sinks
 
 
@@ -101,6 +102,26 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+def test_components_of_edges_that_fill_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "CONTRACT", 10)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(49, 130)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect()}
+    assert got == dict.fromkeys([*range(1, 50), *range(100, 161)], 1)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_cycle_of_parents_is_an_error(spark):
     with pytest.raises(ValueError):
         queue.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
