@@ -14,9 +14,10 @@ segments, but has fewer common shingles than any overlap that links, must share
 quarter of its rare shingles in hash order (a prefix of both sides that must meet), which small sets also index.
 
 Signatures go to parts by hash, packed as bytes, and meet in their part. Short lists give all their pairs, long ones a
-star and a note of the list. Pairs are verified on the whole texts' shingle sets. Lists that still hold several
-components after the stars are verified then give the pairs across components, which are verified too: so components are
-exact, while a group of thousands of near copies costs about one comparison a copy.
+star and a note of the list. Pairs must pass their sizes and bitmaps of the sets (below) before any text is read, then
+they are verified on the whole texts' shingle sets. Lists that still hold several components afterwards give their other
+pairs across components, in blocks of bounded size, which are verified too: so components are exact, while a group of
+thousands of near copies costs about one comparison a copy.
 
 Sets and shingles are compared by 64-bit hashes (a set by two and its size).
 
@@ -31,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.operators.components import connected_components
-from tallyspark.session import release, written
+from tallyspark.session import discard, release, written
 
 U = np.uint64
 #: a shingle is common when at least one in so many sets has it
@@ -48,17 +49,14 @@ PART_ENTRIES = 1_500_000
 SHORT_LIST = 8
 #: shingles kept in a task's cache while it verifies pairs
 CACHE = 4_000_000
-#: rounds of one pair a document, before all pairs that are left
-PAIR_ROUNDS = 2
-#: rounds of stars over lists with several components, before all their pairs across components
-STAR_ROUNDS = 1
-#: documents over which a task counts shingles before it passes the frequent ones on
-COUNT_DOCS = 10_000
+#: pairs a document from which one pair each is verified first, then those that are still across components
+FIRST_ONE = 4
+#: shingles that a task counts before it passes the frequent ones on
+COUNT_SHINGLES = 3_000_000
 #: documents whose signatures are packed together
 BATCH_DOCS = 3000
-#: bitmaps of a block, and their bits, where many pairs are verified among few texts
-BLOCK_DOCS = 2000
-PRUNE_BITS = 8192
+#: members of a block of a long list, and rows of blocks that a task compares
+BLOCK, BLOCK_ROWS = 1000, 50_000
 #: ids that may be broadcast to pick the texts to verify
 BROADCAST_IDS = 500_000
 
@@ -66,6 +64,9 @@ BROADCAST_IDS = 500_000
 SMALL = 256
 
 D, FOREIGN, SIG_BITS = 1, 8, 28  # flags of an entry: a deletion, thresholds in bits 1-2, a probe from a higher band
+#: steps of a doubling of the size in the low bits of a set's id, and by how many of them sets that link may differ
+SIZE_BITS, SIZE_STEPS = 16, 2048
+REACH = int(SIZE_STEPS * np.log2(4 / 3)) + 2
 
 
 def bands(top: int) -> np.ndarray:
@@ -83,45 +84,82 @@ def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= 75 * (a + b - common)
 
 
-#: longs of a set's bitmap: bit i is the parity of its shingles that hash to i, so bitmaps of sets that link differ in at most (|r| + |s|) / 7 bits
-BITMAP = 16
-BITS = [f"b{k}" for k in range(BITMAP)]
-SETS = "doc_id long, n_shingles long, lo long, hi long, common array<long>, common_n array<long>, " + ", ".join(f"{b} long" for b in BITS)
-
-
-def may_link(n: str, m: str, mine: str, other: str) -> Column:
-    """Sizes and bitmaps of two sets allow a link. mine and other prefix the names of the bitmap's columns."""
-    apart = sum((F.bit_count(F.col(mine + b).bitwiseXOR(F.col(other + b))) for b in BITS), F.lit(0))
-    a, b = F.col(n), F.col(m)
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (7 * apart <= a + b)
+SETS = "doc_id long, n_shingles long, lo long, hi long, common array<long>, common_n array<long>, bits binary"
+
+
+def set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each set, its size in the low bits (on a scale of logarithms, so that sizes that can't link show)."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(h ^ U(0x5851F42D4C957F2D)))])
+    size = (np.log2(np.maximum(np.diff(first), 1)) * SIZE_STEPS).astype(U)
+    return ((sums[first[1:]] - sums[first[:-1]]) >> U(SIZE_BITS) << U(SIZE_BITS) | size).view(np.int64)
+
+
+def bitmaps(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A bitmap of 2 to 4 bits a shingle (a power of two, 64 at least) of each set. Bit i is the parity of its shingles
+    that hash to i, so those of sets that link differ in at most (|r| + |s|) / 7 bits; a larger one folds to a smaller."""
+    n = np.diff(first)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(size)])
+    own = np.repeat(np.arange(len(n)), n)
+    bit = start[own] + (W.mix(h + U(7)) & (size[own] - 1).astype(U)).astype(np.int64)
+    data = np.packbits((np.bincount(bit, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def as_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of bitmaps, the first of each, and how many it has."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not len(col):
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offs, data = col.buffers()
+    offs = np.frombuffer(offs, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    words = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(U)
+    offs = (offs - offs[0]) // 8
+    return words, offs[:-1], np.diff(offs)
+
+
+def differences(words: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps i and j differ, the larger one folded to the size of the smaller."""
+    swap = size[i] > size[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.zeros(len(i), np.int64)
+    kinds, kind = np.unique(size[i] << 32 | size[j], return_inverse=True)
+    for k, x in enumerate(kinds.tolist()):
+        m, n = x >> 32, x & 0xFFFFFFFF
+        rows = np.flatnonzero(kind == k)
+        step = max(1, (1 << 20) // n)
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            a = words[start[i[r]][:, None] + np.arange(m)]
+            b = np.bitwise_xor.reduce(words[start[j[r]][:, None] + np.arange(n)].reshape(len(r), n // m, m), 1)
+            out[r] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
 
 
 def summarise(docs: DataFrame) -> DataFrame:
-    """A row per document with the size and hash of its set, and per batch the shingles that many of its sets have."""
+    """A row per document with the size, the hash and the bitmap of its set, and per batch the shingles that many of its
+    sets have."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        held, seen, tokens, done = None, set(), [], 0
+        held, seen, tokens, count = None, set(), [], 0
         for batch in batches:
-            sizes, los, his, maps = [], [], [], []
+            if held is not None:
+                full = count >= COUNT_SHINGLES
+                yield _summary(*held, *(often(tokens, len(seen)) if full else NOTHING))
+                if full:
+                    seen, tokens, count = set(), [], 0
+            got = [[] for _ in range(4)]
             for _, _, h, first in W.shingle_sets(batch.column(1)):
-                n = np.diff(first)
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(W.mix(h ^ U(k)))]) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                lo, hi = ((s[first[1:]] - s[first[:-1]]) for s in sums)
-                bit = np.repeat(np.arange(len(n)) * 64 * BITMAP, n) + (W.mix(h + U(7)) % U(64 * BITMAP)).astype(np.int64)
-                odd = (np.bincount(bit, minlength=len(n) * 64 * BITMAP) & 1).astype(np.uint8)
-                maps.append(np.packbits(odd).view(np.int64).reshape(len(n), BITMAP))
-                sizes.append(n), los.append(lo), his.append(hi)
+                n, lo = np.diff(first), set_ids(h, first)
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(h ^ U(0x14057B7EF767814F)))])
+                for x, y in zip(got, (n, lo, (sums[first[1:]] - sums[first[:-1]]).view(np.int64), bitmaps(h, first)), strict=True):
+                    x.append(y)
                 # copies count once
                 new = np.array([x not in seen and not seen.add(x) for x in lo.tolist()], bool)
                 tokens.append(h[np.repeat(new, n)])
-            if not sizes:
-                continue
-            if held is not None:
-                yield _summary(*held, *(often(tokens[:done], len(seen)) if len(seen) >= COUNT_DOCS else NOTHING))
-                if len(seen) >= COUNT_DOCS:
-                    seen, tokens = set(), tokens[done:]
-            held = (batch.column(0), *(np.concatenate(x) for x in (sizes, los, his, maps)))
-            done = len(tokens)
+                count += len(tokens[-1])
+            held = (batch.column(0), *(np.concatenate(x) for x in got[:3]), pa.concat_arrays(got[3])) if got[0] else None
         if held is not None:
             yield _summary(*held, *often(tokens, len(seen)))
 
@@ -138,11 +176,11 @@ def often(tokens: list[np.ndarray], sets: int) -> tuple[np.ndarray, np.ndarray]:
     return token[many], n[many]
 
 
-def _summary(ids: pa.Array, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _summary(ids: pa.Array, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: pa.Array, token: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """A batch of SETS; the counts go with its last row."""
     none = len(lo) - 1
-    cols = [ids, pa.array(size), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _at_end(token.view(np.int64), none), _at_end(n, none), *(pa.array(bits[:, k]) for k in range(BITMAP))]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "lo", "hi", "common", "common_n", *BITS])
+    cols = [ids, pa.array(size), pa.array(lo), pa.array(hi), _at_end(token.view(np.int64), none), _at_end(n, none), bits]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SETS.split(", ")])
 
 
 def _at_end(values: np.ndarray, before: int) -> pa.Array:
@@ -267,8 +305,7 @@ def signatures(docs: DataFrame, parts: int, top: int, common) -> DataFrame:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 got, seen = [], set()
                 for _, _, h, first in W.shingle_sets(whole.column(0).slice(at, BATCH_DOCS)):
-                    sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(h ^ U(0x5851F42D4C957F2D)))])
-                    lo = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+                    lo = set_ids(h, first)
                     # copies in a batch are packed once
                     new = np.array([x not in seen and not seen.add(x) for x in lo.tolist()], bool)
                     n = np.where(new, np.diff(first), 0)
@@ -286,7 +323,7 @@ def meet(ids: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
     """Candidate pairs (a < b) of a part, and its long lists."""
     order = np.lexsort((ids, entry >> np.uint32(4)))
     ids, entry = ids[order], entry[order]
-    sig, flag = entry >> np.uint32(4), entry & np.uint32(15)
+    sig, flag, size = entry >> np.uint32(4), entry & np.uint32(15), ids & ((1 << SIZE_BITS) - 1)
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([start, [len(sig)]]))
     level = (flag >> np.uint32(1)) & np.uint32(3)
@@ -297,7 +334,7 @@ def meet(ids: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
         di, dj = flag[i] & np.uint32(D), flag[j] & np.uint32(D)
         li, lj = level[i], level[j]
         ok = np.where(di + dj == 0, np.maximum(li, lj) >= 1, (di + dj == 1) & (np.maximum(li, lj) == 2))
-        ok &= (ids[i] != ids[j]) & ((flag[i] & flag[j] & np.uint32(FOREIGN)) == 0)
+        ok &= (ids[i] != ids[j]) & ((flag[i] & flag[j] & np.uint32(FOREIGN)) == 0) & (np.abs(size[i] - size[j]) <= REACH)
         i, j = i[ok], j[ok]
         pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
 
@@ -311,8 +348,13 @@ def meet(ids: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
         a, b = start[r], start[r] + n[r]
         own = np.unique(ids[a:b])
         if len(own) > 1:
-            # a partner that only shares this list is found through its star or, after that, through the list
-            pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], 1))
+            # a partner that only shares this list is found through a star of sets as large or, after that, the list
+            own = own[np.argsort(own & ((1 << SIZE_BITS) - 1), kind="stable")]
+            at, scale = 0, own & ((1 << SIZE_BITS) - 1)
+            while at < len(own):
+                end = int(np.searchsorted(scale, scale[at] + REACH, "right"))
+                pairs.append(np.sort(np.stack([np.full(end - at - 1, own[at]), own[at + 1 : end]], 1), 1))
+                at = end
             if len(own) > 2:
                 lists.append(own)
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
@@ -339,16 +381,30 @@ def candidates(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(part, "a long, b long, members array<long>")
 
 
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a < b (doc_ids): the pairs of set ids whose sizes and bitmaps allow a link."""
+    side = lambda x: classes.select(F.col("lo").alias(x), F.col("rep").alias("r" + x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            sides = [as_words(batch.column(k)) for k in (3, 4)]
+            words, size = (np.concatenate([x[k] for x in sides]) for k in (0, 2))
+            start = np.concatenate([sides[0][1], sides[1][1] + len(sides[0][0])])
+            at = np.arange(batch.num_rows)
+            keep = pa.array(7 * differences(words, start, size, at, at + batch.num_rows) <= np.asarray(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], names=["a", "b"])
+
+    return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.col("na") + F.col("nb")).alias("n"), "bits_a", "bits_b").mapInArrow(rows, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole texts link."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     texts = written(texts, "texts")
-    docs_n, pairs_n = ids.count(), pairs.count()
-    blocks = -(-docs_n // BLOCK_DOCS)
-    if 2 * blocks * docs_n < pairs_n:
-        pairs = prune(pairs, texts, blocks)
+    discard(ids)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def rows(batches: Iterator[pa.RecordBatch]):
@@ -372,138 +428,143 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     kept.append(pair)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
-def prune(pairs: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
-    """The pairs that may link by bitmaps of PRUNE_BITS, for many pairs among few texts. Each pair of blocks of bitmaps
-    meets once, with the pairs between them, so a text isn't carried once for each of its pairs."""
+def classes_of(sets: DataFrame) -> DataFrame:
+    """One row per distinct non-empty set: n, lo, hi, its least doc_id (rep) and its bitmap."""
+    return sets.filter("n_shingles > 0").groupBy(F.col("n_shingles").alias("n"), "lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
 
-    def maps(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for at, end, h, first in W.shingle_sets(batch.column(1)):
-                n = np.diff(first)
-                out = []
-                for i in range(len(n)):
-                    bit = (W.mix(h[first[i] : first[i + 1]] + U(11)) % U(PRUNE_BITS)).astype(np.int64)
-                    out.append(np.packbits((np.bincount(bit, minlength=PRUNE_BITS) & 1).astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["id", "n", "bits"])
-
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    p = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b")
-    m = written(texts.select("id", "text").mapInArrow(maps, "id long, n long, bits binary"), "bitmaps")
-    m = m.withColumn("own", block("id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    m = m.select(F.explode(F.array_distinct(F.array(F.col("own") * blocks + F.col("other"), F.col("other") * blocks + F.col("own")))).alias("g"), "id", "n", "bits")
-
-    def meet_maps(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.array(left.column(c).to_pylist(), np.int64) for c in ("a", "b"))
-        keep = np.zeros(len(a), bool)
-        if len(a) and right.num_rows:
-            ids, first = np.unique(np.array(right.column("id").to_pylist(), np.int64), return_index=True)
-            n = np.array(right.column("n").to_pylist(), np.int64)[first]
-            bits = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64).reshape(right.num_rows, -1)[first]
-            x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
-            for s in range(0, len(a), 4096):
-                e = slice(s, s + 4096)
-                apart = np.bitwise_count(bits[x[e]] ^ bits[y[e]]).sum(1, dtype=np.int64)
-                keep[e] = 7 * apart <= n[x[e]] + n[y[e]]
-        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
-
-    return written(p.groupBy("g").cogroup(m.groupBy("g")).applyInArrow(meet_maps, "a long, b long"), "pruned")
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their set's size and hash, one row per distinct non-empty set with its least doc_id)."""
-    s = written(summarise(docs), "sets")
-    c = written(s.filter("n_shingles > 0").groupBy("n_shingles", "lo", "hi").agg(F.min("doc_id").alias("rep"), *(F.min(b).alias(b) for b in BITS)), "classes")
-    return s, c
+
+def common_shingles(sets: DataFrame, n_sets: int) -> np.ndarray:
+    """The common shingles: at most COMMON_ONE_IN times the mean size of a set."""
+    often = sets.filter("size(common) > 0").select(F.explode(F.arrays_zip("common", "common_n")).alias("x")).groupBy(F.col("x.common").alias("token")).agg(F.sum("x.common_n").alias("n"))
+    return np.array(sorted(r.token for r in often.filter(F.col("n") >= max(COMMON_LEAST, n_sets // COMMON_ONE_IN)).select("token").collect()), np.int64).view(U)
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (verified links that the method needed), for every row of docs."""
     spark = docs.sparkSession
-    s, c = classes(docs)
-    sets, top, shingles = c.agg(F.count(F.lit(1)), F.max("n_shingles"), F.sum("n_shingles")).first()
+    sets = written(summarise(docs), "sets")
+    whole = written(classes_of(sets), "classes")
+    n_sets, top, shingles = whole.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
     top, shingles = top or 1, shingles or 0
-    often = s.filter("size(common) > 0").select(F.explode(F.arrays_zip("common", "common_n")).alias("x")).groupBy(F.col("x.common").alias("token")).agg(F.sum("x.common_n").alias("n"))
-    # at most COMMON_ONE_IN times the mean size of a set
-    common = np.array(sorted(r.token for r in often.filter(F.col("n") >= max(COMMON_LEAST, sets // COMMON_ONE_IN)).select("token").collect()), np.int64).view(U)
-    parts = max(8, int(shingles * 0.7) // PART_ENTRIES)
-    shared = spark.sparkContext.broadcast(common)
-    found = written(candidates(signatures(docs, parts, top, shared)), "candidates")
+    common = spark.sparkContext.broadcast(common_shingles(sets, n_sets))
+    found = written(candidates(signatures(docs, max(8, int(shingles * 0.7) // PART_ENTRIES), top, common)), "candidates")
+    release(spark)
+    classes = whole.filter("rep is not null").select("lo", "rep", "n", "bits")
+    pairs = written(near(found.filter("a is not null").select("a", "b").distinct(), classes), "pairs")
+    links, comp = settle(pairs, docs, None, None)
+    discard(pairs)
+    rows = written(mixed_lists(found, classes, comp), "mixed-lists")
+    discard(found)
+    pairs = written(across_lists(rows, classes), "list-pairs")
+    discard(rows)
+    links, comp = settle(pairs, docs, links, comp)
+    discard(pairs)
     release(spark)
-
-    rep = c.filter("rep is not null").select("lo", "rep", F.col("n_shingles").alias("n"), *BITS)
-    side = lambda x: rep.select(F.col("lo").alias(x), F.col("rep").alias("r" + x), F.col("n").alias("n" + x), *(F.col(b).alias(x + b) for b in BITS))
-    pairs = found.filter("a is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(may_link("na", "nb", "a", "b"))
-    pairs = written(pairs.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
-    # each round the pair of each document with its least candidate in another component, at the end all that are left
-    links = pairs.limit(0)
-    comp = spark.createDataFrame([], "node long, component long")
-    for no in range(PAIR_ROUNDS + 1):
-        some = pairs if no == PAIR_ROUNDS else pairs.groupBy("b").agg(F.min("a").alias("a"))
-        some = written(some.select("a", "b"), "some-pairs")
-        if not some.limit(1).count():
-            break
-        links = written(links.unionByName(verify(some, docs)), "links")
-        comp = written(connected_components(links, "a", "b"), "components")
-        pairs = written(across(pairs.join(some, ["a", "b"], "left_anti"), comp), "pairs")
-        release(spark)
-    lists = written(in_lists(found, rep), "lists")
-    for no in range(STAR_ROUNDS):
-        stars = written(star_pairs(mixed_lists(lists, comp), no), "star-pairs")
-        if not stars.limit(1).count():
-            break
-        links = written(links.unionByName(verify(stars, docs)).distinct(), "links")
-        comp = written(connected_components(links, "a", "b"), "components")
-    more = written(across_lists(mixed_lists(lists, comp)), "list-pairs")
-    if more.limit(1).count():
-        links = written(links.unionByName(verify(more, docs)), "links")
-        comp = written(connected_components(links, "a", "b"), "components")
 
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    own = c.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
-    own = written(own.select("n_shingles", "lo", "hi", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-components")
-    out = s.select("doc_id", "n_shingles", "lo", "hi")
+    own = whole.select("n", "lo", "hi", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
+    own = written(own.select(F.col("n").alias("n_shingles"), "lo", "hi", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-components")
+    discard(whole, links)
+    out = sets.select("doc_id", "n_shingles", "lo", "hi")
     some = out.filter("n_shingles > 0").join(own, ["n_shingles", "lo", "hi"], "left")
     none = out.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
     cols = ["doc_id", "n_shingles", "component_id", "n_links"]
     return some.select(*cols).unionByName(none.select(*cols))
 
 
+def settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """links with those of pairs, and the components of all. Of many pairs a document, first one of each is verified,
+    then those that are still across components."""
+    n, docs_n = pairs.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
+    if n <= FIRST_ONE * docs_n:
+        return linked_with(verify(pairs, docs), links, comp)
+    first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links, comp = linked_with(verify(first, docs), links, comp)
+    rest = written(across(pairs.join(first, ["a", "b"], "left_anti"), comp), "rest-pairs")
+    links, comp = linked_with(verify(rest, docs), links, comp)
+    discard(first, rest)
+    return links, comp
+
+
+def linked_with(new: DataFrame, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """links and the new ones, and the components with them."""
+    edges = new if comp is None else new.unionByName(comp.toDF("b", "a"))
+    now = written(connected_components(edges, "a", "b"), "components")
+    both = new if links is None else written(links.unionByName(new), "links")
+    if links is not None:
+        discard(links, comp, new)
+    return both, now
+
+
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     df = pairs.join(comp.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(comp.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
     return df.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def in_lists(found: DataFrame, rep: DataFrame) -> DataFrame:
-    """list, rep and the sets' sizes and bitmaps: the members of the long lists."""
-    lists = found.filter("members is not null").select(F.xxhash64("members").alias("list"), "members").dropDuplicates(["list"])
-    return lists.select("list", F.explode("members").alias("lo")).join(rep, "lo").drop("lo")
-
+def mixed_lists(found: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """g, role, lo, component, outside: the members of the long lists that hold several components, in blocks g.
 
-def mixed_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """list, rep, component of the lists that hold several components."""
-    m = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = m.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list", F.xxhash64("list").alias("h"))
+    Members outside of a list's largest component (role 0) meet all members (role 1), block by block, so a list of one
+    large component and a few others costs its length. A list of one block has its members once (role 2).
+    """
+    lists = found.filter("members is not null").select(F.xxhash64("members").alias("list"), "members").dropDuplicates(["list"])
+    own = classes.select("lo", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("lo", F.coalesce("component", "rep").alias("component"))
+    m = lists.select("list", F.explode("members").alias("lo")).join(own, "lo")
     # the second key makes this join deal out both sides itself, so the rows of a very long list are split
-    return written(m.withColumn("h", F.xxhash64("list")).join(mixed, ["list", "h"], "left_semi"), "mixed-lists")
-
-
-def star_pairs(mixed: DataFrame, no: int) -> DataFrame:
-    """Each list's members paired with one member of its largest component, another one each round, where they may link."""
-    part = mixed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", *BITS), F.xxhash64("rep", F.lit(no))).alias("hub"))
-    hub = part.groupBy("list").agg(F.max(F.struct("k", "component", "hub")).alias("x")).select("list", F.xxhash64("list").alias("h"), F.col("x.component").alias("other"), F.col("x.hub.rep").alias("hub"), F.col("x.hub.n").alias("m"), *(F.col(f"x.hub.{b}").alias("o" + b) for b in BITS))
-    df = mixed.join(hub, ["list", "h"]).filter("component <> other").filter(may_link("n", "m", "", "o"))
-    return df.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-
-def across_lists(mixed: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components and may link."""
-    other = mixed.select("list", "h", F.col("rep").alias("hub"), F.col("component").alias("other"), F.col("n").alias("m"), *(F.col(b).alias("o" + b) for b in BITS))
-    df = mixed.join(other, ["list", "h"]).filter(F.expr("component <> other and rep < hub") & may_link("n", "m", "", "o"))
-    return df.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    main = m.groupBy("list", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("all"))
+    main = main.filter("x.k < all").select("list", F.xxhash64("list").alias("h"), F.col("x.component").alias("main"), F.ceil((F.col("all") - F.col("x.k")) / BLOCK).alias("outs"), F.ceil(F.col("all") / BLOCK).alias("alls"))
+    m = m.withColumn("h", F.xxhash64("list")).join(main, ["list", "h"]).withColumn("outside", F.col("component") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("lo"), F.col(n))
+    cell = lambda o, a, role: F.struct(F.xxhash64("list", o, a).alias("g"), F.lit(role).alias("role"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    none = F.expr("cast(array() as array<struct<g:bigint,role:int>>)")
+    split = F.concat(F.when(F.col("outside"), F.transform(upto("alls"), lambda a: cell(block("outs"), a, 0))).otherwise(none), F.transform(upto("outs"), lambda o: cell(o, block("alls"), 1)))
+    cells = F.when(F.col("alls") == 1, F.array(cell(F.lit(0).cast("long"), F.lit(0).cast("long"), 2))).otherwise(split)
+    return m.select(F.explode(cells).alias("c"), "lo", "component", "outside").select("c.g", "c.role", "lo", "component", "outside")
+
+
+def across_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a < b (doc_ids): the pairs of members in different components whose sizes and bitmaps allow a link."""
+    parts = max(8, rows.count() // BLOCK_ROWS)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("g").combine_chunks()
+        g, role, component, outside, rep, n = (table.column(c).to_numpy() for c in ("g", "role", "component", "outside", "rep", "n"))
+        bits = as_words(table.column("bits"))
+        found: list[np.ndarray] = []
+
+        def keep(pairs: list[tuple[np.ndarray, np.ndarray]]):
+            i, j = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+            ok = 7 * differences(*bits, i, j) <= n[i] + n[j]
+            found.append(np.unique(np.sort(np.stack([rep[i[ok]], rep[j[ok]]], 1), 1), axis=0))
+
+        held, count = [], 0
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(g)], strict=True):
+            mine = s + np.flatnonzero(outside[s:e] & (role[s:e] != 1))
+            all_ = s + np.flatnonzero(role[s:e] != 0)
+            for at in range(0, len(mine), 256):
+                i = np.repeat(mine[at : at + 256], len(all_))
+                j = np.tile(all_, len(mine[at : at + 256]))
+                ok = (component[i] != component[j]) & (~outside[j] | (rep[i] < rep[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+                held.append((i[ok], j[ok]))
+                count += len(held[-1][0])
+                if count > 200_000:
+                    keep(held)
+                    held, count = [], 0
+        if held:
+            keep(held)
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    df = rows.join(classes, "lo").select(F.pmod("g", F.lit(parts)).alias("part"), "g", "role", "component", "outside", "rep", "n", "bits")
+    return df.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
