@@ -106,3 +106,15 @@ def test_words_hash_is_by_content():
 
     sets = [set(h[f[i] : f[i + 1]].tolist()) for a, b, h, f in W.shingle_sets(pa.array(["x A b c d e", "y a B c D e f", None, "é"])) for i in range(b - a)]
     assert len(sets[0] & sets[1]) == 1 and len(sets[2]) == 0 and len(sets[3]) == 1
+
+
+def test_bitmaps_differ_at_most_as_the_sets_and_fold():
+    rng = np.random.default_rng(2)
+    size = np.array([1, 5, 40, 45, 255, 300, 700, 900])
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.concatenate([base[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64)]) for n in size]
+    words, start, length = J.as_words(J.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
+    i, j = np.triu_indices(len(size), 1)
+    apart = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i, j, strict=True)])
+    assert J.within(words, start, length, i, j, apart).all()
+    assert not J.within(words, start, length, i, j, np.full(len(i), -1)).any()
