@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
-from tallyspark.operators.components import connected_components
+from tallyspark.operators.components import connected_components, forest
 from tallyspark.session import discard, release, written
 
 U = np.uint64
@@ -56,7 +56,7 @@ COUNT_SHINGLES = 3_000_000
 #: documents whose signatures are packed together
 BATCH_DOCS = 3000
 #: members of a block of a long list, and rows of blocks that a task compares
-BLOCK, BLOCK_ROWS = 1000, 50_000
+BLOCK, BLOCK_ROWS = 1000, 20_000
 #: ids that may be broadcast to pick the texts to verify
 BROADCAST_IDS = 500_000
 
@@ -119,12 +119,12 @@ def as_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offs[:-1], np.diff(offs)
 
 
-def within(words: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps i and j, the larger one folded to the size of the smaller, differ in at most `most` bits. A
-    quarter of them is compared first, which tells most unrelated sets apart."""
+def apart(words: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps i and j differ, the larger one folded to the size of the smaller; -1 if in more than
+    `most`. A quarter of them is compared first, which tells most unrelated sets apart."""
     swap = size[i] > size[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    out = np.zeros(len(i), bool)
+    out = np.full(len(i), -1, np.int64)
     kinds, kind = np.unique(size[i] << 32 | size[j], return_inverse=True)
     for k, x in enumerate(kinds.tolist()):
         m, n = x >> 32, x & 0xFFFFFFFF
@@ -140,10 +140,29 @@ def within(words: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray
             r = rows[at : at + step]
             if m >= 8:
                 r = r[differ(r, m // 4) <= most[r]]
-            out[r] = differ(r, m) <= most[r]
+            d = differ(r, m)
+            out[r] = np.where(d <= most[r], d, -1)
     return out
 
 
+def spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The edges a - b of a minimum spanning forest: each tree takes its cheapest edge to another, again and again."""
+    order = np.argsort(cost, kind="stable")
+    nodes, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label, kept = np.arange(len(nodes)), []
+    while len(live := np.flatnonzero(label[x] != label[y])):
+        ends = np.concatenate([label[x[live]], label[y[live]]])
+        tree, first = np.unique(ends[np.argsort(np.tile(np.arange(len(live)), 2), kind="stable")], return_index=True)
+        chosen = np.unique(live[first // 2])
+        kept.append(chosen)
+        node, root = forest(label[x[chosen]], label[y[chosen]])
+        to = np.arange(len(nodes))
+        to[node] = root
+        label = to[label]
+    return order[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
+
+
 def summarise(docs: DataFrame) -> DataFrame:
     """A row per document with the size, the hash and the bitmap of its set, and per batch the shingles that many of its
     sets have."""
@@ -399,7 +418,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             words, size = (np.concatenate([x[k] for x in sides]) for k in (0, 2))
             start = np.concatenate([sides[0][1], sides[1][1] + len(sides[0][0])])
             at = np.arange(batch.num_rows)
-            keep = pa.array(within(words, start, size, at, at + batch.num_rows, np.asarray(batch.column(2)) // 7))
+            keep = pa.array(apart(words, start, size, at, at + batch.num_rows, np.asarray(batch.column(2)) // 7) >= 0)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], names=["a", "b"])
 
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.col("na") + F.col("nb")).alias("n"), "bits_a", "bits_b").mapInArrow(rows, "a long, b long").distinct()
@@ -467,10 +486,8 @@ def join(docs: DataFrame) -> DataFrame:
     discard(pairs)
     rows = written(mixed_lists(found, classes, comp), "mixed-lists")
     discard(found)
-    pairs = written(across_lists(rows, classes), "list-pairs")
+    links, comp = settle_lists(rows, classes, docs, links, comp)
     discard(rows)
-    links, comp = settle(pairs, docs, links, comp)
-    discard(pairs)
     release(spark)
 
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
@@ -498,6 +515,21 @@ def settle(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, comp: Dat
     return links, comp
 
 
+def settle_lists(rows: DataFrame, classes: DataFrame, docs: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As settle(), for the blocks of long lists: first a spanning forest of the components that may link is verified,
+    then the pairs of those blocks that are still across components."""
+    got = written(across_lists(rows, classes, True), "list-forest")
+    first = written(got.filter("g is null").select("a", "b").distinct(), "first-pairs")
+    links, comp = linked_with(verify(first, docs), links, comp)
+    some = rows.join(got.filter("g is not null").select("g").distinct(), "g", "left_semi")
+    some = some.join(comp.toDF("component", "now"), "component", "left").withColumn("component", F.coalesce("now", "component"))
+    again = written(some.select(*rows.columns), "open-lists")
+    rest = written(across_lists(again, classes, False).filter("g is null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    links, comp = linked_with(verify(rest, docs), links, comp)
+    discard(got, first, again, rest)
+    return links, comp
+
+
 def linked_with(new: DataFrame, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """links and the new ones, and the components with them."""
     edges = new if comp is None else new.unionByName(comp.toDF("b", "a"))
@@ -536,22 +568,32 @@ def mixed_lists(found: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFr
     return m.select(F.explode(cells).alias("c"), "lo", "component", "outside").select("c.g", "c.role", "lo", "component", "outside")
 
 
-def across_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """a < b (doc_ids): the pairs of members in different components whose sizes and bitmaps allow a link."""
+def across_lists(rows: DataFrame, classes: DataFrame, few: bool) -> DataFrame:
+    """a < b (doc_ids), g: the pairs of members in different components whose sizes and bitmaps allow a link, or a
+    spanning forest of those components; and a row for each block g that holds any such pair."""
     parts = max(8, rows.count() // BLOCK_ROWS)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("g").combine_chunks()
         g, role, component, outside, rep, n = (table.column(c).to_numpy() for c in ("g", "role", "component", "outside", "rep", "n"))
         bits = as_words(table.column("bits"))
-        found: list[np.ndarray] = []
-
-        def keep(pairs: list[tuple[np.ndarray, np.ndarray]]):
-            i, j = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-            ok = within(*bits, i, j, (n[i] + n[j]) // 7)
-            found.append(np.unique(np.sort(np.stack([rep[i[ok]], rep[j[ok]]], 1), 1), axis=0))
+        held, count, blocks = [], 0, [np.zeros(0, np.int64)]
+        found = np.zeros((0, 5), np.int64)
+
+        def keep():
+            nonlocal held, count, found
+            if count:
+                i, j = (np.concatenate([x[k] for x in held]) for k in range(2))
+                d = apart(*bits, i, j, (n[i] + n[j]) // 7)
+                i, j, d = i[d >= 0], j[d >= 0], d[d >= 0]
+                blocks.append(np.unique(g[i]))
+                swap = rep[i] > rep[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found = np.unique(np.concatenate([found, np.stack([rep[i], rep[j], component[i], component[j], d], 1)]), axis=0)
+                if few:
+                    found = found[spanning(found[:, 2], found[:, 3], found[:, 4])]
+            held, count = [], 0
 
-        held, count = [], 0
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(g)], strict=True):
             mine = s + np.flatnonzero(outside[s:e] & (role[s:e] != 1))
@@ -563,15 +605,15 @@ def across_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 held.append((i[ok], j[ok]))
                 count += len(held[-1][0])
                 if count > 200_000:
-                    keep(held)
-                    held, count = [], 0
-        if held:
-            keep(held)
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+                    keep()
+        keep()
+        own = np.unique(np.concatenate(blocks))
+        pad = [[None] * len(own), [None] * len(found)]
+        both = [pa.concat_arrays([pa.array(found[:, k], pa.int64()), pa.array(pad[0], pa.int64())]) for k in range(2)]
+        return pa.table({"a": both[0], "b": both[1], "g": pa.concat_arrays([pa.array(pad[1], pa.int64()), pa.array(own, pa.int64())])})
 
     df = rows.join(classes, "lo").select(F.pmod("g", F.lit(parts)).alias("part"), "g", "role", "component", "outside", "rep", "n", "bits")
-    return df.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
+    return df.groupBy("part").applyInArrow(compare, "a long, b long, g long")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

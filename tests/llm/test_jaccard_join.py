@@ -115,6 +115,25 @@ def test_bitmaps_differ_at_most_as_the_sets_and_fold():
     sets = [np.concatenate([base[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64)]) for n in size]
     words, start, length = J.as_words(J.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
     i, j = np.triu_indices(len(size), 1)
-    apart = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i, j, strict=True)])
-    assert J.within(words, start, length, i, j, apart).all()
-    assert not J.within(words, start, length, i, j, np.full(len(i), -1)).any()
+    differ = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i, j, strict=True)])
+    got = J.apart(words, start, length, i, j, differ)
+    assert ((got >= 0) & (got <= differ)).all()
+    assert (J.apart(words, start, length, i, j, got - 1) == -1).all()
+
+
+def test_spanning_forest_is_minimal():
+    rng = np.random.default_rng(4)
+    a, b, cost = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    parent, total, edges = list(range(40)), 0, 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for c, x, y in sorted(zip(cost.tolist(), a.tolist(), b.tolist(), strict=True)):
+        if find(x) != find(y):
+            parent[find(x)], total, edges = find(y), total + c, edges + 1
+    got = J.spanning(a, b, cost)
+    assert (len(got), cost[got].sum()) == (edges, total)
+    assert len(J.spanning(a[:0], b[:0], cost[:0])) == 0
