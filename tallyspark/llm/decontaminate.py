@@ -226,4 +226,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     bad = written(contaminated(docs, benchmark, cover).select("doc_id").distinct(), "contaminated")
     few = bad.limit(500_001).count() <= 500_000
     bad = bad.withColumnRenamed("doc_id", "_bad")
-    return docs.join(F.broadcast(bad) if few else bad, docs.doc_id == F.col("_bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs.doc_id == bad["_bad"], "left_anti")

@@ -3,14 +3,16 @@
 Each letter has a random vector of +1 and -1. A trigram is bound by multiplying its letters' vectors, the first rotated
 by two places and the second by one; its middle is a letter, its ends letters or the word's edge. A document is the
 bundle (sum) of its trigrams' vectors, a language the bundle of its training documents. The language whose prototype has
-the largest cosine with the document is predicted; the score is that cosine (0 if negative).
+the largest cosine with the document is predicted; the score is that cosine (0 if negative), the margin how far it lies
+above the next language's.
 
 Training uses at most about SAMPLE documents of each language, chosen by a hash of doc_id from those whose
 crc32(doc_id) mod 5 isn't 0. All sums are integers, so prototypes don't depend on the order of rows.
 
 Defined cases: a null text or one without letters gets 'und' and score 0; a null doc_id counts as the text '' (held
-out); rows with a null language train nothing; without training rows all is 'und'; ties go to the first language in
-order; repeated rows are predicted alike.
+out); rows with a null language train nothing; without training rows, and in an empty table, all is 'und'; ties go to
+the first language in order; repeated rows are predicted alike; a very long text is bundled in one array of its
+characters, and all of it counts; extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,44 +141,47 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns keep, then lang_pred and score, for every row."""
+    """The columns keep, then lang_pred, score and margin, for every row."""
     names = sorted(n for n, v in prototypes.items() if v.any())
     p = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), DIMS).T.astype(np.float32)
     kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_text"))
     at = kept.columns.index("text" if "text" in keep else "_text")
     n = len(keep)
-    schema = kept.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = kept.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             col = batch.column(at)
-            lang, score = [UND] * len(col), np.zeros(len(col))
+            lang, score, margin = [UND] * len(col), np.zeros(len(col)), np.zeros(len(col))
             for a, _, texts in chunked(col):
                 v, letters_in = bundles(texts)
                 if names:
                     cos = (v @ p) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
                     best = cos.argmax(1)
+                    two = np.sort(np.maximum(cos, 0), 1)[:, -2:]
                     for i in np.flatnonzero(letters_in):
                         lang[a + i], score[a + i] = names[best[i]], min(1.0, max(0.0, round(float(cos[i, best[i]]), 6)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:n], "lang_pred", "score"])
+                        margin[a + i] = round(float(two[i, -1] - (two[i, 0] if len(names) > 1 else 0)), 6)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], names=[*batch.schema.names[:n], "lang_pred", "score", "margin"])
 
     return kept.mapInArrow(rows, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, margin for every row of docs (doc_id, text, lang)."""
     rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 0).alias("held_out"))
     return predict(rows, train(docs, sample), ["doc_id", "held_out"])
 
 
-def keep_known(docs: DataFrame, least: float, short: int = 200, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that aren't rejected; columns as they were.
+def keep_known(docs: DataFrame, least: float, margin: float = 0.0, short: int = 200, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that aren't rejected; columns as they were, with the predicted language as lang.
 
-    Rejected are texts without letters, and texts of `short` characters or more whose score is below `least`; shorter
-    ones hold too few trigrams to be rejected by score.
+    Rejected are texts without letters, and texts of `short` characters or more whose score is below `least` (unlike any
+    language) or whose margin is below `margin` (undecided between two); shorter ones hold too few trigrams for that.
     """
     cols = docs.columns
-    rows = docs.select(F.struct(*(c for c in cols if c != "text"), F.length("text").alias("_length")).alias("_row"), "text")
-    known = (F.col("lang_pred") != UND) & ((F.col("_row._length") < short) | (F.col("score") >= least))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols if c != "text"), F.length("text").alias("_length")).alias("_row"), "text")
+    known = (F.col("lang_pred") != UND) & ((F.col("_row._length") < short) | ((F.col("score") >= least) & (F.col("margin") >= margin)))
     kept = predict(rows, train(docs, sample), ["_row", "text"]).filter(known)
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"_row.{c}") for c in cols))
+    own = {"text": F.col("text"), "lang": F.col("lang_pred").alias("lang")}
+    return kept.select(*(own.get(c, F.col(f"_row.`{c}`").alias(c)) for c in cols))

@@ -158,7 +158,7 @@ def apply(docs: DataFrame, *, seed: str, domains: list[str], **options) -> DataF
     c = small(cuts(docs, seed=seed, domains=domains, **options))
     source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
     k = F.struct(domain_of(source, domains).alias("d"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("l"), source.alias("s"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), k.alias("leaf"), F.col("doc_id").alias("_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k.alias("leaf"), F.col("doc_id").alias("_id"))
     leaf = c.select(F.struct(F.col("m_domain").alias("d"), F.col("m_lang").alias("l"), F.col("m_source").alias("s")).alias("leaf"), "whole_epochs", "cut_key")
     n = copies(F.col("whole_epochs"), F.col("cut_key"), order_key(seed, F.col("whole_epochs"), F.col("_id")))
     taken = rows.join(maybe_broadcast(leaf), "leaf").withColumn("n", n.cast("int")).filter("n > 0")

@@ -8,7 +8,9 @@ no move helps; a new version is stored beside the old ones. Only the map (SLOTS
 Law: bytes. The sizes of the shards come near equal; a record larger than a shard's even part can't be split.
 
 Defined cases: a null doc_id hashes by its text's checksum; a null text has size 1 and checksum 0; rows that repeat a
-doc_id share a slot and are told apart by their place in it; an empty table gives an empty result.
+doc_id share a slot and are told apart by their place in it; ties (rows that are equal in doc_id, checksum and size)
+are numbered in any order; a very long text is one record; an empty table gives an empty result; extra columns aren't
+read, and with whole=True those that clash with a name of the result give way to it.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from tallyspark.session import shared_path, written
 SLOTS = 4096
 #: rows of a slot numbered in one task, about
 PART_ROWS = 100_000
+BROADCAST_ROWS = 200_000
+PLACED = ["doc_id", "size", "text_crc32", "vslot", "shard", "slot"]
 
 
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, h (a second hash that spreads the rows of a slot)."""
+def sized(docs: DataFrame, slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, h (a second hash that spreads the rows of a slot), row (the columns keep)."""
     raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
-    df = docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []
+    df = docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), *row)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("crc:"), F.col("text_crc32").cast("string")))
     return df.withColumn("vslot", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(slots)).cast("int")).withColumn("h", F.xxhash64(F.lit("part"), key, "text_crc32"))
 
@@ -120,8 +125,9 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}")
 
 
-def shard(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard and slot, the record's place in its shard (gapless from 0).
+def shard(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path: str | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard and slot, the record's place in its shard (gapless from 0); with whole also
+    the other columns of docs (texts then go through one exchange, by slots).
 
     Writes versions 1 and 2 of the map below map_path (a new folder in the shared one unless given).
     """
@@ -136,11 +142,16 @@ def shard(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path: str | N
 
     # places: slots of a shard in order, in each slot parts by the second hash, in each part the rows in order
     parts = max(1, -(-max([n for _, n in sizes.values()], default=0) // PART_ROWS))
-    records = records.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+    part = F.pmod("h", F.lit(parts)).cast("int")
+    records = records.withColumn("part", part)
     slot_map = load_map(spark, path, 2)
     counts = records.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(slot_map), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("vslot", "part", "shard", "first")
     own = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
-    placed = records.withColumn("at", F.row_number().over(own) - 1).join(first, ["vslot", "part"])
-    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"))
+    keep = [c for c in docs.columns if c not in PLACED] if whole else None
+    rows = sized(docs, slots, keep).withColumn("part", part) if keep else records
+    # at most slots * parts counts: a broadcast while they are few keeps the texts where the window has put them
+    few = slots * parts <= BROADCAST_ROWS
+    placed = rows.withColumn("at", F.row_number().over(own) - 1).join(F.broadcast(first) if few else first, ["vslot", "part"])
+    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), *(F.col(f"row.`{c}`").alias(c) for c in keep or ()))

@@ -2,6 +2,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyspark.llm import langid, mixing
 
@@ -81,3 +83,31 @@ def test_run_gives_what_the_stages_give(spark, sf):
 def test_rejected_documents_go(spark, sf):
     df = spark.createDataFrame([(1, "12 !! 34", "en", "src0", 8), (2, "the thing is here", "en", "src0", 17), (3, None, "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in langid.keep_known(df, corpus_pipeline.LEAST_SCORE).collect()} == {2}
+
+
+def test_undecided_documents_go_and_the_prediction_becomes_the_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = {x: " ".join(r.text for r in docs.filter(F.col("lang") == x).orderBy("doc_id").limit(12).collect())[:4000] for x in ("en", "de")}
+    half = long["en"][:1500] + " " + long["de"][:1500]
+    rows = [(-1, long["en"], "de", "s", 1), (-2, "zq " * 400, "en", "s", 1), (-3, half, "en", "s", 1), (-4, long["de"], None, "s", 1)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r.doc_id: r.lang for r in langid.keep_known(both, corpus_pipeline.LEAST_SCORE, corpus_pipeline.LEAST_MARGIN).filter("doc_id < 0").collect()}
+    assert got[-1] == "en" and got[-4] == "de" and -2 not in got
+
+
+def test_stages_on_empty_repeated_and_odd_rows(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = docs.filter("doc_id < 25")
+    odd = spark.createDataFrame([(None, "a text without id", "en", "s", 1), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "word " * 60000, "en", "s", 1)], docs.schema)
+    whole = some.unionByName(some.limit(5)).unionByName(odd)
+    for c in ("size", "_bad", "score", "lang_pred", "n", "slot", "_keep", "m_lang", "a.b"):
+        whole = whole.withColumn(c, whole.doc_id)
+    for rows in (docs.limit(0), whole):
+        at = rows
+        for name, stage in corpus_pipeline.STAGES:
+            before, at = at, stage(spark, at, str(tmp_path)).cache()
+            n = at.count()
+            assert n <= before.count() and (name == "shard" or at.columns == before.columns), name
+        assert {"doc_id", "text", "lang", "shard", "slot"} <= set(at.columns)
+        assert sorted((r.shard, r.slot) for r in at.collect()) == [(s, i) for s, k in sorted(Counter(r.shard for r in at.collect()).items()) for i in range(k)]
