@@ -10,7 +10,9 @@ Positions are code points, ends exclusive. The pieces between matches come from
 last match is read once and not again from every position.
 
 Defined cases: a null text counts as empty; a text without matches has zero counts and an empty list; repeated rows are
-scanned alike; extra columns of the input aren't read.
+scanned alike; spans that tie in start and kind can't be (matches of a kind don't overlap); very long texts and very
+long candidates are scanned whole, in time linear in their length; an empty table gives an empty result; extra columns
+of the input aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BASE = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 WINDOW = 20
+#: parts of one in sums of c*log2(c)
+UNIT = 1 << 40
 #: kind, characters, candidate pattern, bits a character at least
 CLASSES = [
     ("entropy_hex", "0123456789abcdefABCDEF", r"[0-9a-fA-F]{20,}", 3.0),
@@ -57,41 +61,61 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     return F.aggregate(pieces(text, pattern), start, step, lambda acc: acc["out"])
 
 
+def put(array: Column, at: Column, value: Column) -> Column:
+    """array with another value at a place."""
+    return F.concat(F.slice(array, F.lit(1), at - 1), F.array(value), F.slice(array, at + 1, F.size(array)))
+
+
 def hot_windows(text: Column, alphabet: str, bits: float) -> Column:
-    """Merged [start, end) of the windows of text whose entropy is at least `bits`."""
+    """Merged [start, end) of the windows of text whose entropy is at least `bits`. A step looks up the two counts that
+    change, so the time is linear in the text; sums of c*log2(c) are whole numbers of UNIT parts and never drift."""
     w = WINDOW
-    table = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(w + 2)))
-    limit = w * (math.log2(w) - bits) + 1e-9  # entropy >= bits, as a bound of sum c*log2(c)
+    table = F.array(*(F.lit(0 if c < 2 else round(c * math.log2(c) * UNIT)).cast("long") for c in range(w + 2)))
+    limit = int((w * (math.log2(w) - bits) + 1e-9) * UNIT)  # entropy >= bits, as a bound of sum c*log2(c)
+    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
+    leaving = F.concat(F.array_repeat(F.lit(0), w), F.slice(codes, F.lit(1), F.size(codes) - w))
+    steps = F.zip_with(codes, leaving, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    zeros = F.array_repeat(F.lit(0), len(alphabet))
-    start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("sum"), none.alias("out"))
-
-    def count(counts, code):
-        return F.coalesce(F.element_at(counts, code), F.lit(0))
+    nil = F.lit(0).cast("long")
+    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), nil.alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("s"), F.lit(0).alias("e"), none.alias("out"))
 
     def f(c):
         return F.element_at(table, c + 1)
 
-    def step(acc, i):
-        new = F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1)))
-        old = F.when(i > w, F.instr(F.lit(alphabet), F.substring(text, i - w, F.lit(1)))).otherwise(F.lit(0))
-        n, o = count(acc["counts"], new), F.when(old > 0, count(acc["counts"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
-        # counts before the step; where both are the same character nothing changes
-        change = F.when(new == old, F.lit(0.0)).otherwise(f(n + 1) - f(n) + F.when(old > 0, f(F.greatest(o - 1, F.lit(0))) - f(o)).otherwise(F.lit(0.0)))
-        counts = F.when(new == old, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0)))
-        total = acc["sum"] + change
-        last = F.element_at(acc["out"], -1)
-        joined = F.when((F.size(acc["out"]) > 0) & (last["e"] >= i - w), F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), i.alias("e"))))).otherwise(
-            F.concat(acc["out"], F.array(F.struct((i - w).alias("s"), i.alias("e"))))
+    def step(acc, x):
+        new, old, counts = x["new"], x["old"], acc["counts"]
+        n, o = F.element_at(counts, new), F.element_at(counts, old)
+        added = put(counts, new, n + 1)
+        moved = F.struct(
+            # where both are the same character nothing changes
+            F.when(new == old, counts).when(old > 0, put(added, old, o - 1)).otherwise(added).alias("counts"),
+            (acc["sum"] + F.when(new == old, nil).otherwise(f(n + 1) - f(n) + F.when(old > 0, f(o - 1) - f(o)).otherwise(nil))).alias("sum"),
+            (acc["i"] + 1).alias("i"),
         )
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when((i >= w) & (total <= limit), joined).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["out"])
+        def placed(t):
+            hot = (t["i"] >= w) & (t["sum"] <= limit)
+            apart = hot & ((acc["s"] < 0) | (acc["e"] < t["i"] - w))
+            ended = F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
+            return F.struct(
+                t["counts"].alias("counts"),
+                t["sum"].alias("sum"),
+                t["i"].alias("i"),
+                F.when(apart, t["i"] - w).otherwise(acc["s"]).alias("s"),
+                F.when(hot, t["i"]).otherwise(acc["e"]).alias("e"),
+                F.when(apart & (acc["s"] >= 0), ended).otherwise(acc["out"]).alias("out"),
+            )
+
+        # an array of one, so that what moved is computed once
+        return F.element_at(F.transform(F.array(moved), placed), 1)
+
+    last = lambda acc: F.when(acc["s"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))))
+    return F.aggregate(steps, start, step, last)
 
 
 def entropy_spans(text: Column, kind: str, alphabet: str, pattern: str, bits: float) -> Column:
-    """Spans of high entropy in the candidates of one class. A candidate without a digit isn't looked at."""
-    cands = F.filter(spans(text, kind, pattern, 0, WINDOW), lambda x: x["text"].rlike("[0-9]") & ~x["text"].rlike(ALLOW))
+    """Spans of high entropy in the candidates of one class."""
+    cands = F.filter(spans(text, kind, pattern, 0, WINDOW), lambda x: ~x["text"].rlike(ALLOW))
     hot = F.transform(
         cands,
         lambda c: F.transform(

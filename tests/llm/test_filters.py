@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -86,13 +87,25 @@ def test_secrets_against_brute_force(spark):
         more = []
         for name, alphabet, pattern, bits in secrets.CLASSES:
             for m in re.finditer(pattern, t or ""):
-                if re.search("[0-9]", m[0]) and not re.search(secrets.ALLOW, m[0]):
+                if not re.search(secrets.ALLOW, m[0]):
                     more += [(name, m.start() + a, m.start() + b) for a, b in hot(m[0], alphabet, bits) if not re.search(secrets.ALLOW, m[0][a:b])]
         assert sorted((x.kind, x.s, x.e) for x in got[i].found if x.kind.startswith("entropy")) == sorted(more), t
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in want) for j in range(3)]
     assert any(r.n_entropy for r in got.values())
 
 
+def test_secrets_without_digits_and_long_candidates(spark):
+    rng = random.Random(8)
+    letters = secrets.CLASSES[1][1]
+    texts = ["see " + "".join(rng.choice(letters[:52]) for _ in range(40)) + " there", "".join(rng.choice(letters) for _ in range(200_000)), "-" * 50 + " " + "=" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert sorted((x.s, x.e) for x in got[i].found if x.kind == "entropy_base64") == sorted((m.start() + a, m.start() + b) for m in re.finditer(secrets.CLASSES[1][2], t) for a, b in hot(m[0], *secrets.CLASSES[1][1::2]))
+    assert got[0].n_entropy and got[1].n_entropy and not got[2].n_entropy
+    assert secrets.scan(df.limit(0)).collect() == []
+
+
 def test_language_on_held_out_rows(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
