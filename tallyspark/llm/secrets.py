@@ -29,6 +29,8 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
+#: what a text must hold, in lower case, to have a match of a kind at all (fixed values); looked up before the pattern runs
+NEEDS = {"assign": ["password", "passwd", "secret", "token", "apikey", "api_key"], "access": ["akia"]}
 WINDOW = 20
 #: parts of one in sums of c*log2(c)
 UNIT = 1 << 40
@@ -47,10 +49,13 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\G[\s\S]*?(?:{pattern})"), 0)
 
 
+def no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<s:int,k:int,kind:string,e:int,text:string>>)")
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<s, k, kind, e, text>> of the matches whose group has `least` characters."""
-    none = F.expr("cast(array() as array<struct<s:int,k:int,kind:string,e:int,text:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
     def step(acc, piece):
         whole, measured = F.regexp_extract(piece, f"(?:{pattern})", 0), F.regexp_extract(piece, f"(?:{pattern})", group)
@@ -113,11 +118,10 @@ def hot_windows(text: Column, alphabet: str, bits: float) -> Column:
     return F.aggregate(steps, start, step, last)
 
 
-def entropy_spans(text: Column, kind: str, alphabet: str, pattern: str, bits: float) -> Column:
+def entropy_spans(candidates: Column, alphabet: str, bits: float) -> Column:
     """Spans of high entropy in the candidates of one class."""
-    cands = F.filter(spans(text, kind, pattern, 0, WINDOW), lambda x: ~x["text"].rlike(ALLOW))
     hot = F.transform(
-        cands,
+        F.filter(candidates, lambda x: ~x["text"].rlike(ALLOW)),
         lambda c: F.transform(
             hot_windows(c["text"], alphabet, bits),
             lambda h: F.struct((c["s"] + h["s"]).alias("s"), c["k"].alias("k"), c["kind"].alias("kind"), (c["s"] + h["e"]).alias("e"), F.substring(c["text"], h["s"] + 1, h["e"] - h["s"]).alias("text")),
@@ -135,11 +139,23 @@ def listed(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans, found (array of all spans with their texts)."""
     df = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    df = df.select("doc_id", "text", *(spans(F.col("text"), *b).alias(b[0]) for b in BASE))
-    base = F.concat(*(F.col(b[0]) for b in BASE))
-    df = df.withColumn("base", base)
-    more = F.concat(*(entropy_spans(F.col("text"), *c) for c in CLASSES))
-    df = df.withColumn("more", more)
+    low = F.lower("text")
+    base = []
+    for b in BASE:
+        found = spans(F.col("text"), *b)
+        if needs := NEEDS.get(b[0]):
+            some = F.lit(False)
+            for word in needs:
+                some = some | low.contains(word)
+            found = F.when(some, found).otherwise(no_spans())
+        base.append(found.alias(b[0]))
+    wide = CLASSES[-1]
+    df = df.select("doc_id", "text", *base, spans(F.col("text"), wide[0], wide[2], 0, WINDOW).alias("wide"))
+    df = df.withColumn("base", F.concat(*(F.col(b[0]) for b in BASE)))
+    # the characters of the other classes are among those of the widest, so their candidates lie in its
+    more = [F.when(F.size("wide") > 0, spans(F.col("text"), c[0], c[2], 0, WINDOW)).otherwise(no_spans()) for c in CLASSES[:-1]]
+    df = df.withColumns({f"candidates_{c[0]}": x for c, x in zip(CLASSES, [*more, F.col("wide")], strict=True)})
+    df = df.withColumn("more", F.concat(*(entropy_spans(F.col(f"candidates_{c[0]}"), c[1], c[3]) for c in CLASSES)))
     return df.select(
         "doc_id",
         *(F.size(b[0]).cast("long").alias(f"n_{b[0]}") for b in BASE),
