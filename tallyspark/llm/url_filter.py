@@ -72,8 +72,8 @@ def judge(pages: DataFrame, listing: DataFrame, rules: list[tuple[str, str]], bi
     listing: a table with a column url; urls are made canonical here.
     """
     listed = listing.select(canonical(F.col("url")).alias("url_key")).filter("url_key is not null").distinct()
-    blocks = 1
-    while blocks * 256 < listed.count() * bits_per_url:
+    blocks, bits = 1, listed.count() * bits_per_url
+    while blocks * 256 < bits:
         blocks *= 2
     filt = bloom(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
