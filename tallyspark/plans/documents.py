@@ -47,9 +47,9 @@ def f05(spark, d):
     return table(spark, d, "documents").select("doc_id", text.comparable(F.concat_ws(" ", "source", "lang")).alias("k"))
 
 
-@query("f06_collapsed", "SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS t FROM documents")
+@query("f06_collapsed", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents")
 def f06(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.collapsed(F.substring("text", 1, 200)).alias("t"))
+    return table(spark, d, "documents").select("doc_id", text.collapsed(F.col("text")).alias("t"))
 
 
 KIND = f"CASE o_orderkey % 5 WHEN 0 THEN '2026-01-02' WHEN 1 THEN '000123' WHEN 2 THEN {CENTS} WHEN 3 THEN '42' ELSE o_orderpriority END"
