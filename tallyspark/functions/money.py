@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_FLOOR, Context, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions import exact
+
+#: what amounts are computed in where they fit it exactly: 28 digits before the point and 10 after
 AMOUNT = "decimal(38,10)"
 #: fixed values: patterns of amounts
-PLAIN = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 GROUPED = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 UNSIGNED = r"^(\d+(\.\d+)?|\d{1,3}(,\d{3})+(\.\d+)?)$"
 RICH = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d{1,3}(?:[  ]\d{3})+|\d+)(?:\.\d+)?$"
@@ -21,21 +25,42 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def amount(text: Column, accounting: bool = True) -> Column:
-    """decimal or null. accounting: thousands in threes and (1.00) for negatives, whose inside has no sign."""
-    t = strip(text)
-    plain = F.when(t.rlike(PLAIN), t)
-    if accounting:
+def amount_text(text: Column, accounting: bool = True) -> Column:
+    """The amount as a plain decimal literal of any length, or null. Exponents are amounts; texts of more than 256
+    characters aren't. accounting: thousands in threes and (1.00) for negatives, whose inside has no sign."""
+
+    def formatted(t: Column) -> Column:
         inside = strip(F.regexp_extract(t, r"^\((.*)\)$", 1))
-        negative = t.rlike(r"^\(.*\)$")
-        plain = F.when(negative, F.when(inside.rlike(UNSIGNED), F.concat(F.lit("-"), F.replace(inside, F.lit(","), F.lit(""))))).otherwise(
-            F.when(t.contains(","), F.when(t.rlike(GROUPED), F.replace(t, F.lit(","), F.lit("")))).otherwise(plain)
-        )
-    return F.when(F.length(text) <= 256, plain.try_cast(AMOUNT))
+        negative = exact.let(inside, lambda x: F.when(x.rlike(UNSIGNED), F.concat(F.lit("-"), F.replace(x, F.lit(","), F.lit("")))))
+        grouped = F.when(t.rlike(GROUPED), F.replace(t, F.lit(","), F.lit("")))
+        return F.when(t.rlike(r"^\(.*\)$"), negative).when(t.contains(","), grouped).otherwise(t)
+
+    t = strip(text)
+    return F.when(F.length(text) <= 256, exact.plain(exact.let(t, formatted) if accounting else t))
+
+
+def fitting(text: Column) -> Column:
+    """A plain literal as AMOUNT; null where that would round it or can't hold it."""
+    return F.when(exact.fits(text, 27, 10), text.try_cast(AMOUNT))
+
+
+def amount(text: Column, accounting: bool = True) -> Column:
+    """decimal or null; null, too, for what AMOUNT can't hold exactly (amount_text has those)."""
+    return fitting(amount_text(text, accounting))
+
+
+def close(left: Column, right: Column, tolerance: str) -> Column:
+    """|left - right| <= tolerance of two plain literals, exactly. Those that fit AMOUNT are compared as such."""
+    # both have 10 places, so a tolerance's further places don't matter, nor what it exceeds their largest distance by
+    t = F.lit(min(Decimal(tolerance), Decimal("2e27")).quantize(Decimal("1e-10"), ROUND_FLOOR, Context(prec=60))).cast(AMOUNT)
+    texts = F.struct(left.alias("l"), right.alias("r"), fitting(left).alias("a"), fitting(right).alias("b"))
+    near = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), F.abs(x["a"] - x["b"]) <= t).otherwise(exact.within(x["l"], x["r"], tolerance))
+    return exact.let(texts, near)
 
 
 def rich(literal: Column) -> Column:
     """struct<kind, value, currency, percent, places, parentheses> of a literal from a financial table."""
+    # fixed values: the minus sign and brackets of wide forms
     text = F.translate(strip(literal), "−（）", "-()")
     negative = text.rlike(r"^\(.*\)$")
     inner = F.when(negative, strip(F.regexp_extract(text, r"^\((.*)\)$", 1))).otherwise(text)
@@ -71,6 +96,7 @@ def rich(literal: Column) -> Column:
 
 def unit(text: Column) -> Column:
     """The unit that a text names, if it names just one."""
+    # fixed values: unit names, and the two forms that name one
     names = "百万元|百萬元|千元|万元|萬元|亿元|億元|元"
     a = F.regexp_extract_all(text, F.lit(rf"(?:单位|單位)\s*[:：]\s*(?:(?:人民币|人民幣|港币|港幣|美元)\s*)?({names})"), 1)
     b = F.regexp_extract_all(text, F.lit(rf"[（(]\s*({names})\s*[)）]"), 1)

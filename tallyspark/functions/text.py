@@ -16,6 +16,20 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(T.StringType())
+def folded(s: pd.Series, trim: pd.Series, fold: pd.Series) -> pd.Series:
+    """NFC, then without white space at its ends and casefolded, as asked."""
+
+    def one(x: str | None, t: bool, f: bool) -> str | None:
+        if x is None:
+            return None
+        x = unicodedata.normalize("NFC", x)
+        x = x.strip() if t else x
+        return x.casefold() if f else x
+
+    return pd.Series([one(*v) for v in zip(s, trim, fold, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def comparable(s: pd.Series) -> pd.Series:
     """NFKC, casefold, no white space."""

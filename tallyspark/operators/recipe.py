@@ -14,11 +14,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions import exact
 from tallyspark.functions.money import strip
 
 OPERATORS = ("trim", "trim_columns", "rename", "map", "cast", "filter", "filter_compare", "group_summary", "duplicates")
 MAX_MAP = 1000
-EXACT = "decimal(38,12)"
+#: amounts of at most so many digits before and after the point are summed as this type; longer ones by limbs
+WHOLE, PLACES = 15, 12
+EXACT = f"decimal({WHOLE + PLACES},{PLACES})"
 
 
 class StepError(ValueError):
@@ -86,15 +89,15 @@ EXPONENT_NUMBER = r"(?U)^\s*[+-]?(\d+(\.\d*)?|\.\d+)[eE][+-]?\d+\s*$"
 
 
 def plain_decimal(v: Column) -> Column:
-    """A decimal literal as written, without plus sign, padding zeros or a bare point; exponents are written out.
+    """A decimal literal as written, without plus sign, padding zeros or a bare point. Exponents are written out, digit
+    by digit; one that needs more than exact.DIGITS places isn't a decimal.
 
     Each part is one replacement after the other on the same value, so a filter that Spark pushes below it stays small.
     """
     text = F.regexp_replace(v, r"(?U)^\s*\+?|\.?\s*$", "")
     text = F.regexp_replace(text, r"^(?<s>-?)0+(?=\d)", "${s}")
     text = F.regexp_replace(text, r"^(?<s>-?)\.", "${s}0.")
-    written = F.regexp_replace(v.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    return F.when(v.rlike(PLAIN_NUMBER), text).when(v.rlike(EXPONENT_NUMBER), written)
+    return F.when(v.rlike(PLAIN_NUMBER), text).when(v.rlike(EXPONENT_NUMBER), exact.plain(strip(v)))
 
 
 #: fixed value: an ISO week date
@@ -146,14 +149,21 @@ def keep(df: DataFrame, column: str, condition: str, value: str | None = None) -
 
 
 def keep_compared(df: DataFrame, column: str, comparison: str, value_kind: str, value: str, upper: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Typed comparison; cells of another kind (nulls, too) are left out with an error. between is inclusive."""
+    """Typed comparison; cells of another kind (nulls, too) are left out with an error. between is inclusive. Decimals of
+    any length are compared without rounding, by keys that sort as they do."""
     c = F.col(column)
     fits = c["kind"].isin("decimal", "integer") if value_kind == "decimal" else c["kind"] == value_kind
-    sql = {"decimal": EXACT, "date": "date", "text": "string"}[value_kind]
-    v, lo = c["value"].try_cast(sql), F.lit(value).cast(sql)
+    if value_kind == "decimal":
+        v, bound = exact.order_key(exact.plain(c["value"])), lambda x: F.lit(exact.order_key_of(x))
+        fits = fits & v.isNotNull()
+    else:
+        sql = {"date": "date", "text": "string"}[value_kind]
+        v, bound = c["value"].try_cast(sql), lambda x: F.lit(x).cast(sql)
+    fits = F.coalesce(fits, F.lit(False))
+    lo = bound(value)
     test = {"gt": v > lo, "ge": v >= lo, "lt": v < lo, "le": v <= lo}.get(comparison)
     if comparison == "between":
-        test = (v >= lo) & (v <= F.lit(upper).cast(sql))
+        test = (v >= lo) & (v <= bound(upper))
     errors = df.filter(~fits).select("row_id", "source_row", F.lit(column).alias("column"), F.lit("comparison_type_unknown").alias("code"), c["raw"].alias("raw"))
     return df.filter(fits & test), errors
 
@@ -166,27 +176,44 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
     """Rows per distinct key (kind and value; nulls together) and an exact sum of each amount.
 
     One amount that isn't a number makes its group's sum an error cell, never a partial sum. Sums and counts combine on
-    the map side; the lineage array, which holds a whole group, is only built when asked for.
+    the map side; the lineage array, which holds a whole group, is only built when asked for. Amounts that EXACT can't
+    hold are summed limb by limb beside the others (their rows are read once more) and both sums are added as limbs.
     """
     keys = key_of(columns)
     work = df
     for a in amounts:
         c = F.col(a)
-        work = work.withColumn(f"{a}_num", F.when(c["kind"].isin("decimal", "integer"), c["value"].try_cast(EXACT))).withColumn(f"{a}_places", F.when(c["kind"].isin("decimal", "integer"), F.length(F.regexp_extract(c["value"], r"\.(\d+)$", 1))))
+        work = work.withColumn(f"{a}_text", F.when(c["kind"].isin("decimal", "integer"), exact.plain(c["value"])))
+        work = work.withColumn(f"{a}_num", F.when(exact.fits(F.col(f"{a}_text"), WHOLE, PLACES), F.col(f"{a}_text").try_cast(EXACT)))
     aggs = [F.count(F.lit(1)).alias("row_count"), F.min("source_row").alias("first_row")]
     for a in amounts:
-        aggs += [F.sum(f"{a}_num").alias(f"{a}_sum"), F.count_if(F.col(f"{a}_num").isNull()).alias(f"{a}_bad"), F.max(f"{a}_places").alias(f"{a}_scale")]
+        places = F.length(F.regexp_extract(f"{a}_text", r"\.(\d+)$", 1))
+        aggs += [F.coalesce(F.sum(f"{a}_num"), F.lit(0).cast("decimal(37,12)")).alias(f"{a}_sum"), F.count_if(F.col(f"{a}_text").isNull()).alias(f"{a}_bad"), F.max(places).alias(f"{a}_scale")]
     if lineage:
         aggs.append(F.sort_array(F.collect_list(F.struct("source_row", "row_id"))).alias("source_rows"))
     out = work.groupBy(*keys).agg(*aggs)
+    key_json = F.to_json(F.array(*(F.array(F.col(f"{c}_kind"), F.col(f"{c}_value")) for c in columns)))
+    out = out.withColumn("row_id", F.concat(F.lit("r"), F.substring(F.sha2(key_json, 256), 1, 32)))
     for a in amounts:
-        total = F.substring_index(F.col(f"{a}_sum").cast("string"), ".", 1)
-        frac = F.substr(F.substring_index(F.col(f"{a}_sum").cast("string"), ".", -1), F.lit(1), F.col(f"{a}_scale"))
+        out = out.join(long_sums(work, keys, key_json, a), "row_id", "left")
+        total = F.substring_index(F.col(f"{a}_sum").cast("decimal(38,12)").cast("string"), ".", 1)
+        frac = F.substr(F.substring_index(F.col(f"{a}_sum").cast("decimal(38,12)").cast("string"), ".", -1), F.lit(1), F.col(f"{a}_scale"))
         text = F.when(F.col(f"{a}_scale") > 0, F.concat(total, F.lit("."), frac)).otherwise(total)
-        ok = F.col(f"{a}_bad") == 0
-        out = out.withColumn(f"{a}_kind", F.when(ok, "decimal").otherwise("error")).withColumn(f"{a}_total", F.when(ok, text)).drop(f"{a}_sum", f"{a}_bad", f"{a}_scale")
-    key_json = F.to_json(F.array(*(F.array(F.col(f"{c}_kind"), F.col(f"{c}_value")) for c in columns)))
-    return out.withColumn("row_id", F.concat(F.lit("r"), F.substring(F.sha2(key_json, 256), 1, 32)))
+        short = exact.limbs(F.col(f"{a}_sum").cast("string"))
+        both = exact.text_of(F.zip_with(short, f"{a}_long", lambda x, y: (x + y).cast(exact.WIDE)), F.col(f"{a}_scale"))
+        out = out.withColumn(f"{a}_total", F.when(F.col(f"{a}_bad") == 0, F.when(F.col(f"{a}_long").isNull(), text).otherwise(both)))
+        out = out.withColumn(f"{a}_kind", F.when(F.col(f"{a}_total").isNotNull(), "decimal").otherwise("error")).drop(f"{a}_sum", f"{a}_bad", f"{a}_scale", f"{a}_long")
+    return out
+
+
+def long_sums(work: DataFrame, keys: list[Column], key_json: Column, a: str) -> DataFrame:
+    """row_id and the summed limbs of the amounts that EXACT can't hold, for the keys that have any. Limbs are summed a
+    row each, on the map side first; a key then has exact.LIMBS of them."""
+    each = work.filter(F.col(f"{a}_num").isNull() & F.col(f"{a}_text").isNotNull()).select(*keys, F.posexplode(exact.limbs(F.col(f"{a}_text"))).alias("at", "limb"))
+    each = each.select(F.concat(F.lit("r"), F.substring(F.sha2(key_json, 256), 1, 32)).alias("row_id"), "at", "limb")
+    sums = each.groupBy("row_id", "at").agg(F.sum("limb").alias("limb"))
+    in_turn = F.transform(F.sort_array(F.collect_list(F.struct("at", "limb"))), lambda x: x["limb"])
+    return sums.groupBy("row_id").agg(in_turn.alias(f"{a}_long"))
 
 
 def mark_duplicates(df: DataFrame, columns: list[str], include_null: bool = False) -> DataFrame:

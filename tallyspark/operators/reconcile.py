@@ -10,13 +10,17 @@ keys are read again, by a semi join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import amount, strip
+from tallyspark.functions.exact import let, order_key_of
+from tallyspark.functions.money import amount_text, close, fitting, strip
+from tallyspark.functions.text import folded
 
 CATEGORIES = ("same", "different", "only_left", "only_right", "ambiguous_left", "ambiguous_right")
 
@@ -46,8 +50,11 @@ def token(c: Column, spec: Spec) -> Column:
     """The text that two equal cells share; null where a cell never matches."""
     value = c["value"]
     if spec.type_policy == "text":
-        value = strip(value) if spec.trim_text else value
-        value = F.lower(value) if spec.casefold_text else value
+        # plain ASCII needs no Unicode forms; only other texts go to the Arrow function
+        ascii_ = value.rlike(r"^[\x00-\x7F]*$")
+        plain = strip(value) if spec.trim_text else value
+        plain = F.lower(plain) if spec.casefold_text else plain
+        value = F.when(ascii_, plain).otherwise(folded(F.when(~ascii_, value), F.lit(spec.trim_text), F.lit(spec.casefold_text)))
     kind = F.lit("text") if spec.type_policy == "text" else c["kind"]
     null = F.lit('["null",null]') if spec.null_policy == "equal" else F.lit(None).cast("string")
     return F.when(c["kind"] == "unknown_formula", F.lit(None).cast("string")).when(c["kind"] == "null", null).otherwise(F.to_json(F.array(kind, value)))
@@ -58,8 +65,8 @@ def equal(left: Column, right: Column, spec: Spec, is_amount: bool) -> Column:
     odd = left["kind"].isin("null", "unknown_formula") | right["kind"].isin("null", "unknown_formula")
     if is_amount:
         accounting = spec.amount_format == "financial-v1"
-        number = lambda c: F.when(c["kind"].isin("text", "decimal", "integer"), amount(c["value"], accounting))
-        same = F.coalesce(F.abs(number(left) - number(right)) <= F.lit(Decimal(spec.tolerance)), F.lit(False))
+        number = lambda c: F.when(c["kind"].isin("text", "decimal", "integer"), amount_text(c["value"], accounting))
+        same = let(F.struct(number(left).alias("l"), number(right).alias("r")), lambda x: F.coalesce(close(x["l"], x["r"], spec.tolerance), F.lit(False)))
     else:
         same = F.coalesce(token(left, spec) == token(right, spec), F.lit(False))
     return F.when(nulls, F.lit(spec.null_policy == "equal")).when(odd, F.lit(False)).otherwise(same)
@@ -115,8 +122,28 @@ def coverage(result: DataFrame) -> DataFrame:
 
 
 def deltas(result: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each compared amount of each pair: left, right, delta and whether it is within the tolerance."""
+    """A row for each compared amount of each pair: left, right, delta and whether it is within the tolerance.
+
+    Amounts and deltas are decimals with 10 places, null where those can't hold an amount exactly; the verdict is exact
+    for amounts of any length."""
     accounting = spec.amount_format == "financial-v1"
-    each = F.array(*(F.struct(F.lit(f"{a}:{b}").alias("field"), amount(F.col("L")[a]["value"], accounting).alias("left_amount"), amount(F.col("R")[b]["value"], accounting).alias("right_amount")) for a, b in spec.compare if a in spec.amounts))
+    text = lambda c: amount_text(c["value"], accounting)
+    each = F.array(*(F.struct(F.lit(f"{a}:{b}").alias("field"), text(F.col("L")[a]).alias("l"), text(F.col("R")[b]).alias("r")) for a, b in spec.compare if a in spec.amounts))
     df = result.filter("L is not null and R is not null").select("left_row_id", "right_row_id", F.explode(each).alias("x")).select("left_row_id", "right_row_id", "x.*")
-    return df.withColumn("delta", F.col("right_amount") - F.col("left_amount")).withColumn("within_tolerance", F.coalesce(F.abs("delta") <= F.lit(Decimal(spec.tolerance)), F.lit(False)))
+    df = df.withColumns({"left_amount": fitting(F.col("l")), "right_amount": fitting(F.col("r"))})
+    df = df.withColumn("delta", F.col("right_amount") - F.col("left_amount")).withColumn("within_tolerance", F.coalesce(close(F.col("l"), F.col("r"), spec.tolerance), F.lit(False)))
+    return df.drop("l", "r")
+
+
+def digest(df: DataFrame) -> str:
+    """A hash of a table's rows whatever their order: counts and sums of two 64-bit hashes a row, one row to the driver."""
+    row = F.struct(*df.columns)
+    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")) for seed in (1, 2)]
+    return hashlib.sha256(repr(tuple(map(str, df.agg(F.count(F.lit(1)), *sums).first()))).encode()).hexdigest()
+
+
+def comparison_id(left_revision: str, right_revision: str, spec: Spec, left: DataFrame, right: DataFrame) -> str:
+    """The name of a comparison: the same for equal revisions, rows and policy, and for nothing else."""
+    policy = asdict(spec) | {"amounts": sorted(spec.amounts), "tolerance": order_key_of(spec.tolerance)}
+    body = {"left": [left_revision, digest(left)], "right": [right_revision, digest(right)], "policy": policy}
+    return "cmp" + hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:32]

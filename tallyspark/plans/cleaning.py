@@ -257,3 +257,44 @@ def j02(spark, d):
     side = lambda df: cells.to_cells(df.select("no", "l_orderkey", "l_linenumber"), "no", columns=["l_orderkey", "l_linenumber"])
     spec = Spec(keys=(("c1", "c1"), ("c2", "c2")))
     return coverage(reconcile(side(li), side(li.filter("l_linestatus = 'O'")), spec)).select("same", "only_left", "ambiguous_keys", "ambiguous_left")
+
+
+@query("c05_cast_exponents", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // CAST(10 ** l_linenumber AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(l_orderkey % CAST(10 ** l_linenumber AS BIGINT) AS VARCHAR), l_linenumber, '0') AS value FROM lineitem")
+def c05x(spark, d):
+    li = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("no"), "l_orderkey", "l_linenumber", F.concat_ws("e-", "l_orderkey", "l_linenumber").alias("amount"))
+    df = recipe.cast(cells.to_cells(li, "no", columns=["l_orderkey", "l_linenumber", "amount"]), "c3", "decimal")[0]
+    return df.select(F.col("c1.value").cast("long").alias("l_orderkey"), F.col("c2.value").cast("int").alias("l_linenumber"), val("c3", "value"))
+
+
+def long_amounts(spark, d):
+    """lineitem with amounts of 14 places and of 30 digits."""
+    li = table(spark, d, "lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber").alias("no"), "l_returnflag", F.concat("l_orderkey", F.lit(".0000000000000"), "l_linenumber").alias("fine"), F.concat(F.lit("1"), F.lpad(F.col("l_orderkey").cast("string"), 29, "0")).alias("long")
+    )
+    df = cells.to_cells(li, "no", columns=["l_returnflag", "fine", "long"])
+    return recipe.cast(recipe.cast(df, "c2", "decimal")[0], "c3", "decimal")[0]
+
+
+LONG = "SELECT l_returnflag AS flag, CAST(l_orderkey || '.0000000000000' || l_linenumber AS DECIMAL(38,14)) AS fine, CAST('1' || lpad(CAST(l_orderkey AS VARCHAR), 29, '0') AS DECIMAL(38,0)) AS long FROM lineitem"
+
+
+@query("c12_long_sums", f"SELECT flag, count(*) AS row_count, CAST(sum(fine) AS VARCHAR) AS fine, CAST(sum(long) AS VARCHAR) AS long FROM ({LONG}) GROUP BY flag")
+def c12l(spark, d):
+    out = recipe.group_summary(long_amounts(spark, d), ["c1"], ["c2", "c3"])
+    return out.select(F.col("c1_value").alias("flag"), "row_count", F.col("c2_total").alias("fine"), F.col("c3_total").alias("long"))
+
+
+@query("c11_long_compare", f"SELECT CAST(fine AS VARCHAR) AS fine, count(*) AS n FROM ({LONG}) WHERE fine > 100.00000000000002 AND long <= 100000000000000000000000004000 GROUP BY 1")
+def c11l(spark, d):
+    df = recipe.keep_compared(long_amounts(spark, d), "c2", "gt", "decimal", "100.00000000000002")[0]
+    df = recipe.keep_compared(df, "c3", "le", "decimal", "1" + "0" * 25 + "4000")[0]
+    return df.groupBy(F.col("c2.value").alias("fine")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j06_long_amounts", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <= 1 THEN 'same' ELSE 'different' END AS category FROM orders")
+def j06l(spark, d):
+    """Amounts of 30 digits that differ by 0, 1 or 2, at a tolerance of 1."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"))
+    side = lambda more: cells.to_cells(o.select("o_orderkey", "id", F.concat(F.lit("7"), F.lpad((F.col("o_orderkey") + more).cast("string"), 29, "0")).alias("amount")), "o_orderkey", columns=["id", "amount"])
+    r = reconcile(side(F.lit(0)), side(F.col("o_orderkey") % 3), Spec((("c1", "c1"),), (("c2", "c2"),), frozenset({"c2"}), tolerance="1"))
+    return r.select(F.col("L.c1.value").cast("long").alias("id"), "category")
