@@ -102,7 +102,16 @@ def cuts(docs: DataFrame, *, total_share: tuple[int, int], weights: dict, domain
 
     total_share (a, b): the root's budget is a/b of the tokens in the table.
     """
-    d = with_leaf(docs, domains)
+    return cuts_of(leafed(docs, domains), total_share=total_share, weights=weights, max_epochs=max_epochs, seed=seed)
+
+
+def leafed(docs: DataFrame, domains: list[str]) -> DataFrame:
+    """with_leaf, written: the texts are read and their words counted once."""
+    return written(with_leaf(docs, domains), "mix-leaf")
+
+
+def cuts_of(d: DataFrame, *, total_share: tuple[int, int], weights: dict, max_epochs: int, seed: str) -> DataFrame:
+    """cuts() of documents that have their leaf and tokens."""
     key = ["m_domain", "m_lang", "m_source"]
     leaves = small(d.groupBy(*key).agg(F.sum("m_tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_docs")))
     plan = budgets(leaves, total_share, weights, max_epochs)
@@ -143,9 +152,10 @@ def copies(plan_row_epochs: Column, cut: Column, key: Column) -> Column:
 
 def plan(docs: DataFrame, *, seed: str, domains: list[str], **options) -> DataFrame:
     """A row per document: doc_id, domain, lang, source, tokens, leaf_budget, copies (0: left out)."""
-    c = small(cuts(docs, seed=seed, domains=domains, **options))
+    leaf = leafed(docs, domains)
+    c = small(cuts_of(leaf, seed=seed, **options))
     key = ["m_domain", "m_lang", "m_source"]
-    d = with_leaf(docs, domains).join(maybe_broadcast(c.select(*key, "leaf_budget", "whole_epochs", "cut_key")), key)
+    d = leaf.join(maybe_broadcast(c.select(*key, "leaf_budget", "whole_epochs", "cut_key")), key)
     n = copies(F.col("whole_epochs"), F.col("cut_key"), order_key(seed, F.col("whole_epochs"), F.col("doc_id")))
     return d.select("doc_id", F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), F.col("m_tokens").alias("tokens"), "leaf_budget", n.cast("long").alias("copies"))
 
