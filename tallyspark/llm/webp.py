@@ -4,15 +4,24 @@ decode() reads any lossless WebP still image (VP8L): prefix codes with their cod
 LZ77 back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. It
 gives a pixel array of height x width x 4 (RGBA).
 
-encode() writes a sample array. Each channel of an image of bytes uses one prefix code over the values that occur,
-padded to a power of two so that all its codewords have one length. Such an image is a sequence of codewords of equal
-length, which decode() unpacks by vector operations; all else goes through the general loop.
+encode() writes a sample array with what pays by an estimate of its bits: a palette for few colours, else a predictor
+(left or top) or subtract-green; back-references found by equal windows of four pixels; a colour cache; and prefix codes
+by frequency. Where an image is too small to pay for codes of its own it takes STATIC codes, made by a rule from the
+letters of prose; they stand in the file like any others. Nothing but the image decides, so equal texts give equal files.
+
+decode() reads a main image by vector operations: at every bit of a stretch it looks up the token that would begin
+there and where the next one would, follows that chain, then resolves copies by pointer doubling. Inner images, and
+those with groups of codes, go through the general loop.
+
+Defined cases: a null text is empty; an empty text is a row of spaces; rows that repeat stay rows; an empty table gives
+an empty table; extra columns are dropped; a text of more than 768 MB raises ValueError.
 
 A payload of bytes is stored as RGB samples, 64 pixels a row (a wider row where there are more than 16384 of them).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -71,6 +80,15 @@ def reverse(code: int, k: int) -> int:
     return int(format(code, f"0{k}b")[::-1], 2) if k else 0
 
 
+@functools.cache
+def _reversed(k: int) -> np.ndarray:
+    """The numbers of k bits, each with its bits in reverse."""
+    out = np.zeros(1 << k, np.int64)
+    for i in range(k):
+        out |= (np.arange(1 << k) >> i & 1) << (k - 1 - i)
+    return out
+
+
 class Code:
     """A canonical prefix code. flat: the bits of all codewords where they are equal, with their symbols in order."""
 
@@ -89,7 +107,7 @@ class Code:
         if all(k == self.top for k, _ in used):
             self.flat, self.symbols = self.top, np.array([s for _, s in used])
         self.used = used
-        self.table = None
+        self.table = self.wide = None
 
     def build(self) -> None:
         self.table = [None] * (1 << self.top)
@@ -101,6 +119,17 @@ class Code:
                 self.table[reverse(code, k) | fill << k] = (k, s)
             code += 1
 
+    def lookup(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The mask of the bits to look at, and for each value of them the codeword's length and symbol."""
+        if self.only is not None:
+            return 0, np.zeros(1, np.int64), np.array([self.only], np.int64)
+        if self.wide is None:
+            k, sym = np.array(sorted(self.used), np.int64).T
+            times = 1 << (self.top - k)
+            back = _reversed(self.top)
+            self.wide = (1 << self.top) - 1, np.repeat(k, times)[back], np.repeat(sym, times)[back]
+        return self.wide
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -164,11 +193,17 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (which >> 8 & 0xFFFF).reshape(-1)
         groups = int(which.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[read_code(bits, n) for n in (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)] for _ in range(groups)]
+    known = static_codes(bits) if main and groups == 1 and not cache_size else None
+    if known:
+        codes = [known]
+    else:
+        codes = [[read_code(bits, n) for n in (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)] for _ in range(groups)]
     if groups == 1 and not cache_size:
         quick = read_flat(bits, codes[0], width * height)
         if quick is not None:
             return quick
+    if main and groups == 1 and codes[0][0].only is None:
+        return read_tokens(bits, codes[0], width, height, cache_bits)
     return read_loop(bits, codes, width, height, cache_bits, shift, which)
 
 
@@ -197,6 +232,139 @@ def read_flat(bits: Bits, codes: list[Code], n: int) -> np.ndarray | None:
     return out
 
 
+#: bits that are looked at in one go, and those that the longest token may have
+STRETCH, LONGEST = 1 << 18, 160
+
+
+def taken(raw: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """k bits (32 at most) at each of the bit positions."""
+    byte = at >> 3
+    v = np.zeros(len(at), np.uint64)
+    for i in range(5):
+        v |= raw[byte + i].astype(np.uint64) << np.uint64(8 * i)
+    return (v >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << k) - 1)
+
+
+def extra_bits(symbol: np.ndarray) -> np.ndarray:
+    return np.maximum(symbol - 2, 0) >> 1
+
+
+def numbers(symbol: np.ndarray, extra: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """copied() of many symbols, whose extra bits hold more."""
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1
+
+
+def read_tokens(bits: Bits, codes: list[Code], width: int, height: int, cache_bits: int) -> np.ndarray:
+    """The pixels of a main image with one group of codes. Memory is bounded by the image and one stretch of bits."""
+    n = width * height
+    (mg, lg, sg), (mr, lr, sr), (mb, lb, sb), (ma, la, sa), (md, ld, sd) = (c.lookup() for c in codes)
+    file = np.frombuffer(bits.raw, np.uint8)
+    at, seen = bits.position(), 0
+    sizes, values, kinds, gaps = [], [], [], []
+    while seen < n:
+        if at >= 8 * len(file):
+            raise ValueError("the stream ends early")
+        first = at >> 3
+        raw = file[first : first + (STRETCH + LONGEST) // 8]
+        limit = min(8 * len(raw), STRETCH)
+        raw = np.concatenate([raw, np.zeros(LONGEST // 4 + 8, np.uint8)])
+        three = raw[:-2].astype(np.uint32) | raw[1:-1].astype(np.uint32) << np.uint32(8) | raw[2:].astype(np.uint32) << np.uint32(16)
+        window = (three.astype(np.int64)[:, None] >> np.arange(8)).reshape(-1)
+        low = window & mg
+        symbol = sg.take(low)
+        after_green = np.arange(limit)
+        after_green += lg.take(low[:limit])
+        red = lr.take(low if mr == mg else window & mr)
+        blue = red if lb is lr else lb.take(window & mb)
+        to = after_green + red.take(after_green)
+        to += blue.take(to)
+        if ma:
+            to += la.take(window.take(to) & ma)
+        odd = np.flatnonzero(symbol[:limit] > 255)
+        if len(odd):
+            q = after_green[odd]
+            copy = symbol[odd] < 256 + LENGTHS
+            to[odd[~copy]] = q[~copy]
+            q = q[copy] + extra_bits(symbol[odd[copy]] - 256)
+            far = window[q] & md
+            to[odd[copy]] = q + ld[far] + extra_bits(sd[far])
+        chain, step, p = [], to.tolist(), at - 8 * first
+        while p < limit:
+            chain.append(p)
+            p = step[p]
+        at = 8 * first + p
+        way = np.array(chain, np.int64)
+        kind, q = symbol.take(way), after_green.take(way)
+        size, gap = np.ones(len(way), np.int64), np.zeros(len(way), np.int64)
+        # a token that isn't a literal gets a value, too, which nothing reads
+        v = kind << 8 | sr.take(window.take(q) & mr) << 16
+        ql = q + red.take(q)
+        v |= sb.take(window.take(ql) & mb)
+        if ma:
+            ql = ql + blue.take(ql)
+            v |= sa.take(window.take(ql) & ma) << 24
+        else:
+            v |= int(sa[0]) << 24
+        value = (v & 0xFFFFFFFF).astype(np.uint32)
+        copy = np.flatnonzero((kind > 255) & (kind < 256 + LENGTHS))
+        if len(copy):
+            qc, k = q[copy], kind[copy] - 256
+            ex = extra_bits(k)
+            size[copy] = numbers(k, ex, taken(raw, qc, ex))
+            qc = qc + ex
+            far = window[qc] & md
+            qc, k = qc + ld[far], sd[far]
+            ex = extra_bits(k)
+            d = numbers(k, ex, taken(raw, qc, ex))
+            gap[copy] = np.where(d > 120, d - 120, np.maximum(1, _NEAR_X[np.minimum(d, 120) - 1] + _NEAR_Y[np.minimum(d, 120) - 1] * width))
+        seen += int(size.sum())
+        sizes.append(size)
+        values.append(value)
+        kinds.append(kind)
+        gaps.append(gap)
+    size, value, kind, gap = (np.concatenate(x) for x in (sizes, values, kinds, gaps))
+    last = int(np.searchsorted(np.cumsum(size), n)) + 1
+    size, value, kind, gap = size[:last], value[:last], kind[:last], gap[:last]
+    if int(size.sum()) != n:
+        raise ValueError("a back-reference leaves the image")
+    if not gap.any() and not cache_bits:
+        return value
+    start = np.cumsum(size) - size
+    if (gap > start).any():
+        raise ValueError("a back-reference leaves the image")
+    if cache_bits:
+        return with_cache(size, value, kind, gap, cache_bits)
+    src = np.arange(n) - np.repeat(gap, size)
+    while True:
+        up = src[src]
+        if (up == src).all():
+            return np.repeat(value, size)[src]
+        src = up
+
+
+def with_cache(size, value, kind, gap, cache_bits: int) -> np.ndarray:
+    """The pixels of tokens, in turn, as each changes the colour cache."""
+    shift, cache, out = 32 - cache_bits, [0] * (1 << cache_bits), []
+    slots = slot(value, cache_bits).tolist()
+    for k, v, s, g, m in zip(kind.tolist(), value.tolist(), slots, gap.tolist(), size.tolist(), strict=True):
+        if k < 256:
+            cache[s] = v
+            out.append(v)
+        elif g:
+            for _ in range(m):
+                v = out[-g]
+                out.append(v)
+                cache[(v * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = v
+        else:
+            out.append(cache[k - 256 - LENGTHS])
+    return np.array(out, np.uint32)
+
+
+def slot(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Where the colour cache keeps each pixel."""
+    return (argb.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+
+
 def read_loop(bits: Bits, codes, width: int, height: int, cache_bits: int, shift: int, which) -> np.ndarray:
     n = width * height
     out = [0] * n
@@ -301,6 +469,13 @@ def undo_predictor(argb: np.ndarray, width: int, height: int, size: int, modes:
     p[0, 0] = (p[0, 0] + black) & 255
     # the first row adds its left neighbour, the first column the one above
     p[0, 1:] = (np.cumsum(p[0], 0) & 255)[1:]
+    used = set((modes >> 8 & 15).tolist())
+    if used == {2} or height == 1:
+        return joined(np.cumsum(p, 0).reshape(-1, 4))
+    if used == {1}:
+        p[:, 0] = np.cumsum(p[:, 0], 0)
+        p[1:] = np.cumsum(p[1:], 1)
+        return joined(p.reshape(-1, 4))
     for y in range(1, height):
         p[y, 0] = (p[y, 0] + p[y - 1, 0]) & 255
         row, up = p[y], p[y - 1]
@@ -379,6 +554,7 @@ def decode(raw: bytes) -> np.ndarray:
 
 
 _NEAR = _short_distances()
+_NEAR_X, _NEAR_Y = np.array(_NEAR, np.int64).T
 
 
 class Writer:
@@ -392,85 +568,339 @@ class Writer:
         self.n += k
 
 
-def put_flat_code(w: Writer, symbols: np.ndarray, k: int, size: int) -> None:
-    """A code whose given 1 << k symbols all have k bits (k = 0: one symbol without bits)."""
-    if k == 0 or (k == 1 and len(symbols) == 2):
+def code_lengths(count: np.ndarray, limit: int) -> np.ndarray:
+    """The codeword lengths of a Huffman code, of limit bits at most; rare symbols count for more where it is deeper."""
+    used = np.flatnonzero(count)
+    out = np.zeros(len(count), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weight, least = count[used], 1
+    while True:
+        w = np.maximum(weight, least)
+        order = np.argsort(w, kind="stable")
+        leaves, n = w[order].tolist(), len(used)
+        inner, parent = [], [0] * (2 * n - 1)
+        a = b = 0
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if a < n and (b >= len(inner) or leaves[a] <= inner[b]):
+                    total += leaves[a]
+                    parent[a] = node
+                    a += 1
+                else:
+                    total += inner[b]
+                    parent[n + b] = node
+                    b += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:n]) <= limit:
+            out[used[order]] = depth[:n]
+            return out
+        least = max(2 * least, int(weight.sum()) >> limit)
+
+
+def codewords(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codewords, as they stand in the stream (first bit lowest)."""
+    used = np.flatnonzero(lengths)
+    out = np.zeros(len(lengths), np.uint64)
+    if len(used) < 2:
+        return out
+    k = lengths[used]
+    order = np.lexsort((used, k))
+    top = int(k.max())
+    share = 1 << (top - k[order])
+    code = (np.cumsum(share) - share) >> (top - k[order])
+    back = _reversed(top)
+    out[used[order]] = back[code] >> (top - k[order])
+    return out
+
+
+DEEPEST = 12
+
+
+def put_code(w: Writer, lengths: np.ndarray) -> np.ndarray:
+    """Write a code; gives the bits that its symbols take (none where there is one symbol only)."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) < 2 and (not used or used[0] < 256):
         w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
+        w.put(0, 1)
         w.put(1, 1)
-        for s in symbols.tolist():
-            w.put(s, 8)
-        return
+        w.put(used[0] if used else 0, 8)
+        return np.zeros(len(lengths), np.int64)
+    words, last = [], -1
+    for s in [*used, len(lengths)]:
+        gap = s - last - 1
+        while gap >= 11:
+            m = min(138, gap)
+            words.append((18, m - 11, 7))
+            gap -= m
+        if gap >= 3:
+            words.append((17, gap - 3, 3))
+            gap = 0
+        words += [(0, 0, 0)] * gap
+        if s < len(lengths):
+            words.append((int(lengths[s]), 0, 0))
+        last = s
+    own = code_lengths(np.bincount([x[0] for x in words], minlength=19), 7)
+    code = codewords(own).tolist()
     w.put(0, 1)
-    # code lengths: k, 0, runs of zeros (17, 18) and repeats (16), all of which get three-bit codes with one spare
-    kinds = [0, k, 16, 17, 18]
-    lengths = {0: 2, k: 2, 16: 2, 17: 3, 18: 3}
     w.put(15, 4)
     for s in LENGTH_ORDER:
-        w.put(lengths.get(s, 0), 3)
-    code, last, words = 0, 0, {}
-    for n, s in sorted((lengths[s], s) for s in kinds):
-        code <<= n - last
-        last = n
-        words[s] = (reverse(code, n), n)
-        code += 1
+        w.put(int(own[s]), 3)
     w.put(0, 1)  # all lengths follow
-    have = np.zeros(size, np.int8)
-    have[symbols] = 1
-    edge = np.flatnonzero(np.diff(have)) + 1
-    for s, e in zip([0, *edge.tolist()], [*edge.tolist(), size], strict=True):
-        n = e - s
-        if have[s]:
-            w.put(*words[k])
-            n -= 1
-            while n >= 3:
-                m = min(6, n)
-                w.put(*words[16])
-                w.put(m - 3, 2)
-                n -= m
-            for _ in range(n):
-                w.put(*words[k])
+    bare = np.count_nonzero(own) < 2
+    size = own.tolist()
+    for s, extra, k in words:
+        if not bare:
+            w.put(code[s], size[s])
+        w.put(extra, k)
+    return lengths if len(used) > 1 else np.zeros(len(lengths), np.int64)
+
+
+def copies(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of back-references, in order and apart.
+
+    Each pixel looks at the last earlier one where the same four pixels begin; stretches with one distance are a copy.
+    """
+    none = np.zeros(0, np.int64)
+    if len(px) < 5:
+        return none, none, none
+    p = px.astype(np.uint64)
+    key = ((p[:-3] * np.uint64(0x9E3779B97F4A7C15) + p[1:-2]) * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:-1]) * np.uint64(0x165667B19E3779F9) + p[3:]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return none, none, none
+    gap = np.zeros(len(key), np.int64)
+    gap[order[same + 1]] = order[same + 1] - order[same]
+    edge = np.flatnonzero(np.diff(gap)) + 1
+    start = np.concatenate([[0], edge])
+    end = np.concatenate([edge, [len(key)]]) + 3
+    real = gap[start] > 0
+    start, end = start[real], end[real]
+    d = gap[start]
+    start[1:] = np.maximum(start[1:], end[:-1])
+    long = end - start >= 4
+    start, end, d = start[long], end[long], d[long]
+    # a hash may agree by chance: what isn't equal isn't copied
+    inside = np.repeat(start - np.cumsum(end - start) + (end - start), end - start) + np.arange(int((end - start).sum()))
+    wrong = px[inside] != px[inside - np.repeat(d, end - start)]
+    if wrong.any():
+        bad = np.unique(np.repeat(np.arange(len(start)), end - start)[wrong])
+        start, end, d = (np.delete(x, bad) for x in (start, end, d))
+    parts = -(-(end - start) // 4096)
+    no = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(start, parts) + 4096 * no
+    return begin, np.minimum(np.repeat(end, parts) - begin, 4096), np.repeat(d, parts)
+
+
+def prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of extra bits and extra bits of lengths or distances."""
+    n = v - 1
+    high = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    k = np.where(n < 4, 0, high - 1)
+    return np.where(n < 4, n, 2 * high + (n >> np.maximum(k, 0) & 1)), k, np.where(n < 4, 0, n & ((1 << k) - 1))
+
+
+def bits_of(count: np.ndarray) -> float:
+    """Bits that symbols with these counts take by their entropy."""
+    c = count[count > 0]
+    return float((c * np.log2(c.sum() / c)).sum())
+
+
+CACHE_BITS = 8
+#: tokens of an image that has use for a colour cache; about the bits that codes of its own take, and what they must
+#: spare, as making and reading them takes time
+CACHED, OWN_HEAD, SPARED = 4096, 700, 6000
+#: fixed values: the commonest bytes of prose, in falling order; each next one counts for so much less
+PROSE, FALL = b" eantirsoludchmgpfvbwkyzq.,jx", 0.87
+
+
+@functools.cache
+def static_lengths() -> list[np.ndarray]:
+    letter = np.zeros(256, np.int64)
+    letter[[10, *range(32, 127), *range(128, 192), 195]] = 4
+    letter[list(PROSE)] = [max(2, int(3000 * FALL**i)) for i in range(len(PROSE))]
+    copied_ = np.full(LENGTHS, 40)
+    return [code_lengths(x, DEEPEST) for x in (np.concatenate([letter, copied_]), letter, letter, np.arange(256) == 255, np.ones(DISTANCES, np.int64))]
+
+
+@functools.cache
+def static_head() -> tuple[int, int, tuple]:
+    """The static codes as they stand in a stream: bits, their number, and bits a symbol."""
+    w = Writer()
+    k = tuple(put_code(w, x) for x in static_lengths())
+    return w.value, w.n, k
+
+
+@functools.cache
+def _static_codes() -> tuple:
+    lengths = static_lengths()
+    green, letter, alpha, far = (Code(x.tolist()) for x in (lengths[0], lengths[1], lengths[3], lengths[4]))
+    return green, letter, letter, alpha, far
+
+
+def static_codes(bits: Bits) -> list[Code] | None:
+    """The static codes, if they stand next in the stream (which is then behind them)."""
+    value, n, _ = static_head()
+    if (bits.n - bits.at) * 8 + bits.have < n:
+        return None
+    bits.need(n)
+    if bits.value & ((1 << n) - 1) != value:
+        return None
+    bits.read(n)
+    return list(_static_codes())
+
+
+def put_image(w: Writer, px: np.ndarray, main: bool) -> np.ndarray:
+    """Write cache, codes (to w) and pixels; gives the pixels' bits."""
+    start, size, gap = copies(px)
+    literal = np.ones(len(px), bool)
+    if len(start):
+        literal[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = False
+    begins = literal.copy()
+    begins[start] = True
+    at = np.flatnonzero(begins)
+    p = px[at].astype(np.int64)
+    green, red, blue, alpha = p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24
+    plain = literal[at]
+    copy = np.flatnonzero(~plain)
+    len_sym, len_k, len_x = prefixed(size)
+    far_sym, far_k, far_x = prefixed(gap + 120)
+    green[copy] = 256 + len_sym
+    hits = np.zeros(0, np.int64)
+    if main and len(at) > CACHED:
+        where = slot(px, CACHE_BITS)
+        order = np.argsort(where, kind="stable")
+        again = np.zeros(len(px), bool)
+        again[order[1:]] = (where[order[1:]] == where[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+        hits = np.flatnonzero(again[at] & plain)
+        # a hit spares some four bits, and the longer code costs three a slot
+        if 4 * len(hits) < 3 << CACHE_BITS:
+            hits = hits[:0]
         else:
-            while n >= 11:
-                m = min(138, n)
-                w.put(*words[18])
-                w.put(m - 11, 7)
-                n -= m
-            if n >= 3:
-                w.put(*words[17])
-                w.put(n - 3, 3)
-                n = 0
-            for _ in range(n):
-                w.put(*words[0])
+            green[hits] = 256 + LENGTHS + where[at[hits]].astype(np.int64)
+            plain = plain.copy()
+            plain[hits] = False
+    cached = len(hits) > 0
+    counts = [np.bincount(green, minlength=256 + LENGTHS + ((1 << CACHE_BITS) if cached else 0))]
+    counts += [np.bincount(x[plain], minlength=256) for x in (red, blue, alpha)] + [np.bincount(far_sym, minlength=DISTANCES)]
+    static = False
+    if main and not cached and counts[3][255] == counts[3].sum():
+        _, head, fixed = static_head()
+        if not any(c[k == 0].any() for c, k in zip(counts[:3], fixed, strict=False)):
+            own = sum(bits_of(c) for c in counts if c.any())
+            static = sum(int(c @ k) for c, k in zip(counts, fixed, strict=True)) + head < own + OWN_HEAD + SPARED
+    w.put(1 | CACHE_BITS << 1 if cached else 0, 5 if cached else 1)
+    if main:
+        w.put(0, 1)  # one group of codes
+    if static:
+        lengths = static_lengths()
+        value, n, bits = static_head()
+        w.put(value, n)
+    else:
+        lengths = [code_lengths(c, DEEPEST) for c in counts]
+        bits = [put_code(w, k) for k in lengths]
+    words = [_static_words()[i] if static else codewords(k) for i, k in enumerate(lengths)]
+    # each token is one number of up to 64 bits
+    n = bits[0][green]
+    token = words[0][green]
+    for sym, k, word in ((red, bits[1], words[1]), (blue, bits[2], words[2]), (alpha, bits[3], words[3])):
+        if k.any():
+            token |= word.take(sym) * plain << n.view(np.uint64)
+            n = n + k.take(sym) * plain
+    if len(copy):
+        more, k = token[copy], n[copy]
+        for v, width in ((len_x, len_k), (words[4][far_sym], bits[4][far_sym]), (far_x, far_k)):
+            more |= v.astype(np.uint64) << k.astype(np.uint64)
+            k = k + width
+        token[copy], n[copy] = more, k
+    # the low bit of each token, shifted by its place in it
+    total = int(n.sum())
+    inside = np.arange(total)
+    inside -= np.repeat(np.cumsum(n) - n, n)
+    out = np.repeat(token, n)
+    out >>= inside.view(np.uint64)
+    return out.astype(np.uint8) & np.uint8(1)
+
+
+@functools.cache
+def _static_words() -> tuple:
+    return tuple(codewords(k) for k in static_lengths())
+
+
+def put_bits(w: Writer, px: np.ndarray) -> None:
+    """An inner image, all of it to w."""
+    for b in put_image(w, px, False).tolist():
+        w.put(b, 1)
+
+
+def transformed(w: Writer, rgb: np.ndarray) -> np.ndarray:
+    """Write the transforms that pay, and give the pixels that are left."""
+    height, width = rgb.shape[:2]
+    c = rgb.astype(np.uint8)
+    argb = joined(np.concatenate([np.full((height, width, 1), 255, np.uint8), c], -1).reshape(-1, 4))
+    k = len(set(argb[:64].tolist()))
+    colours = np.unique(argb) if k <= 16 else argb[:0]
+    k = max(k, len(colours))
+    if k <= 16 and 4 * k < height * width:
+        bundle = 3 if k <= 2 else 2 if k <= 4 else 1
+        w.put(1 | 3 << 1, 3)
+        w.put(k - 1, 8)
+        listed = channels(colours)
+        put_bits(w, joined(np.diff(listed, axis=0, prepend=0)))
+        each, wide = 8 >> bundle, -(-width // (1 << bundle))
+        no = np.zeros((height, wide << bundle), np.int64)
+        no[:, :width] = np.searchsorted(colours, argb).reshape(height, width)
+        green = (no.reshape(height, wide, 1 << bundle) << (np.arange(1 << bundle) * each)).sum(-1)
+        return (np.uint32(255 << 24) | green.astype(np.uint32).reshape(-1) << np.uint32(8)).astype(np.uint32)
+    # a difference pays only where neighbours or channels are often equal
+    alike = [np.count_nonzero(c[:, 1:] == c[:, :-1]), np.count_nonzero(c[1:] == c[:-1]), 1.5 * np.count_nonzero(c[..., [0, 2]] == c[..., 1:2])]
+    if max(alike) < 0.2 * c.size:
+        return argb
+    # samples as they are, less green, less the left and less the upper neighbour
+    left, top = c.copy(), c.copy()
+    left[:, 1:] -= c[:, :-1]
+    left[1:, 0] -= c[:-1, 0]
+    top[1:] -= c[:-1]
+    top[0, 1:] -= c[0, :-1]
+    green = c.copy()
+    green[..., [0, 2]] -= c[..., 1:2]
+    ways = (c, green, left, top)
+    count = np.bincount((np.stack(ways).reshape(4, -1) + (256 * np.arange(4))[:, None]).reshape(-1), minlength=1024).reshape(4, 256)
+    cost = (c.size * np.log2(c.size) - (count * np.log2(np.maximum(count, 1))).sum(1)).tolist()
+    best = int(np.argmin(cost))
+    if cost[best] > 0.9 * cost[0] - 200:
+        return argb
+    alpha = np.full((height, width, 1), 255, np.uint8)
+    if best == 1:
+        w.put(1 | 2 << 1, 3)
+    else:
+        alpha[:] = 0
+        alpha[0, 0] = 0
+        w.put(1 | 0 << 1 | 7 << 3, 6)
+        blocks = -(-width // 512) * -(-height // 512)
+        put_bits(w, np.full(blocks, 255 << 24 | (best - 1) << 8, np.uint32))
+    return joined(np.concatenate([alpha, ways[best]], -1).reshape(-1, 4))
 
 
 def encode(rgb: np.ndarray) -> bytes:
     """A lossless WebP file of height x width x 3 samples."""
     height, width = rgb.shape[:2]
-    count = np.bincount(rgb.reshape(-1), minlength=256)
-    used = np.flatnonzero(count)
-    k = max(0, int(len(used) - 1).bit_length())
-    if k:
-        spare = np.flatnonzero(count == 0)[: (1 << k) - len(used)]
-        used = np.sort(np.concatenate([used, spare]))
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    put_flat_code(w, used, k, 256 + LENGTHS)
-    put_flat_code(w, used, k, 256)
-    put_flat_code(w, used, k, 256)
-    put_flat_code(w, np.array([255]), 0, 256)
-    put_flat_code(w, np.array([0]), 0, DISTANCES)
+    px = transformed(w, rgb)
+    w.put(0, 1)  # no more transforms
+    body = put_image(w, px, True)
     head = np.unpackbits(np.frombuffer(w.value.to_bytes(-(-w.n // 8), "little"), np.uint8), bitorder="little")[: w.n]
-    if k:
-        no = np.zeros(256, np.uint8)
-        no[used] = np.arange(len(used))
-        body = np.unpackbits((no[rgb[:, :, [1, 0, 2]].reshape(-1)] << np.uint8(8 - k)).reshape(-1, 1), axis=1)[:, :k].reshape(-1)
-        head = np.concatenate([head, body])
-    data = np.packbits(head, bitorder="little").tobytes()
+    data = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
 
