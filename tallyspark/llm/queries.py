@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, jaccard_join, langid, mixing, passages, secrets, sharding, url_filter, warc, webp
+from tallyspark.llm import decontaminate, filter_audit, jaccard_join, langid, license_scan, mixing, passages, ranked_search, secrets, sharding, url_filter, warc, webp
 from tallyspark.llm.sql import ORACLE_SQL  # noqa: F401
 from tallyspark.session import written
 
@@ -79,6 +79,18 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,5 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_webp_media,
         op10_compact_windows,
+        op11_filter_audit,
+        op12_tiered_search,
+        op13_license_scan,
     )
 }

@@ -1,12 +1,14 @@
 """DuckDB twins of the queries that SQL can express.
 
-Op 1, 7 and 8 are exact in SQL. The others have none: 2, 3, 6, 9 and 10 hash or decode whole texts by methods without an
+Op 1, 7, 8, 11, 12 and 13 are exact in SQL. The others have none: 2, 3, 6, 9 and 10 hash or decode whole texts by methods without an
 SQL form or are too slow there, 4 needs positions of matches and sliding windows, 5 edits a map in a loop; tests hold
 them against brute force, exact round trips or held-out accuracy.
 """
 
 import zlib
 
+from tallyspark.llm import license_scan
+
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1)"
@@ -62,4 +64,60 @@ _OP8 = f"""WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) A
 b AS (SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS kept FROM s)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_PART} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM b"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op7_mix_budgets": _OP7, "op8_warc_revisits": _OP8}
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+_CHAIN = ", ".join(f"{_LETTERS} p{i}(l, b)" for i in range(1, 6))
+_DIFFER = " AND ".join(f"p{i}.l <> p{j}.l" for i in range(1, 6) for j in range(i + 1, 6))
+_OP11 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT p1.l || p2.l || p3.l || p4.l || p5.l AS filter_order, [p1.b, p2.b, p3.b, p4.b, p5.b] AS bits FROM {_CHAIN} WHERE {_DIFFER}),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE mask & (own | before) = 0) AS kept, sum(n) FILTER (WHERE mask & own > 0 AND mask & before = 0) AS removed, sum(n) FILTER (WHERE mask & own > 0 AND mask & before > 0) AS redundant,
+  sum(n) FILTER (WHERE mask = own) AS unique_fails, sum(good) FILTER (WHERE mask & own > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (WHERE mask & own > 0 AND mask & before = 0) AS toxic_lost
+  FROM h, (SELECT filter_order, step, own, CAST(before AS INTEGER) AS before FROM s) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM x"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP12 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS ts FROM documents),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark)),
+c AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, 10 + (90 * n * (SELECT docs FROM c)) // (SELECT words FROM c) AS m FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term, n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM c) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN p USING (term) JOIN w USING (term) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+def _templates() -> str:
+    """The templates as rows: number, label, width, how many words a block must hold, a word."""
+    known = license_scan.TEMPLATES
+    rows = []
+    for i, (label, text) in enumerate(known):
+        own = license_scan.plain_terms(text)
+        need = license_scan.needed(len(set(own)), license_scan.LEAST)
+        rows += [f"({i}, '{label}', {license_scan.width_of(len(own))}, {need}, {len(set(own))}, '{w}')" for w in sorted(set(own))]
+    return f"(VALUES {', '.join(rows)}) k(template, label, width, need, t, word)"
+
+
+_PAIR = {label: phrase.split() for phrase, label in license_scan.PHRASES}
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, i - 1 AS place FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE " + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase)) for label, phrase in _PAIR.items()
+)
+_OP13 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+k AS (SELECT * FROM {_templates()}),
+b AS ({_BASE}),
+bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY 1),
+h AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d) WHERE word IN (SELECT word FROM k)),
+x AS (SELECT DISTINCT doc_id, template, label, need, t, h.word, pos // (width // 2) - back AS block FROM h JOIN k ON h.word = k.word, range(2) r(back)),
+m AS (SELECT doc_id, template, label, block, count(*) / max(t) AS containment FROM x WHERE block >= 0 GROUP BY ALL HAVING count(*) >= max(need)),
+mm AS (SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS score FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN mm USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op7_mix_budgets": _OP7, "op8_warc_revisits": _OP8, "op11_filter_audit": _OP11, "op12_tiered_search": _OP12, "op13_license_scan": _OP13}

@@ -21,6 +21,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: bytes that end a term: all of ASCII but letters and digits
+_GAP = np.ones(256, bool)
+_GAP[48:58] = _GAP[65:91] = _GAP[97:123] = False
+_GAP[128:] = False
 _POW = np.ones(1, U)
 _INV = np.ones(1, U)
 
@@ -64,13 +68,13 @@ def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         a = b
 
 
-def word_spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the first word of each document (one more entry than documents)."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(starts), np.int64)
-    inside = ~_SPACE[buf]
+    inside = ~gaps[buf]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     first = inside.copy()
@@ -137,3 +141,33 @@ def shingle_sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         s, e, bounds = word_spans(buf, starts)
         h, first = distinct(*shingles(word_hashes(buf, s, e), bounds))
         yield a, b, h, first
+
+
+def terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, hashes, bounds): the terms of the documents of a batch, in order, by chunks. A term is a run of
+    ASCII letters, digits and characters outside ASCII; A-Z count as a-z. A document of more than CHUNK bytes is cut
+    into pieces where a term has ended, so the memory needed beside its hashes doesn't grow with it."""
+    for a, b, buf, starts in chunks(col):
+        if len(buf) <= CHUNK:
+            s, e, bounds = word_spans(buf, starts, _GAP)
+            yield a, b, word_hashes(buf, s, e), bounds
+            continue
+        parts, at = [np.zeros(0, U)], 0
+        while at < len(buf):
+            end = min(at + CHUNK, len(buf))
+            while end < len(buf) and not _GAP[buf[end]]:
+                gap = np.flatnonzero(_GAP[buf[end : end + CHUNK]])
+                end = end + int(gap[0]) if len(gap) else min(end + CHUNK, len(buf))
+            s, e, _ = word_spans(buf[at:end], np.array([0, end - at]), _GAP)
+            parts.append(word_hashes(buf[at:end], s, e))
+            at = end
+        h = np.concatenate(parts)
+        yield a, b, h, np.array([0, len(h)])
+
+
+def term_hashes(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of the terms of each text, in order."""
+    out = []
+    for _, _, h, bounds in terms(pa.array(texts, pa.string())):
+        out += [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
