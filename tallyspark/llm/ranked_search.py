@@ -6,12 +6,13 @@ impact: the terms' saturations are counted in LEVELS levels, and a level is in t
 of the term lie above it. So no list is ever sorted or gathered, however common its term is. For each tier the greatest
 impact that lies below it bounds what it leaves out of a term: the residual bound.
 
-A round reads the postings of tiers up to t for the items still open. A class is then known to score its sum so far at
-least, and at most that sum plus the residual bounds of the terms it wasn't met under. Classes whose upper bound doesn't reach
-the item's tenth lower bound go; the others are scored exactly from their own term counts. An item is proven if its
-tenth score is greater than what a class that was never met could reach, the sum of all its residual bounds. Items
-without that proof fall through to the next tier; the last one holds everything and needs none. Nothing is cut off:
-results are those of scoring every document.
+Tier 0 of an item's terms comes first. The classes that it puts first are scored exactly, from their own term counts:
+the item's tenth document has their tenth score at least. An item is proven at a tier if what the tier leaves out, the sum of
+the residual bounds, is less than that score: a class that was never met can't be among the ten. Items without that
+proof fall through to the first tier that gives it; the last one leaves nothing out and needs none. There a class that
+was met scores at most its sum so far and the residual bounds of the terms it wasn't met under. If that is below the
+tenth score it goes, else it is scored exactly. Below tier 0 the most frequent terms, whose greatest impacts stay within half
+of the tenth score together, needn't be read at all. Nothing is cut off: results are those of scoring every document.
 
 Postings are never joined with each other: items come in blocks of at most BLOCK item terms, which are broadcast, and
 all postings pass by them. Postings of a text stand together, so sums are made before the shuffle.
@@ -40,7 +41,7 @@ from tallyspark.session import discard, written
 TOP = 10
 LEVELS = 64
 #: postings of a term in tier 0, about, by how much each further tier is larger, and how many tiers there are
-FIRST, GROWTH, TIERS = 1000, 10, 4
+FIRST, GROWTH, TIERS = 250, 16, 4
 #: item terms broadcast at once
 BLOCK = 100_000
 #: asked terms that are sent to all tasks; an index of more terms takes all terms of the texts
@@ -133,77 +134,78 @@ def build(docs: DataFrame, asked: np.ndarray | None = None) -> Index:
     return Index(texts.drop("digest"), members, levels, bounds, postings)
 
 
-def _best(scored: DataFrame, by: str, at_least: int = TOP) -> DataFrame:
-    """The TOP rows of each q by `by`; Spark limits groups before the shuffle too."""
-    w = Window.partitionBy("q").orderBy(F.desc(by), "cls")
-    return scored.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= at_least)
-
-
 def _ranked(index: Index, scored: DataFrame) -> DataFrame:
-    """q, rank, doc_id, score: the TOP documents of scored (q, cls, score). A class among them is among the TOP classes
-    by score and least doc_id, as each has a document at least."""
+    """q, rank, doc_id, score: the TOP documents of scored (q, cls, score)."""
     docs = scored.filter("score > 0").join(index.members, "cls")
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return docs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP).select("q", "rank", "doc_id", "score")
 
 
-def _candidates(scored: DataFrame) -> DataFrame:
-    """Those of scored (q, cls, score) whose score is among the item's TOP scores, ties included."""
-    tenth = _best(scored, "score").filter(F.col("no") == TOP).select("q", F.col("score").alias("tenth"))
-    return scored.join(F.broadcast(tenth), "q", "left").filter("tenth is null or score >= tenth").drop("tenth")
-
-
-def _round(index: Index, asked: DataFrame, tier: int, floor: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The items of asked (q, term), with what tiers up to `tier` show: q, rank, doc_id, score, proven, and per item
-    q, tenth: a score that its tenth document has at least."""
-    bound = index.bounds.filter(F.col("tier") == tier).select("term", "bound")
-    terms = asked.join(bound, "term", "left").fillna(0, ["bound"])
-    rest = terms.groupBy("q").agg(F.sum("bound").alias("rest"))
+def _sums(index: Index, terms: DataFrame, tier: int) -> DataFrame:
+    """q, cls, low, high: what classes met in tiers up to `tier` score at least and at most. terms (q, term, bound,
+    rest): what is read, the residual bound of each term, and all that the item leaves out."""
     met = index.postings.filter(F.col("tier") <= tier).join(F.broadcast(terms), "term")
-    sums = met.groupBy("q", "cls").agg(F.sum("impact").alias("low"), F.sum(F.col("impact") - F.col("bound")).alias("gain"))
-    sums = sums.join(F.broadcast(rest), "q").withColumn("high", F.col("gain") + F.col("rest"))
-    if floor is not None:
-        sums = sums.join(F.broadcast(floor), "q", "left").filter("tenth is null or high >= tenth").drop("tenth")
-    sums = written(sums.select("q", "cls", "low", "high"), "search-sums")
-    low = _best(sums, "low").filter(F.col("no") == TOP).select("q", F.col("low").alias("tenth"))
-    near = sums.join(F.broadcast(low), "q", "left").filter("tenth is null or high >= tenth").select("q", "cls")
-    # exact scores of what is left, from the texts' own counts
-    weights = index.levels.groupBy("term").agg(F.first("weight").alias("weight"))
-    own = F.broadcast(asked.join(weights, "term"))
-    pairs = near.join(index.texts, "cls").select("q", "cls", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("q", "cls", F.col("x.terms").alias("term"), F.expr(saturation("x.tfs")).alias("sat"))
-    exact = written(pairs.join(own, ["q", "term"]).groupBy("q", "cls").agg(F.sum(F.col("weight") * F.col("sat")).alias("score")), "search-exact")
-    found = _ranked(index, _candidates(exact))
-    tenth = found.filter(F.col("rank") == TOP).select("q", F.col("score").alias("tenth"))
-    proof = rest.join(tenth, "q", "left").select("q", "tenth", ((F.col("rest") == 0) | F.coalesce(F.col("tenth") > F.col("rest"), F.lit(False))).alias("proven"))
-    out = written(proof.join(found, "q", "left"), "search-found")
-    discard(sums, exact)
-    return out.filter("proven").select("q", "rank", "doc_id", "score"), out.filter("not proven").select("q", "tenth").distinct()
+    g = met.groupBy("q", "cls", "rest").agg(F.sum("impact").alias("low"), F.sum(F.col("impact") - F.col("bound")).alias("gain"))
+    return g.select("q", "cls", "low", (F.col("gain") + F.col("rest")).alias("high"))
+
+
+def _exact(index: Index, near: DataFrame, asked: DataFrame) -> DataFrame:
+    """near (q, cls) with their scores, from the texts' own counts."""
+    near = written(near, "search-near")
+    few = near.count() <= BROADCAST_ROWS
+    own = F.broadcast(asked.select("q", "term", "weight"))
+    pairs = index.texts.join(F.broadcast(near) if few else near, "cls").select("q", "cls", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    pairs = pairs.select("q", "cls", F.col("x.terms").alias("term"), F.expr(saturation("x.tfs")).alias("sat"))
+    return pairs.join(own, ["q", "term"]).groupBy("q", "cls").agg(F.sum(F.col("weight") * F.col("sat")).alias("score"))
+
+
+def _tenths(index: Index, asked: DataFrame) -> DataFrame:
+    """q, tenth: a score that the item's tenth document has at least (null: fewer than TOP were met), exact scores of
+    the TOP classes that tier 0 puts first."""
+    first = asked.withColumn("bound", F.lit(0)).withColumn("rest", F.lit(0)).select("q", "term", "bound", "rest")
+    w = Window.partitionBy("q").orderBy(F.desc("low"), "cls")
+    best = _sums(index, first, 0).withColumn("no", F.row_number().over(w)).filter(F.col("no") <= TOP).select("q", "cls")
+    found = _ranked(index, _exact(index, best, asked)).filter(F.col("rank") == TOP).select("q", F.col("score").alias("tenth"))
+    return asked.select("q").distinct().join(found, "q", "left")
+
+
+def _planned(index: Index, asked: DataFrame, tenths: DataFrame) -> DataFrame:
+    """q, term, tenth, tier, bound, rest: per item the first tier whose residual bounds leave less than its tenth score,
+    and what is read there. Its most frequent terms, as far as their greatest impacts stay within half of the
+    tenth score together, aren't read in tiers after the first: they leave out their greatest impact."""
+    t = asked.join(F.broadcast(tenths), "q")
+    frequent = Window.partitionBy("q").orderBy("weight", "term")  # terms of one item
+    t = t.withColumn("spared", F.coalesce(F.sum("most").over(frequent) * 2 <= F.col("tenth"), F.lit(False)))
+    tiers = t.select("*", F.explode(F.expr(f"sequence(0, {TIERS - 1})")).alias("tier"))
+    left = F.when((F.col("tier") > 0) & F.col("spared"), F.col("most")).otherwise(F.coalesce("bound", F.lit(0)))
+    tiers = tiers.join(index.bounds, ["term", "tier"], "left").withColumn("bound", left)
+    rest = tiers.groupBy("q", "tier").agg(F.sum("bound").alias("rest"), F.first("tenth").alias("tenth"))
+    proves = rest.filter((F.col("rest") == 0) | (F.col("rest") < F.col("tenth")))
+    chosen = proves.groupBy("q").agg(F.min("tier").alias("tier")).join(rest.select("q", "tier", "rest"), ["q", "tier"])
+    read = tiers.join(chosen, ["q", "tier"]).filter("not (tier > 0 and spared)")
+    return read.select("q", "term", "weight", "tenth", "tier", "bound", "rest")
 
 
 def search(index: Index, items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """q, rank, doc_id, score for items (q, terms), and how many items were open before each tier."""
+    """q, rank, doc_id, score for items (q, terms), and how many items each tier proved."""
     spark = items.sparkSession
-    asked = items.select("q", F.explode("terms").alias("term")).distinct()
-    held = asked.join(index.levels.select("term").distinct(), "term", "left_semi")
-    asked = written(held, "search-asked")
+    weights = index.levels.groupBy("term").agg(F.first("weight").alias("weight"), (F.max("weight") * F.max("top")).alias("most"))
+    asked = written(items.select("q", F.explode("terms").alias("term")).distinct().join(weights, "term"), "search-asked")
     block = F.floor((F.sum("n").over(Window.orderBy("q")) - 1) / BLOCK).cast("int")  # one row an item
     sizes = written(asked.groupBy("q").agg(F.count(F.lit(1)).alias("n")).select("q", block.alias("block")), "search-blocks")
     blocks = sizes.agg(F.max("block")).first()[0]
-    parts, opened = [], [0] * TIERS
-    for b in range(0 if blocks is None else blocks + 1):
-        open_ = sizes.filter(F.col("block") == b).select("q", F.lit(None).cast("long").alias("tenth"))
-        for tier in range(TIERS):
-            n = open_.count()
-            opened[tier] += n
-            if not n:
-                break
-            own = asked.join(F.broadcast(open_.select("q")), "q", "left_semi")
-            done, open_ = _round(index, own, tier, open_ if tier else None)
-            parts.append(done)
     out = spark.createDataFrame([], "q long, rank int, score long").withColumn("doc_id", F.lit(None).cast(index.members.schema["doc_id"].dataType))
-    for p in parts:
-        out = out.unionByName(p)
-    return out.filter("rank is not null"), opened
+    proved = [0] * TIERS
+    for b in range(0 if blocks is None else blocks + 1):
+        own = asked.join(F.broadcast(sizes.filter(F.col("block") == b).select("q")), "q", "left_semi")
+        plan = written(_planned(index, own, written(_tenths(index, own), "search-tenths")), "search-plan")
+        for tier, n in sorted((r.tier, r.n) for r in plan.groupBy("tier").agg(F.count_distinct("q").alias("n")).collect()):
+            proved[tier] += n
+            terms = plan.filter(F.col("tier") == tier)
+            tenth = F.broadcast(terms.select("q", "tenth").distinct())
+            near = _sums(index, terms.select("q", "term", "bound", "rest"), tier).join(tenth, "q").filter("tenth is null or high >= tenth")
+            out = out.unionByName(written(_ranked(index, _exact(index, near.select("q", "cls"), own)), "search-found"))
+    return out, proved
 
 
 def rank(docs: DataFrame, items: DataFrame) -> DataFrame:
