@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def box_overlap_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes (id, x0, y0, x1, y1) that overlap: boxes meet in the grid cells they touch, and a pair is kept only
-    in the cell of its overlap's corner, so no distinct is needed."""
+def box_overlap_join(left: DataFrame, right: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes (id, x0, y0, x1, y1) that overlap, inside each group of `by`: boxes meet in the grid cells they touch,
+    and a pair is kept only in the cell of its overlap's corner, so no distinct is needed."""
+    by = by or []
 
     def cells(df: DataFrame, p: str) -> DataFrame:
         span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
         df = df.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
-        return df.select("gx", "gy", *(F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")))
+        return df.select(*by, "gx", "gy", *(F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")))
 
-    df = cells(left, "l_").join(cells(right, "r_"), ["gx", "gy"])
+    df = cells(left, "l_").join(cells(right, "r_"), [*by, "gx", "gy"])
     df = df.filter("l_x0 < r_x1 and r_x0 < l_x1 and l_y0 < r_y1 and r_y0 < l_y1")
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("gx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("gy"))
     area = (F.least("l_x1", "r_x1") - F.greatest("l_x0", "r_x0")) * (F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0"))
-    return df.filter(corner).select("l_id", "r_id", area.alias("area"))
+    return df.filter(corner).select(*by, "l_id", "r_id", area.alias("area"))
 
 
 def best_with_margin(pairs: DataFrame, by: str, score: str, least: float, margin: float) -> DataFrame:

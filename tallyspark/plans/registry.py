@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tallyspark.plans import cleaning, documents, ledger, more, similar, statistics  # noqa: F401
+    from tallyspark.plans import cleaning, documents, ledger, more, similar, statistics, structure  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
