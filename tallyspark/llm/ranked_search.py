@@ -109,11 +109,10 @@ def build(docs: DataFrame, asked: np.ndarray | None = None) -> Index:
     # 90 * n * N may pass 64 bits for one very long text among very many: the product is made in decimals
     length = F.expr(f"cast(10 + ((cast(90 * n as decimal(19, 0)) * cast({total.docs} as decimal(18, 0))) div {total.words}) as long)")
     texts = written(copies.join(full.select(F.col("row").alias("cls"), "n", "terms", "tfs"), "cls").select("cls", "digest", "copies", "n", length.alias("m"), "terms", "tfs"), "search-texts")
-    first = Window.partitionBy("cls").orderBy(F.asc_nulls_last("doc_id"))
-    members = full.select("digest", "doc_id").join(copies.filter("copies > 1").select("digest", "cls"), "digest")
-    members = members.withColumn("no", F.row_number().over(first)).filter(F.col("no") <= TOP).select("cls", "doc_id")
-    single = full.select(F.col("row").alias("cls"), "doc_id").join(copies.filter("copies = 1").select("cls"), "cls", "left_semi")
-    members = written(members.unionByName(single.select("cls", "doc_id")), "search-members")
+    # Spark keeps the first TOP rows of each text in each task, so copies don't gather before the shuffle
+    first = Window.partitionBy("digest").orderBy(F.asc_nulls_last("doc_id"))
+    members = full.select("digest", "doc_id").withColumn("no", F.row_number().over(first)).filter(F.col("no") <= TOP)
+    members = written(members.join(copies.select("digest", "cls"), "digest").select("cls", "doc_id"), "search-members")
 
     pairs = texts.select("cls", "copies", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("cls", "copies", F.col("x.terms").alias("term"), F.expr(saturation("x.tfs")).alias("sat"))
     pairs = pairs.withColumn("level", F.expr(f"cast((1000000 - sat) * {LEVELS} div 1000001 as int)"))
