@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import written
 
-#: rows of a range, about
-RANGE_ROWS = 1_000_000
+
+def _dealt(df: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
+    """df by ranges of its order: so many, or as many as the session's shuffles have (AQE joins small neighbours)."""
+    return df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
 
 
 def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal", start: int = 0, ranges: int | None = None) -> DataFrame:
     """df with a running number in the given order, from `start`, without gaps. Rows equal in the order come in any one."""
-    n = ranges or max(df.sparkSession.sparkContext.defaultParallelism, 1 + df.count() // RANGE_ROWS)
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = _dealt(df, order, ranges).sortWithinPartitions(*order)
     # a row's number inside its task is in the low 33 bits, in the order that the sort gave
     numbered = dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     numbered = written(numbered, "ordinals")
@@ -34,8 +35,7 @@ def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal", start: i
 def running(df: DataFrame, order: list[Column], columns: dict[str, str], ranges: int | None = None) -> DataFrame:
     """df with running sums in the given order: columns names each sum and the column that it is of. Like ordinals, each
     range adds its own sums to those of the ranges before it."""
-    n = ranges or max(df.sparkSession.sparkContext.defaultParallelism, 1 + df.count() // RANGE_ROWS)
-    dealt = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "running")
+    dealt = written(_dealt(df, order, ranges).withColumn("_range", F.spark_partition_id()), "running")
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in columns.items()))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.ordinals import ordinals, running
 from tallyspark.session import shared_dir
 
 
@@ -27,13 +28,12 @@ def todo_page(todos: DataFrame, offset: int, limit: int) -> DataFrame:
 def cursors(todos: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     """The page offset of each wanted todo: the number of todos before it, by ranges of the order, not one global window.
 
-    Rows are counted by (priority, sort_at); earlier groups are summed over those counts, and only the wanted groups'
-    rows are ranked one by one.
+    Rows are counted by (priority, sort_at); earlier groups are summed over those counts, range by range, and only the
+    wanted groups' rows are ranked one by one.
     """
     key = ["priority", "sort_at"]
     n = todos.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.asc("priority"), F.desc("sort_at")).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    n = running(n, [F.asc("priority"), F.desc("sort_at")], {"upto": "n"}).withColumn("before", F.col("upto") - F.col("n"))
     mine = wanted.select("kind", "id", *key)
     groups = mine.select(*key).distinct()
     rank = Window.partitionBy(*key).orderBy("id", "kind")
@@ -65,7 +65,7 @@ def agreeing(df: DataFrame, by: list[str], source: str, reading: str, chunk: int
     """Groups with two sources at least and one reading, numbered by chunks."""
     g = df.groupBy(*by).agg(F.count_distinct(source).alias("sources"), F.min(reading).alias("reading"), F.max(reading).alias("most"))
     g = g.filter("sources >= 2 and reading = most").drop("most")
-    return g.withColumn("chunk", F.expr(f"(row_number() over (order by {', '.join(by)}) - 1) div {chunk}"))
+    return ordinals(g, [F.col(c) for c in by], "chunk").withColumn("chunk", F.expr(f"chunk div {chunk}"))
 
 
 def ancestors(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:

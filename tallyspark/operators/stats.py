@@ -1,7 +1,7 @@
 """Evaluation: confusion, ranking metrics, thresholds, intervals, edit rates and splits.
 
-Rank metrics need no global sort of rows: counts per distinct score combine first, and only those counts are summed in
-score order.
+Rank metrics need no global sort of rows: counts per distinct score combine first, and those counts are summed in score
+order range by range, as there may be as many scores as rows.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.operators.ordinals import running
+
 Z95 = 1.959963984540054
 
 
 def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, pos, neg and the counts above and below each score; one row per distinct score."""
     g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    return running(g, [F.desc(score)], {"tp": "pos", "fp": "neg"})
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -53,8 +54,7 @@ def accuracy_macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def group_threshold(df: DataFrame, group: str, score: str, most_fpr: float) -> DataFrame:
     """One row: the threshold over which at most that share of groups (each by its largest score) lies."""
     g = df.groupBy(group).agg(F.max(score).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    above = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("at_least", F.sum("n").over(above))
+    g = running(g, [F.desc("m")], {"at_least": "n"})
     total = g.agg(F.sum("n").alias("all_groups"))
     return g.crossJoin(F.broadcast(total)).filter(F.col("at_least") > F.floor(F.col("all_groups") * F.lit(most_fpr))).agg(F.max("m").alias("threshold"))
 
@@ -148,3 +148,37 @@ def total_check(details: DataFrame, totals: DataFrame, by: list[str], amount: st
     j = g.join(totals, by)
     room = F.expr(f"cast((n + 1) * {0.5 * 10**-places!r} as decimal(18,{places + 2}))")
     return j.withColumn("difference", F.col("summed") - F.col("total")).withColumn("ok", F.abs("difference") <= room)
+
+
+def contiguous_totals(rows: DataFrame, by: list[str], totals: list[str]) -> DataFrame:
+    """Each total row against the details above it: by, row, first, last, n, summed, total, difference, status.
+
+    Rows are (by, row, label, amount, places): an exact amount (null: none, or not a number) and how many places it was
+    written with. A total row has one of the labels (blanks, case and a closing colon don't count). Its details are the run
+    of rows right above it, up to the total or the row without label and amount before. Status: equal; rounding_possible,
+    where the difference is within half a unit of the last place of each number; suspect; uncertain, where there is no
+    detail, or a detail or the total has no amount. Windows are inside one table.
+    """
+    name = F.lower(F.regexp_replace(F.trim(F.coalesce("label", F.lit(""))), "[\\s:：]+$", ""))
+    w = Window.partitionBy(*by).orderBy("row")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    r = rows.withColumn("is_total", name.isin([t.lower() for t in totals]))
+    r = r.withColumn("ends", F.col("is_total") | ((name == "") & F.col("amount").isNull()))
+    # a run of details and the row that ends it have the same number of ends before them
+    r = r.withColumn("run", F.coalesce(F.sum(F.col("ends").cast("long")).over(earlier), F.lit(0)))
+    room = F.expr("cast(0.5 as double) * power(cast(10 as double), -places)")
+    detail = ~F.col("ends")
+    g = r.groupBy(*by, "run").agg(
+        F.max(F.when(F.col("is_total"), F.col("row"))).alias("row"),
+        F.min(F.when(detail, F.col("row"))).alias("first"),
+        F.max(F.when(detail, F.col("row"))).alias("last"),
+        F.count_if(detail).alias("n"),
+        F.count_if(detail & F.col("amount").isNull()).alias("unknown"),
+        F.sum(F.when(detail, F.col("amount"))).alias("summed"),
+        F.max(F.when(F.col("is_total"), F.col("amount"))).alias("total"),
+        F.sum(F.when(F.col("amount").isNotNull(), room)).alias("room"),
+    ).filter("row is not null")
+    known = (F.col("n") > 0) & (F.col("unknown") == 0) & F.col("total").isNotNull()
+    difference = F.when(known, F.col("total") - F.col("summed"))
+    status = F.when(~known, "uncertain").when(difference == 0, "equal").when(F.abs(difference).cast("double") <= F.col("room") + 1e-12, "rounding_possible").otherwise("suspect")
+    return g.select(*by, "row", "first", "last", "n", "summed", "total", difference.alias("difference"), status.alias("status"))

@@ -13,60 +13,142 @@ _NUMBERS = [T.StructField(n, T.IntegerType()) for n in ("table_no", "row", "col"
 CELLS = T.ArrayType(T.StructType([*_NUMBERS, T.StructField("text", T.StringType()), T.StructField("is_header", T.BooleanType())]))
 
 
+TABLES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("table_no", T.IntegerType()),
+            T.StructField("caption", T.StringType()),
+            *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "n_rows", "n_cols", "n_cells")),
+            T.StructField("error", T.StringType()),
+            T.StructField("error_at", T.IntegerType()),
+        ]
+    )
+)
+#: spans run from 1 to here, and a table has so many slots at most
+MAX_SPAN, MAX_SLOTS = 1000, 1_000_000
+
+
+class _Table:
+    """A table while it is read: its cells, the slots they take, and the first error with its place."""
+
+    def __init__(self, no: int, start: int):
+        self.no, self.start, self.end = no, start, None
+        self.row, self.taken, self.cell, self.cells = -1, {}, None, []
+        self.caption, self.in_caption = None, False
+        self.error, self.error_at, self.slots = None, None, 0
+
+    def fail(self, error: str, at: int) -> None:
+        if self.error is None:
+            self.error, self.error_at = error, at
+
+    def close_cell(self) -> None:
+        if self.cell is None:
+            return
+        words, height, width, header, at = self.cell
+        self.cell = None
+        mine = self.taken.setdefault(self.row, set())
+        col = 0
+        while col in mine:
+            col += 1
+        self.slots += height * width
+        if self.slots > MAX_SLOTS:
+            self.fail("too_large", at)
+            height = width = 1
+        for y in range(self.row, self.row + height):
+            there = self.taken.setdefault(y, set())
+            across = range(col, col + width)
+            if not there.isdisjoint(across):
+                self.fail("overlap", at)
+            there.update(across)
+        text = "\n".join(" ".join(line.split()) for line in "".join(words).split("\n")).strip()
+        self.cells.append((self.no, self.row, col, height, width, text, header))
+
+    def described(self) -> tuple:
+        caption = " ".join("".join(self.caption).split()) if self.caption is not None else None
+        n_rows, n_cols = (max((c[i] + c[i + 2] for c in self.cells), default=0) for i in (1, 2))
+        return self.no, caption, self.start, self.end, n_rows, n_cols, len(self.cells), self.error, self.error_at
+
+
 class _Reader(HTMLParser):
-    def __init__(self):
+    """Tables of a page, nested ones too, with their places in the source."""
+
+    def __init__(self, text: str):
         super().__init__(convert_charrefs=True)
-        self.cells, self.open, self.count = [], [], 0
+        self.open, self.tables = [], []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.feed(text)
+        self.close()
+        for t in self.open:  # what the page ends inside of
+            t.close_cell()
+            t.fail("unclosed", t.start)
+
+    def place(self) -> int:
+        line, col = self.getpos()
+        return self.lines[line - 1] + col
+
+    def span(self, t: _Table, value: str | None) -> int:
+        """1 to MAX_SPAN; anything else is an error of the table and counts as 1."""
+        if value is None:
+            return 1
+        v = value.strip()
+        if v.isascii() and v.isdigit() and 1 <= int(v[:5]) <= MAX_SPAN:
+            return int(v)
+        t.fail("span", self.place())
+        return 1
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
         if tag == "table":
-            self.open.append({"no": self.count, "row": -1, "taken": {}, "cell": None})
-            self.count += 1
+            self.open.append(_Table(len(self.tables), self.place()))
+            self.tables.append(self.open[-1])
         if not self.open:
             return
         t = self.open[-1]
         if tag == "tr":
-            self.close_cell(t)
-            t["row"] += 1
+            t.close_cell()
+            t.row += 1
         elif tag in ("td", "th"):
-            self.close_cell(t)
-            t["row"] = max(t["row"], 0)
-            span = [max(1, int(a.get(k) or 1)) if str(a.get(k) or "1").isdigit() else 1 for k in ("rowspan", "colspan")]
-            t["cell"] = [[], *span, tag == "th"]
-        elif tag == "br" and t["cell"]:
-            t["cell"][0].append("\n")
-
-    def close_cell(self, t):
-        if t["cell"] is None:
-            return
-        words, rows, cols, header = t["cell"]
-        t["cell"] = None
-        c = 0
-        while (t["row"], c) in t["taken"]:
-            c += 1
-        for y in range(t["row"], t["row"] + rows):
-            for x in range(c, c + cols):
-                t["taken"][y, x] = True
-        text = "\n".join(" ".join(line.split()) for line in "".join(words).split("\n")).strip()
-        self.cells.append((t["no"], t["row"], c, rows, cols, text, header))
+            t.close_cell()
+            if t.row < 0:
+                t.fail("cell_outside_row", self.place())
+                t.row = 0
+            a = dict(attrs)
+            t.cell = [[], self.span(t, a.get("rowspan")), self.span(t, a.get("colspan")), tag == "th", self.place()]
+        elif tag == "caption":
+            t.in_caption, t.caption = True, []
+        elif tag == "br" and t.cell:
+            t.cell[0].append("\n")
 
     def handle_endtag(self, tag):
-        if self.open and tag in ("td", "th", "tr", "table"):
-            self.close_cell(self.open[-1])
-            if tag == "table":
-                self.open.pop()
+        if not self.open:
+            return
+        t = self.open[-1]
+        if tag == "caption":
+            t.in_caption = False
+        if tag in ("td", "th", "tr", "table"):
+            t.close_cell()
+        if tag == "table":
+            t.end = self.place()
+            self.open.pop()
 
     def handle_data(self, data):
-        if self.open and self.open[-1]["cell"]:
-            self.open[-1]["cell"][0].append(data)
+        if not self.open:
+            return
+        t = self.open[-1]
+        if t.cell:
+            t.cell[0].append(data)
+        elif t.in_caption:
+            t.caption.append(data)
 
 
 def html_cells(text: str | None) -> list[tuple]:
-    reader = _Reader()
-    reader.feed(text or "")
-    reader.close()
-    return reader.cells
+    """The cells of all tables, table by table."""
+    return [c for t in _Reader(text or "").tables for c in t.cells]
+
+
+def html_tables(text: str | None) -> list[tuple]:
+    """A row a table: its caption, where it starts and where its closing tag stands (null: it has none), its size, and its first error
+    with its place: span, overlap, cell_outside_row, too_large or unclosed."""
+    return [t.described() for t in _Reader(text or "").tables]
 
 
 def markdown_cells(text: str | None) -> list[tuple]:
@@ -108,6 +190,7 @@ def _rows(lines: list[str]):
 
 
 parse_html = F.udf(html_cells, CELLS)
+describe_html = F.udf(html_tables, TABLES)
 parse_markdown = F.udf(markdown_cells, CELLS)
 
 
@@ -118,6 +201,12 @@ def cells_of(docs: DataFrame, id_col: str, text_col: str, markdown: bool = False
     return docs.filter(has).select(id_col, F.explode(parse(text_col)).alias("c")).select(id_col, "c.*")
 
 
+def tables_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per HTML table of each document: table_no, caption, start, end, n_rows, n_cols, n_cells, error, error_at."""
+    has = F.lower(text_col).contains("<table")
+    return docs.filter(has).select(id_col, F.explode(describe_html(text_col)).alias("t")).select(id_col, "t.*")
+
+
 def slots(cells: DataFrame, key: list[str]) -> DataFrame:
     """A row for each grid slot that a cell covers (its text with it)."""
     df = cells.withColumn("slot_row", F.explode(F.expr("sequence(row, row + row_span - 1)")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import queue
+from tallyspark.operators import paging, queue
 from tallyspark.plans.registry import query, table
 
 PRIORITY = "CAST(substr(o_orderpriority, 1, 1) AS INT)"
@@ -49,6 +49,22 @@ def l03(spark, d):
     return e.agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("revision"))
 
 
+PAGED = [paging.Order("priority"), paging.Order("sort_at", descending=True), paging.Order("id"), paging.Order("kind")]
+
+
+@query("l03_guarded_pages", f"SELECT CAST((rn - 1) // 200 AS INTEGER) AS page, kind, id, priority, sort_at FROM (SELECT *, row_number() OVER (ORDER BY priority, sort_at DESC, id, kind) AS rn FROM ({TODOS}) WHERE state = 'O') WHERE rn <= 600")
+def l03_pages(spark, d):
+    """Three pages of open todos, each found by the cursor of the one before."""
+    t, cursor, found = todos(spark, d), None, []
+    for no in range(3):
+        got = paging.page(t, {"state": "O"}, PAGED, 200, b"key of the service", cursor)
+        found += [(no, r.kind, r.id, r.priority, r.sort_at) for r in got.rows]
+        cursor = got.cursor
+        if cursor is None:
+            break
+    return spark.createDataFrame(found, "page int, kind string, id long, priority int, sort_at date")
+
+
 @query("l05_top_k_per_group", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 3")
 def l05(spark, d):
     return queue.top_k(table(spark, d, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
@@ -111,10 +127,9 @@ def a30(spark, d):
     return df.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.concat_ws("|", "c_mktsegment", "c_custkey")).alias("customers"))
 
 
-@query("a31_agreeing_sources", "SELECT l_partkey, count(DISTINCT l_suppkey) AS sources, min(l_returnflag) AS reading, (row_number() OVER (ORDER BY l_partkey) - 1) // 64 AS chunk FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT l_returnflag) = 1")
+@query("a31_agreeing_sources", "SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS sources, min(l_returnflag) AS reading, (row_number() OVER (ORDER BY l_partkey, l_linenumber) - 1) // 64 AS chunk FROM lineitem GROUP BY l_partkey, l_linenumber HAVING count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT l_returnflag) = 1")
 def a31(spark, d):
-    df = table(spark, d, "lineitem").filter("l_linenumber = 1")
-    return queue.agreeing(df, ["l_partkey"], "l_suppkey", "l_returnflag", chunk=64)
+    return queue.agreeing(table(spark, d, "lineitem"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_returnflag", chunk=64)
 
 
 @query("j15_inner_events_users", "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'error'")

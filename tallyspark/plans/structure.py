@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators import alignment, correspondence, fusion, geometry, grids, lineage, ordinals, recipe
+from tallyspark.operators import alignment, correspondence, fusion, geometry, grids, lineage, ordinals, recipe, stats, tables
 from tallyspark.plans.cleaning import BASE, dirty
 from tallyspark.plans.registry import query, table
 from tallyspark.session import shared_path, written
@@ -224,3 +224,51 @@ def r01_backlog(spark, d):
     kinds = F.explode(F.when(F.col("event_type") == "purchase", F.array(F.lit("append"), F.lit("ack"))).otherwise(F.array(F.lit("append"))))
     records = streams.stream(spark, f"{d}/events.parquet").select("user_id", kinds.alias("kind"), F.col("event_id").alias("generation"))
     return streams.drain_latest(streams.backlog(records, "user_id"), "backlog", "user_id")
+
+
+#: pages whose tables differ from part to part: plain, captioned, overlapping, with spans out of bounds, unclosed, spanning rows, and none
+PAGE = """p_name || '<p>x</p>' || chr(10) || CASE p_partkey % 8
+ WHEN 0 THEN '<table><tr><td>a<br>b</td><td>c</td></tr><tr><td>d</td><td>' || p_brand || '</td></tr></table>'
+ WHEN 1 THEN '<TABLE><caption> ' || p_brand || '  &amp; more</caption><tr><th>a</th></tr></TABLE>'
+ WHEN 2 THEN '<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>'
+ WHEN 3 THEN '<table><tr><td colspan=0>a</td></tr></table><table><tr><td>b</td></tr></table>'
+ WHEN 4 THEN '<table><tr><td>a</td><td rowspan=999999999>b</td></tr></table>'
+ WHEN 5 THEN '<table><tr><td>a</td><td>b'
+ WHEN 6 THEN '<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>'
+ ELSE 'no table' END"""
+
+
+@query(
+    "s10_table_errors",
+    f"""WITH p AS (SELECT p_partkey, p_brand, p_partkey % 8 AS k, lower({PAGE}) AS html FROM part), n AS (SELECT *, 0 AS no FROM p WHERE k < 7 UNION ALL SELECT *, 1 FROM p WHERE k = 3),
+e AS (SELECT *, CASE WHEN no = 1 THEN strpos(html, '</table>') + 8 ELSE strpos(html, '<table>') END AS s, CASE WHEN no = 1 THEN length(html) - 7 ELSE strpos(html, '</table>') END AS z FROM n)
+SELECT p_partkey, no AS table_no, CASE WHEN k = 1 THEN p_brand || ' & more' END AS caption, CAST(s - 1 AS INTEGER) AS start, CAST(CASE WHEN z > 0 THEN z - 1 END AS INTEGER) AS end_at,
+ CASE WHEN k IN (0, 2, 6) THEN 2 ELSE 1 END AS n_rows, CASE WHEN k IN (1, 3) THEN 1 ELSE 2 END AS n_cols, CASE k WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 6 THEN 3 ELSE 2 END AS n_cells,
+ CASE WHEN k = 2 THEN 'overlap' WHEN k = 4 OR k = 3 AND no = 0 THEN 'span' WHEN k = 5 THEN 'unclosed' END AS error,
+ CAST(CASE WHEN k = 2 OR k = 3 AND no = 0 THEN strpos(html, '<td colspan') WHEN k = 4 THEN strpos(html, '<td rowspan') WHEN k = 5 THEN s END - 1 AS INTEGER) AS error_at FROM e""",
+)
+def s10_errors(spark, d):
+    pages = table(spark, d, "part").selectExpr("p_partkey", f"{PAGE} AS html")
+    return tables.tables_of(pages, "p_partkey", "html").withColumnRenamed("end", "end_at")
+
+
+#: the lines of an order as a table with a total row after every third line and at the end; some totals are off
+LEDGER = f"""l AS ({LINES}), m AS (SELECT l_orderkey, ln, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, ln // 3 AS block FROM l),
+t AS (SELECT l_orderkey, block, sum(amount) + CASE l_orderkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 7 ELSE 0 END AS total, count(*) AS n, min(ln) AS first, max(ln) AS last, sum(CASE WHEN l_orderkey % 7 = 0 AND ln % 3 = 1 THEN 1 ELSE 0 END) AS unknown FROM m GROUP BY 1, 2)"""
+
+
+@query(
+    "a14_contiguous_totals",
+    f"""WITH {LEDGER} SELECT l_orderkey, CAST(last + block + 1 AS BIGINT) AS row, CAST(first + block AS BIGINT) AS first, CAST(last + block AS BIGINT) AS last, n, CASE WHEN unknown = 0 THEN CAST(CASE l_orderkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 7 ELSE 0 END AS DECIMAL(18,2)) END AS difference,
+ CASE WHEN unknown > 0 THEN 'uncertain' WHEN l_orderkey % 5 = 0 THEN 'rounding_possible' WHEN l_orderkey % 5 = 1 THEN 'suspect' ELSE 'equal' END AS status FROM t""",
+)
+def a14_contiguous(spark, d):
+    li = lines(spark, d).select("l_orderkey", "ln", F.expr("ln div 3").alias("block"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    unknown = F.expr("l_orderkey % 7 = 0 and ln % 3 = 1")
+    details = li.select("l_orderkey", (F.col("ln") + F.col("block")).cast("long").alias("row"), F.concat(F.lit("line "), "ln").alias("label"), F.when(~unknown, F.col("amount")).alias("amount"), F.lit(2).alias("places"))
+    off = F.expr("case l_orderkey % 5 when 0 then 0.01BD when 1 then 7BD else 0BD end")
+    totals = li.groupBy("l_orderkey", "block").agg((F.sum("amount") + off).cast("decimal(28,2)").alias("amount"), F.max("ln").alias("last"))
+    label = F.when(F.col("block") == 0, "Subtotal: ").otherwise("TOTAL")
+    totals = totals.select("l_orderkey", (F.col("last") + F.col("block") + 1).cast("long").alias("row"), label.alias("label"), "amount", F.lit(2).alias("places"))
+    found = stats.contiguous_totals(details.unionByName(totals), ["l_orderkey"], ["total", "subtotal"])
+    return found.select("l_orderkey", "row", "first", "last", "n", F.col("difference").cast("decimal(18,2)").alias("difference"), "status")

@@ -397,3 +397,59 @@ def test_backlog_after_a_restart(spark, tmp_path):
         return rows(out)
 
     assert run("whole", 3) == run("parts", 1, 2, 3) == [("a", 3, 2, 1, 1), ("b", 3, 10, 9, 1)]
+
+
+def test_tables_with_errors():
+    from tallyspark.operators.tables import html_cells, html_tables
+
+    wide = "<table>\n<tr><td>é</td></tr>\n<tr><td rowspan='x'>b</td></tr></table>"
+    assert html_tables(wide) == [(0, None, 0, len(wide) - 8, 2, 1, 2, "span", wide.index("<td rowspan"))]
+    assert [t[7] for t in html_tables("<table><td>a<table><tr><td colspan=1001>b</table></td></table>")] == ["cell_outside_row", "span"]
+    assert [t[7] for t in html_tables("<table><tr>" + "<td rowspan=1000 colspan=1000>x" * 2 + "</table>")] == ["too_large"]
+    assert html_tables("") == html_tables(None) == html_tables("</table><td>x") == []
+    assert html_tables("<table><caption>a<br> b</caption></table>")[0][1] == "a b"
+    assert [c[5] for c in html_cells("<table><tr><td>1<tr><td>2")] == ["1", "2"]
+    assert max(c[4] for c in html_cells("<table><tr><td colspan=99999999999999999999>a</table>")) == 1
+
+
+def test_cursors_are_bound_to_filter_and_table(spark):
+    from tallyspark.operators import paging
+
+    data = [(i, i % 4 if i % 5 else None, f"k{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(data, "id int, p int, kind string")
+    order = [paging.Order("p", descending=True), paging.Order("id")]
+    walk = lambda df, filters, size: _walk(paging, df, filters, order, size)
+    for filters in ({}, {"kind": "k1"}, {"p": None}, {"p": [1, 2]}):
+        keep = [r for r in data if all((r[{"kind": 2, "p": 1}[k]] in v) if isinstance(v, list) else r[{"kind": 2, "p": 1}[k]] == v for k, v in filters.items())]
+        expected = [r[0] for r in sorted(keep, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+        assert walk(df, filters, 7) == expected
+    first = paging.page(df, {}, order, 5, b"s")
+    for change, reason in ((dict(filters={"kind": "k1"}), "other_filter"), (dict(order=order[:1]), "other_filter"), (dict(secret=b"t"), "forged"), (dict(df=df.filter("id <> 59")), "changed"), (dict(cursor=first.cursor[:-1] + "~"), "forged"), (dict(cursor="nothing"), "malformed")):
+        with pytest.raises(paging.CursorError) as e:
+            paging.page(**({"df": df, "filters": {}, "order": order, "limit": 5, "secret": b"s", "cursor": first.cursor} | change))
+        assert e.value.reason == reason
+    with pytest.raises(ValueError):
+        paging.page(df, {}, order, 0, b"s")
+    assert paging.page(df.limit(0), {}, order, 5, b"s") == paging.Page([], None, "0:None")
+
+
+def _walk(paging, df, filters, order, size):
+    out, cursor = [], None
+    while True:
+        got = paging.page(df, filters, order, size, b"s", cursor)
+        out += [r.id for r in got.rows]
+        cursor = got.cursor
+        if cursor is None:
+            return out
+
+
+def test_totals_of_odd_tables(spark):
+    from decimal import Decimal
+
+    from tallyspark.operators import stats
+
+    lines = {1: [("head", None), ("a", "1.10"), ("b", "2.20"), (" Total : ", "3.30"), ("c", "5.00"), ("total", "5.01")], 2: [("total", "1.00")], 3: [("a", "1.00"), ("", None), ("b", "2.00"), ("TOTAL", "2.00")], 4: [("a", "1.00"), (None, "2.00"), ("total", None)], 5: [("a", "1.00")]}
+    data = [(t, i, label, Decimal(a) if a else None, 2) for t, rows_ in lines.items() for i, (label, a) in enumerate(rows_)]
+    df = spark.createDataFrame(data, "t int, row int, label string, amount decimal(18,2), places int")
+    found = {(x.t, x.row): (x["first"], x["last"], x.status) for x in stats.contiguous_totals(df, ["t"], ["Total"]).collect()}
+    assert found == {(1, 3): (0, 2, "uncertain"), (1, 5): (4, 4, "rounding_possible"), (2, 0): (None, None, "uncertain"), (3, 3): (2, 2, "equal"), (4, 2): (0, 1, "uncertain")}
