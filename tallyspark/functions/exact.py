@@ -31,6 +31,11 @@ def plain(text: Column) -> Column:
     return let(text, lambda t: F.when(t.rlike(VALID), F.when(t.rlike("[eE]"), _moved(t)).otherwise(_bounded(t))))
 
 
+def short(text: Column) -> Column:
+    """The literal itself if it is a decimal without an exponent, else null: all that short literals need."""
+    return F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), text)
+
+
 def _bounded(t: Column) -> Column:
     zeros = F.regexp_replace(F.regexp_replace(t, r"^(?<s>-?)\+?0*(?=\d)|\.$", "${s}"), r"^(?<s>-?)\+?\.", "${s}0.")
     return F.when(t.rlike(rf"^[+-]?0*\d{{0,{DIGITS}}}(\.\d{{0,{DIGITS}}})?$"), zeros)

@@ -49,10 +49,15 @@ def amount(text: Column, accounting: bool = True) -> Column:
     return fitting(amount_text(text, accounting))
 
 
+def amount_tolerance(tolerance: str) -> Column:
+    """The tolerance for differences of two AMOUNTs: both have 10 places, so its further places don't matter, nor what it
+    exceeds their largest distance by."""
+    return F.lit(min(Decimal(tolerance), Decimal("2e27")).quantize(Decimal("1e-10"), ROUND_FLOOR, Context(prec=60))).cast(AMOUNT)
+
+
 def close(left: Column, right: Column, tolerance: str) -> Column:
     """|left - right| <= tolerance of two plain literals, exactly. Those that fit AMOUNT are compared as such."""
-    # both have 10 places, so a tolerance's further places don't matter, nor what it exceeds their largest distance by
-    t = F.lit(min(Decimal(tolerance), Decimal("2e27")).quantize(Decimal("1e-10"), ROUND_FLOOR, Context(prec=60))).cast(AMOUNT)
+    t = amount_tolerance(tolerance)
     texts = F.struct(left.alias("l"), right.alias("r"), fitting(left).alias("a"), fitting(right).alias("b"))
     near = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), F.abs(x["a"] - x["b"]) <= t).otherwise(exact.within(x["l"], x["r"], tolerance))
     return exact.let(texts, near)

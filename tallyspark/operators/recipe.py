@@ -172,22 +172,34 @@ def key_of(columns: list[str]) -> list[Column]:
     return [x for c in columns for x in (F.col(c)["kind"].alias(f"{c}_kind"), F.col(c)["value"].alias(f"{c}_value"))]
 
 
+def long_amounts(df: DataFrame, amounts: list[str]) -> set[str]:
+    """The amount columns that may hold amounts beyond EXACT: one small aggregate over lengths. A literal without an exponent
+    of at most PLACES characters fits whatever it says."""
+    if not amounts:
+        return set()
+    value = lambda a: F.col(a)["value"]
+    most = df.agg(*(F.max(F.when(value(a).rlike("[eE]"), 1 << 20).otherwise(F.length(value(a)))).alias(a) for a in amounts)).first()
+    return {a for a in amounts if (most[a] or 0) > PLACES}
+
+
 def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage: bool = False) -> DataFrame:
     """Rows per distinct key (kind and value; nulls together) and an exact sum of each amount.
 
     One amount that isn't a number makes its group's sum an error cell, never a partial sum. Sums and counts combine on
-    the map side; the lineage array, which holds a whole group, is only built when asked for. Amounts that EXACT can't
-    hold are summed limb by limb beside the others (their rows are read once more) and both sums are added as limbs.
+    the map side; the lineage array, which holds a whole group, is only built when asked for. Only columns that long_amounts
+    names (it runs a job when the plan is made) are summed limb by limb too, where EXACT can't hold an amount.
     """
     keys = key_of(columns)
-    work = df
+    work, long = df, long_amounts(df, amounts)
     for a in amounts:
         c = F.col(a)
-        work = work.withColumn(f"{a}_text", F.when(c["kind"].isin("decimal", "integer"), exact.plain(c["value"])))
-        work = work.withColumn(f"{a}_num", F.when(exact.fits(F.col(f"{a}_text"), WHOLE, PLACES), F.col(f"{a}_text").try_cast(EXACT)))
+        work = work.withColumn(f"{a}_text", F.when(c["kind"].isin("decimal", "integer"), exact.plain(c["value"]) if a in long else exact.short(c["value"])))
+        fits = exact.fits(F.col(f"{a}_text"), WHOLE, PLACES) if a in long else F.lit(True)
+        work = work.withColumn(f"{a}_num", F.when(fits, F.col(f"{a}_text").try_cast(EXACT)))
     aggs = [F.count(F.lit(1)).alias("row_count"), F.min("source_row").alias("first_row")]
     for a in amounts:
-        places = F.length(F.regexp_extract(f"{a}_text", r"\.(\d+)$", 1))
+        dot = F.instr(F.col(f"{a}_text"), F.lit("."))
+        places = F.when(dot > 0, F.length(f"{a}_text") - dot).otherwise(0)
         aggs += [F.coalesce(F.sum(f"{a}_num"), F.lit(0).cast("decimal(37,12)")).alias(f"{a}_sum"), F.count_if(F.col(f"{a}_text").isNull()).alias(f"{a}_bad"), F.max(places).alias(f"{a}_scale")]
     if lineage:
         aggs.append(F.sort_array(F.collect_list(F.struct("source_row", "row_id"))).alias("source_rows"))
@@ -195,13 +207,14 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
     key_json = F.to_json(F.array(*(F.array(F.col(f"{c}_kind"), F.col(f"{c}_value")) for c in columns)))
     out = out.withColumn("row_id", F.concat(F.lit("r"), F.substring(F.sha2(key_json, 256), 1, 32)))
     for a in amounts:
-        out = out.join(long_sums(work, keys, key_json, a), "row_id", "left")
-        total = F.substring_index(F.col(f"{a}_sum").cast("decimal(38,12)").cast("string"), ".", 1)
-        frac = F.substr(F.substring_index(F.col(f"{a}_sum").cast("decimal(38,12)").cast("string"), ".", -1), F.lit(1), F.col(f"{a}_scale"))
+        digits = F.col(f"{a}_sum").cast("decimal(38,12)").cast("string")
+        total, frac = F.substring_index(digits, ".", 1), F.substr(F.substring_index(digits, ".", -1), F.lit(1), F.col(f"{a}_scale"))
         text = F.when(F.col(f"{a}_scale") > 0, F.concat(total, F.lit("."), frac)).otherwise(total)
-        short = exact.limbs(F.col(f"{a}_sum").cast("string"))
-        both = exact.text_of(F.zip_with(short, f"{a}_long", lambda x, y: (x + y).cast(exact.WIDE)), F.col(f"{a}_scale"))
-        out = out.withColumn(f"{a}_total", F.when(F.col(f"{a}_bad") == 0, F.when(F.col(f"{a}_long").isNull(), text).otherwise(both)))
+        if a in long:
+            out = out.join(long_sums(work, keys, key_json, a), "row_id", "left")
+            parts = F.zip_with(exact.limbs(F.col(f"{a}_sum").cast("string")), f"{a}_long", lambda x, y: (x + y).cast(exact.WIDE))
+            text = F.when(F.col(f"{a}_long").isNull(), text).otherwise(exact.text_of(parts, F.col(f"{a}_scale")))
+        out = out.withColumn(f"{a}_total", F.when(F.col(f"{a}_bad") == 0, text))
         out = out.withColumn(f"{a}_kind", F.when(F.col(f"{a}_total").isNotNull(), "decimal").otherwise("error")).drop(f"{a}_sum", f"{a}_bad", f"{a}_scale", f"{a}_long")
     return out
 

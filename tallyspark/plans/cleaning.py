@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import cells
 from tallyspark.operators import recipe
-from tallyspark.operators.reconcile import Spec, coverage, deltas, reconcile
+from tallyspark.operators.reconcile import Spec, coverage, covered, deltas, reconcile
 from tallyspark.plans.registry import query, table
 
 #: the same expressions make the untidy input of the queries and of their SQL twins
@@ -226,7 +226,7 @@ def reconcile_rows(spark, d):
     + " SELECT count_if(category IN ('same', 'different', 'only_left', 'ambiguous_left')) AS left_total, count_if(category IN ('same', 'different', 'only_right', 'ambiguous_right')) AS right_total, count_if(category = 'same') AS same, count_if(category = 'different') AS different, count_if(category = 'only_left') AS only_left, count_if(category = 'only_right') AS only_right, count_if(category = 'ambiguous_left') AS ambiguous_left, count_if(category = 'ambiguous_right') AS ambiguous_right, count(DISTINCT CASE WHEN category LIKE 'ambiguous%' THEN k END) AS ambiguous_keys FROM x",
 )
 def reconcile_coverage(spark, d):
-    return coverage(reconcile(*sides(spark, d), SPEC))
+    return covered(*sides(spark, d), SPEC)
 
 
 @query("j11_amount_deltas", CLASSIFIED + " SELECT left_source_row, 'c2:c2' AS field, CAST(rp - lp AS DECIMAL(18,2)) AS delta, abs(rp - lp) <= 0.01 AS within_tolerance FROM x WHERE lp IS NOT NULL AND rp IS NOT NULL")
@@ -256,7 +256,7 @@ def j02(spark, d):
     li = table(spark, d, "lineitem").withColumn("no", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     side = lambda df: cells.to_cells(df.select("no", "l_orderkey", "l_linenumber"), "no", columns=["l_orderkey", "l_linenumber"])
     spec = Spec(keys=(("c1", "c1"), ("c2", "c2")))
-    return coverage(reconcile(side(li), side(li.filter("l_linestatus = 'O'")), spec)).select("same", "only_left", "ambiguous_keys", "ambiguous_left")
+    return covered(side(li), side(li.filter("l_linestatus = 'O'")), spec).select("same", "only_left", "ambiguous_keys", "ambiguous_left")
 
 
 @query("c05_cast_exponents", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // CAST(10 ** l_linenumber AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(l_orderkey % CAST(10 ** l_linenumber AS BIGINT) AS VARCHAR), l_linenumber, '0') AS value FROM lineitem")
