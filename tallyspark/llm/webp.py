@@ -288,7 +288,7 @@ def read_tokens(bits: Bits, codes: list[Code], width: int, height: int, cache_bi
             q = q[copy] + extra_bits(symbol[odd[copy]] - 256)
             far = window[q] & md
             to[odd[copy]] = q + ld[far] + extra_bits(sd[far])
-        chain, step, p = [], to.tolist(), at - 8 * first
+        chain, step, p = [], memoryview(to), at - 8 * first
         while p < limit:
             chain.append(p)
             p = step[p]
