@@ -127,7 +127,8 @@ WINDOWS = "id long, hash long, at int, slots array<long>, width int, windows int
 
 
 def windows(df: DataFrame, widths: list[int] | None = None, bitmap=None) -> DataFrame:
-    """The template windows of (id, text). Without widths each text has those of its own width (WINDOW, or its whole
+    """The template windows of (id, text). A window of placeholders only says nothing by its form, which all number tables
+    share, so its hash is that of its values as well. Without widths each text has those of its own width (WINDOW, or its whole
     sequence if that is shorter); with a bitmap only the windows that it lets through."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
@@ -140,6 +141,10 @@ def windows(df: DataFrame, widths: list[int] | None = None, bitmap=None) -> Data
                 out = []
                 for width in widths or sorted(set(np.minimum(size[size > 0], WINDOW).tolist())):
                     at, h = windows_of(form, bounds, width)
+                    upto = np.concatenate([[0], np.cumsum(slot)])
+                    bare = np.flatnonzero(upto[at + width] - upto[at] == width)
+                    if len(bare):
+                        h[bare] = W.mix(h[bare] + windows_of(own, bounds, width)[1][bare])
                     doc = np.searchsorted(bounds, at, "right") - 1
                     keep = np.minimum(size[doc], WINDOW) == width if widths is None else np.ones(len(at), bool)
                     if bits is not None:

@@ -190,3 +190,14 @@ def test_verbatim_run_of_a_long_item(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert {(r.doc_id, r.kind) for r in decontaminate.contaminated(df, b).collect()} == {(13, "verbatim"), (60, "verbatim")}
+
+
+def test_number_tables_meet_only_with_their_values(spark):
+    r = random.Random(6)
+    table = lambda n: " ".join(str(r.randint(10, 99999)) for _ in range(n))
+    items = [(i, table(50)) for i in range(12)] + [(50, "7")]
+    docs = [(i, table(800)) for i in range(10)] + [(20, table(100) + " " + items[3][1] + " " + table(100)), (21, "it is 8"), (22, "it is 7")]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id, x.kind) for x in decontaminate.contaminated(df, b).collect() if x.doc_id >= 20 or x.item_id < 50} == {(20, 3, "verbatim"), (22, 50, "verbatim")}
+    hits = decontaminate.windows(df.filter("doc_id < 20"), [decontaminate.WINDOW]).select("hash")
+    assert hits.join(decontaminate.windows(b).select("hash"), "hash").count() == 0
