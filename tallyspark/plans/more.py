@@ -69,6 +69,16 @@ def s01(spark, d):
     return r.select("source_row", r.cells[0]["value"].alias("name"), r.cells[1]["kind"].alias("region_kind"))
 
 
+@query("s01_csv_files", "SELECT o_orderkey, 'of ' || o_custkey || chr(10) || '\"' || o_orderstatus || '\", ' || o_orderpriority AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE 'text' END AS kind FROM orders")
+def s01_files(spark, d):
+    """All orders as CSV files with line breaks, quotes and delimiters inside fields, read again."""
+    path = shared_path(spark, "csv-files")
+    line = F.expr("""concat(o_orderkey, ',"of ', o_custkey, '\n""', o_orderstatus, '"", ', o_orderpriority, '",', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '""' ELSE 'x' END)""")
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    r = literal.read_csv(spark, f"{path}/part-*.txt", header_row=None)
+    return r.select(r.cells[0]["value"].cast("long").alias("o_orderkey"), r.cells[1]["value"].alias("note"), r.cells[2]["kind"].alias("kind"))
+
+
 @query("s09_verified_content", "SELECT count(*) AS n FROM region")
 def s09(spark, d):
     path = shared_path(spark, "verified")

@@ -1,4 +1,4 @@
-"""Literal sources: CSV that keeps quotes apart, and XLSX cells from their XML. Both read whole files as binary rows."""
+"""Literal sources: CSV that keeps quotes apart, read in blocks, and XLSX cells from their XML, a file a row."""
 
 from __future__ import annotations
 
@@ -7,12 +7,16 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import written
+
 #: fixed values of the import contract
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "utf-16")
 DELIMITERS = (",", "\t", ";", "|")
+#: files whose headers may be broadcast
+MANY_FILES = 10_000
 
 
 def csv_records(text: str, delimiter: str) -> list[list[tuple[str, bool]]]:
@@ -67,29 +71,95 @@ def csv_records(text: str, delimiter: str) -> list[list[tuple[str, bool]]]:
     return out
 
 
+CELL = "struct<kind:string,raw:string,value:string,formula:string,warning:string>"
+RECORDS = "array<array<struct<field:string,quoted:boolean>>>"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, at, line, quotes: the lines of all files, as bytes. Spark cuts a large file into blocks that tasks
+    read by themselves; at grows along each block."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return spark.read.option("lineSep", "\n").text(path).select(*place, F.col("value").cast("binary").alias("line"), quotes.alias("quotes"))
+
+
+def _before(df: DataFrame, count: str, name: str) -> DataFrame:
+    """df with the sum of `count` over all that stands before a row in its file: sums of blocks, and inside its block."""
+    earlier = lambda w: F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = df.groupBy("path", "block").agg(F.sum(count).alias(count))
+    blocks = blocks.select("path", "block", earlier(Window.partitionBy("path").orderBy("block")).alias("_blocks"))  # a row a block
+    return df.join(blocks, ["path", "block"]).withColumn(name, F.col("_blocks") + earlier(Window.partitionBy("path", "block").orderBy("at"))).drop("_blocks")
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, at, first, lines: lines that belong together. A line begins a piece if an even number of quotes stands
+    before it in its file; else it goes on inside a quoted field."""
+    lines = _before(written(_lines(spark, path), "csv-lines"), "quotes", "before")
+    start = F.when(F.col("before") % 2 == 0, F.struct("block", "at"))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("start", F.last(start, ignorenulls=True).over(inside))
+    # what a block goes on with at its beginning: the last piece that earlier blocks begin
+    last = lines.groupBy("path", "block").agg(F.max("start").alias("last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("path", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    lines = lines.join(last, ["path", "block"]).withColumn("start", F.coalesce("start", "carried"))
+    together = F.sort_array(F.collect_list(F.struct("block", "at", "line")))["line"]
+    top = (F.col("block") == 0) & F.lag("at").over(Window.partitionBy("path", "block").orderBy("at")).isNull()
+    pieces = lines.withColumn("top", top).groupBy("path", "start").agg(F.max("top").alias("first"), together.alias("lines"))
+    return pieces.select("path", "start.block", "start.at", "first", "lines")
+
+
+def _cells(record: str) -> Column:
+    """The cells of a record; one whose number of fields isn't its header's raises."""
+    cell = lambda f: F.struct(
+        F.when((f["field"] == "") & ~f["quoted"], "null").otherwise("text").alias("kind"),
+        *(F.when((f["field"] != "") | f["quoted"], f["field"]).alias(n) for n in ("raw", "value")),
+        F.lit(None).cast("string").alias("formula"),
+        F.lit(None).cast("string").alias("warning"),
+    )
+    fits = F.size(record) == F.size("header")
+    wrong = F.raise_error(F.concat(F.lit("record "), F.col("source_row").cast("string"), F.lit(" has "), F.size(record).cast("string"), F.lit(" fields, not "), F.size("header").cast("string")))
+    return F.when(fits, F.transform(record, cell)).otherwise(wrong)
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", header_row: int | None = 1) -> DataFrame:
     """path, source_row, header, cells: each record of each file. An empty plain field is a null cell, "" a text cell.
 
-    Files are split over tasks; a file of many records is read by one task, as quotes make no line safe to split at.
+    Large files are cut at line ends and read by many tasks; the number of quotes before a line, summed block by block,
+    says whether it begins a record, and records are numbered the same way. Only UTF-16 files, whose line ends can't be
+    found in the bytes, are read whole by a task each. A byte order mark isn't part of the first header. A quote that
+    is never closed is an error; the rest of its file is one piece until then. Files without records have no rows.
     """
     if encoding not in ENCODINGS or delimiter not in DELIMITERS or (header_row is not None and not 1 <= header_row <= 1000):
         raise ValueError("unknown encoding, delimiter or header row")
-    cell = "struct<kind:string,raw:string,value:string,formula:string,warning:string>"
-
-    @F.udf(f"array<struct<source_row:bigint,header:array<string>,cells:array<{cell}>>>")
-    def parse(content: bytes):
-        records = csv_records(content.decode(encoding), delimiter)
-        first = header_row or 0
-        names = [f for f, _ in records[first - 1]] if header_row else [None] * len(records[0] if records else [])
-        out = []
-        for no, r in enumerate(records[first:], first + 1):
-            if len(r) != len(names):
-                raise ValueError(f"record {no} has {len(r)} fields, not {len(names)}")
-            out.append((no, names, [("null", None, None, None, None) if f == "" and not q else ("text", f, f, None, None) for f, q in r]))
-        return out
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.explode(parse("content")).alias("r")).select("path", "r.*")
+    coding = "utf-8" if encoding == "utf-8-sig" else encoding
+
+    @F.udf(RECORDS)
+    def parse(lines: list[bytes], first: bool):
+        text = b"\n".join(lines).decode(coding)
+        return csv_records((text.removeprefix("\ufeff") if first else text) + "\n", delimiter)
+
+    @F.udf(RECORDS)
+    def parse_file(content: bytes):
+        text = content.decode(coding).removeprefix("\ufeff")
+        return csv_records(text if text.endswith(("\n", "\r")) or not text else text + "\n", delimiter)
+
+    if encoding == "utf-16":
+        pieces = spark.read.format("binaryFile").load(path).select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at"), parse_file("content").alias("records"))
+    else:
+        pieces = _pieces(spark, path).select("path", "block", "at", parse("lines", "first").alias("records"))
+    pieces = _before(written(pieces.withColumn("n", F.size("records").cast("long")), "csv-records"), "n", "before")
+    rows = pieces.select("path", "before", F.posexplode("records").alias("no", "record")).select("path", (F.col("before") + F.col("no") + 1).alias("source_row"), "record")
+    names = F.transform("record", lambda f: f["field"])
+    if header_row:
+        headers = rows.filter(F.col("source_row") == header_row).select("path", names.alias("header"))
+        few = headers.limit(MANY_FILES + 1).count() <= MANY_FILES
+        rows = rows.filter(F.col("source_row") > header_row).join(F.broadcast(headers) if few else headers, "path")
+    else:
+        first = rows.filter("source_row = 1").select("path", F.transform("record", lambda f: F.lit(None).cast("string")).alias("header"))
+        few = first.limit(MANY_FILES + 1).count() <= MANY_FILES
+        rows = rows.join(F.broadcast(first) if few else first, "path")
+    return rows.select("path", "source_row", "header", _cells("record").alias("cells"))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}

@@ -125,3 +125,30 @@ def test_a_cluster_needs_a_shared_folder():
 def test_cycle_of_parents_is_an_error(spark):
     with pytest.raises(ValueError):
         queue.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
+
+
+def test_csv_in_blocks_is_csv_as_a_whole(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    field = lambda: r.choice(["", '""', "plain", "é名", '"a, b"', '"two\nlines"', '"win\r\ndows"', '"say ""x"" "', '"\n\n"', "﻿mark", '"""'[:2]])
+    texts = {}
+    for name in ("a", "b", "c"):
+        lines = [",".join(field() for _ in range(3)) for _ in range(r.randint(30, 60))]
+        texts[name] = r.choice(["\n", "\r\n"]).join(lines) + r.choice(["", "\n"])
+    texts["d"], texts["e"] = "", "﻿" + texts["a"]
+    for name, text_ in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text_.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = literal.read_csv(spark, f"{tmp_path}/*.csv", header_row=None).collect()
+        headed = literal.read_csv(spark, f"{tmp_path}/e.csv", header_row=1).orderBy("source_row").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {(x.path[-5:-4], x.source_row): [(c.kind, c.value) for c in x.cells] for x in found}
+    records = {k: literal.csv_records(v.removeprefix("﻿"), ",") for k, v in texts.items()}
+    assert got == {(k, i): [("null", None) if f == "" and not q else ("text", f) for f, q in rec] for k, recs in records.items() for i, rec in enumerate(recs, 1)}
+    assert headed[0].header == [f for f, _ in records["e"][0]] and len(headed) == len(records["e"]) - 1
