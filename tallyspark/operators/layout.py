@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.exact import let
 from tallyspark.operators.similar import box_overlap_join
 
 
@@ -33,6 +34,24 @@ def matmul(a: Column, b: Column) -> Column:
     return F.array(*(F.array(*(sum((a[i][k] * b[k][j] for k in range(3)), F.lit(0.0)) for j in range(3))) for i in range(3)))
 
 
+def inverse(m: Column) -> Column:
+    """The matrix that undoes m (3 x 3); null where m flattens the plane."""
+    minor = lambda r, c: m[(r + 1) % 3][(c + 1) % 3] * m[(r + 2) % 3][(c + 2) % 3] - m[(r + 1) % 3][(c + 2) % 3] * m[(r + 2) % 3][(c + 1) % 3]
+    whole = sum((m[0][c] * minor(0, c) for c in range(3)), F.lit(0.0))
+    return let(whole, lambda d: F.when(F.abs(d) > 1e-12, F.array(*(F.array(*(minor(c, r) / d for c in range(3))) for r in range(3)))))
+
+
+def moved_box(m: Column, box: tuple[Column, ...]) -> Column:
+    """The bounds (struct<x0, y0, x1, y1>) of a box's corners after m; null where a corner goes to infinity."""
+    x0, y0, x1, y1 = box
+    corners = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    depth = lambda p: m[2][0] * p["x"] + m[2][1] * p["y"] + m[2][2]
+    seen = F.forall(corners, lambda p: F.abs(depth(p)) > 1e-12)
+    put = F.when(seen, F.transform(corners, lambda p: affine(m, p["x"], p["y"])))
+    ends = lambda q: F.struct(*(f(F.transform(q, lambda p: p[a])).alias(n) for f, a, n in ((F.array_min, "x", "x0"), (F.array_min, "y", "y0"), (F.array_max, "x", "x1"), (F.array_max, "y", "y1"))))  # noqa: E731, B023
+    return let(put, lambda q: F.when(q.isNotNull(), ends(q)))
+
+
 def assign_tokens(tokens: DataFrame, cells: DataFrame, cell: float, least: float, margin: float) -> DataFrame:
     """Each token's cell: the one that holds most of its area, if that is enough and clearly more than in the next."""
     pairs = box_overlap_join(tokens, cells, cell)

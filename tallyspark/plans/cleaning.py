@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells
 from tallyspark.operators import recipe
-from tallyspark.operators.reconcile import Spec, coverage, covered, deltas, reconcile
+from tallyspark.operators.reconcile import Spec, comparison_id, coverage, covered, deltas, reconcile
 from tallyspark.plans.registry import query, table
 
 #: the same expressions make the untidy input of the queries and of their SQL twins
@@ -229,6 +231,24 @@ def reconcile_coverage(spark, d):
     return covered(*sides(spark, d), SPEC)
 
 
+@query("j09_comparison_identity", "SELECT 'same rows in another order' AS what, true AS same_id UNION ALL SELECT 'another revision', false UNION ALL SELECT 'a cell changed', false UNION ALL SELECT 'a row missing', false UNION ALL SELECT 'another tolerance', false UNION ALL SELECT 'the same tolerance written otherwise', true UNION ALL SELECT 'sides exchanged', false")
+def j09(spark, d):
+    left, right = sides(spark, d)
+    least = left.agg(F.min("source_row").alias("r")).scalar()
+    changed = left.withColumn("c3", F.when(F.col("source_row") == least, recipe.with_cell(F.col("c3"), F.lit("text"), F.lit("changed"))).otherwise(F.col("c3")))
+    first = comparison_id("l", "r", SPEC, left, right)
+    others = {
+        "same rows in another order": comparison_id("l", "r", SPEC, left.repartition(5, "row_id"), right),
+        "another revision": comparison_id("l2", "r", SPEC, left, right),
+        "a cell changed": comparison_id("l", "r", SPEC, changed, right),
+        "a row missing": comparison_id("l", "r", SPEC, left.filter(F.col("source_row") > least), right),
+        "another tolerance": comparison_id("l", "r", replace(SPEC, tolerance="0.02"), left, right),
+        "the same tolerance written otherwise": comparison_id("l", "r", replace(SPEC, tolerance="0.010"), left, right),
+        "sides exchanged": comparison_id("r", "l", SPEC, right, left),
+    }
+    return spark.createDataFrame([(k, v == first) for k, v in others.items()], "what string, same_id boolean")
+
+
 @query("j11_amount_deltas", CLASSIFIED + " SELECT left_source_row, 'c2:c2' AS field, CAST(rp - lp AS DECIMAL(18,2)) AS delta, abs(rp - lp) <= 0.01 AS within_tolerance FROM x WHERE lp IS NOT NULL AND rp IS NOT NULL")
 def j11(spark, d):
     r = reconcile(*sides(spark, d), SPEC)

@@ -186,9 +186,12 @@ def k07(spark, d):
     return lineage.agg(F.count_distinct("row_id").alias("n")).crossJoin(out.agg(F.count_distinct("c_name").alias("names")))
 
 
-@query("k08_long_text_parts", "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 3000 THEN 1 ELSE CAST(ceil(length(text) / 1500.0) AS INTEGER) END AS parts FROM documents")
+LONG = "length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 3000"
+
+
+@query("k08_long_text_parts", f"SELECT doc_id, CAST(i AS INTEGER) AS no, CASE WHEN {LONG} THEN substr(text, CAST(i AS BIGINT) * 1500 + 1, 1500) ELSE text END AS part FROM (SELECT *, unnest(range(CASE WHEN {LONG} THEN CAST(ceil(length(text) / 1500.0) AS BIGINT) ELSE 1 END)) AS i FROM documents)")
 def k08(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(sinks.split_long(F.col("text"), 3000)).alias("parts"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(sinks.split_long(F.col("text"), 3000)).alias("no", "part"))
 
 
 @query("r01_outbox_stream", "SELECT event_id, user_id, event_type FROM events")

@@ -49,6 +49,19 @@ def f19(spark, d):
     return table(spark, d, "part").select("p_partkey", layout.affine(m, F.col("p_size"), F.col("p_size")).alias("p")).select("p_partkey", "p.x", "p.y")
 
 
+@query("f19_inverse_and_bounds", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 10 AS DOUBLE) AS y, CAST(0 - p_partkey % 10 - 4 AS DOUBLE) AS x0, 2.0::DOUBLE * p_size + p_partkey % 3 AS y0, CAST(0 - p_partkey % 10 AS DOUBLE) AS x1, 2.0::DOUBLE * (p_size + 7) + p_partkey % 3 AS y1 FROM part")
+def f19_inverse(spark, d):
+    """A quarter turn with a stretch that differs from part to part: a point there and back, and the bounds of a turned box."""
+    row = lambda *v: F.array(*(F.expr(str(x)).cast("double") for x in v))
+    m = F.array(row(0, -1, 0), row(2, 0, "p_partkey % 3"), row(0, 0, 1))
+    x, y = F.col("p_size").cast("double"), F.expr("p_partkey % 10").cast("double")
+    df = table(spark, d, "part").select("p_partkey", m.alias("m"), x.alias("px"), y.alias("py"))
+    there = layout.affine(F.col("m"), F.col("px"), F.col("py"))
+    df = df.withColumn("p", there).withColumn("back", layout.affine(layout.inverse(F.col("m")), F.col("p.x"), F.col("p.y")))
+    df = df.withColumn("b", layout.moved_box(F.col("m"), (F.col("px"), F.col("py"), F.col("px") + 7, F.col("py") + 4)))
+    return df.select("p_partkey", F.col("back.x").alias("x"), F.col("back.y").alias("y"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
 BLOCK_L = BOX_L | {"text": "'t' || CAST(p_partkey % 3 AS STRING)"}
 BLOCK_R = BOX_R | {"text": "'t' || CAST(s_suppkey % 3 AS STRING)"}
 

@@ -162,17 +162,23 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
     return rows.select("path", "source_row", "header", _cells("record").alias("cells"))
 
 
+#: stands for the sheet that a workbook opens with; no sheet can have a name with stars
+ACTIVE = "*active*"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def xlsx_cells(content: bytes, sheet: str | None = None) -> list[tuple]:
-    """(row, col, kind, raw, value, formula, warning) of the cells of a sheet (the first unless named)."""
+    """(row, col, kind, raw, value, formula, warning) of the cells of a sheet (the first unless named, or ACTIVE)."""
     z = zipfile.ZipFile(io.BytesIO(content))
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
     rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     sheets = book.findall("m:sheets/m:sheet", _NS)
-    found = [s for s in sheets if sheet is None or s.get("name") == sheet]
+    if sheet == ACTIVE:
+        view = book.find("m:bookViews/m:workbookView", _NS)
+        found = sheets[int(view.get("activeTab", "0")) if view is not None else 0 :][:1]
+    else:
+        found = [s for s in sheets if sheet is None or s.get("name") == sheet]
     if not found:
         raise ValueError(f"no sheet {sheet!r}")
     target = rels[found[0].get(_REL)]
@@ -219,6 +225,47 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     return files.select("path", F.explode(parse("content")).alias("c")).select("path", "c.*")
 
 
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """path, source_row, cells: the rows of sheets (read_xlsx) from the first to the last that has a cell, each as wide as
+    its sheet. Cells that aren't stored are null cells. A row is put together from its own cells only."""
+    names = ("kind", "raw", "value", "formula", "warning")
+    size = cells.groupBy("path").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
+    every = size.select("path", "cols", F.explode(F.sequence(F.lit(1), "rows")).alias("row"))
+    stored = cells.groupBy("path", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct(*names)))).alias("stored"))
+    none = F.struct(F.lit("null").alias("kind"), *(F.lit(None).cast("string").alias(n) for n in names[1:]))
+    rows = every.join(stored, ["path", "row"], "left").withColumn("stored", F.coalesce("stored", F.expr(f"cast(map() as map<int, {CELL}>)")))
+    dense = F.transform(F.sequence(F.lit(1), "cols"), lambda c: F.coalesce(F.try_element_at("stored", c), none))
+    return rows.select("path", F.col("row").cast("long").alias("source_row"), dense.alias("cells"))
+
+
+def read_xlsx_table(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 1) -> DataFrame:
+    """path, source_row, header, cells: the rows below a sheet's header row. A row that has a value beyond the last header raises,
+    as does a header cell without a text; shorter rows end in null cells."""
+    rows = sheet_rows(read_xlsx(spark, path, sheet))
+    head = rows.filter(F.col("source_row") == header_row).select("path", F.col("cells")["value"].alias("header"))
+    width = F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.size("header")), lambda i: F.when(F.get("header", i - 1).isNotNull(), i))), F.lit(0))
+    named = F.slice("header", F.lit(1), width)
+    blank = F.raise_error(F.concat(F.lit("row "), F.lit(str(header_row)), F.lit(" has a header without a text")))
+    head = head.select("path", F.when(F.exists(named, lambda h: h.isNull() | (F.trim(h) == "")), blank.cast("array<string>")).otherwise(named).alias("header"))
+    few = head.limit(MANY_FILES + 1).count() <= MANY_FILES
+    rows = rows.filter(F.col("source_row") > header_row).join(F.broadcast(head) if few else head, "path")
+    beyond = F.exists(F.slice("cells", F.size("header") + 1, F.size("cells")), lambda c: c["kind"] != "null")
+    wide = F.raise_error(F.concat(F.lit("row "), F.col("source_row").cast("string"), F.lit(" has more values than headers"))).cast(f"array<{CELL}>")
+    return rows.select("path", "source_row", "header", F.when(beyond, wide).otherwise(F.slice("cells", F.lit(1), F.size("header"))).alias("cells"))
+
+
+def xlsx_as_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """path, source_row, line: the active sheet's values as CSV lines. Fields with the delimiter, quotes or line breaks are
+    quoted; cells without a value, and formulas that were never computed, are empty fields."""
+
+    def field(c: Column) -> Column:
+        v = F.coalesce(c["value"], F.lit(""))
+        special = v.contains(delimiter) | v.contains('"') | v.contains("\n") | v.contains("\r")
+        return F.when(special, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    return sheet_rows(read_xlsx(spark, path, ACTIVE)).select("path", "source_row", F.array_join(F.transform("cells", field), delimiter).alias("line"))
+
+
 def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     """The binary rows below path; an error where a file's hash isn't the given one."""
     files = spark.read.format("binaryFile").load(path)

@@ -49,7 +49,13 @@ def write_checked(df: DataFrame, path: str, form: str = "parquet") -> int:
     return back.count()
 
 
+def utf16_units(c: Column) -> Column:
+    """UTF-16 units of a text: a character beyond the basic plane takes two."""
+    return F.char_length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
 def split_long(c: Column, limit: int = 32_000) -> Column:
-    """A text in parts of at most limit UTF-16 units, as an array; characters beyond the basic plane count as two."""
-    n = F.ceil(F.greatest(F.length(c), F.lit(1)) / F.lit(limit // 2))
-    return F.when(F.octet_length(c) <= limit, F.array(c)).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substr(c, i * (limit // 2) + 1, F.lit(limit // 2))))
+    """A text in parts of at most limit UTF-16 units, as an array. A text that fits is one part; others are cut every
+    limit // 2 characters, which fit whatever they are."""
+    n = F.ceil(F.greatest(F.char_length(c), F.lit(1)) / F.lit(limit // 2))
+    return F.when(utf16_units(c) <= limit, F.array(c)).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substr(c, i * (limit // 2) + 1, F.lit(limit // 2))))

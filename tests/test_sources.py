@@ -56,9 +56,10 @@ def test_xlsx_cells(spark, tmp_path):
 
 
 def test_guard_and_read_back(spark, tmp_path):
-    t = ["=1+1", " +1+1", "﻿=1+1", "\t=1+1", "\r=1+1", "-2.50", "plain", "a=b"]
+    # a formula is a sign of the four after any blanks or byte order marks
+    t = [lead + sign + "1x" for lead in ("", "  ", "\t", "\n", "\r ", "\ufeff", " \ufeff\t") for sign in "=+-@*"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in t], "t string").select(sinks.safe_csv(F.col("t"))).collect()]
-    assert got == ["'" + x for x in t[:6]] + t[6:]
+    assert got == [x if x.endswith("*1x") else "'" + x for x in t]
     df = cells.to_cells(spark.createDataFrame([(1, 'a,"b"\nc', None), (2, "", "é")], "no long, x string, y string"), "no", columns=["x", "y"])
     assert sinks.write_checked(sinks.flat(df), f"file://{tmp_path}/p") == 2
     assert sinks.write_checked(sinks.flat(df), f"file://{tmp_path}/c", "csv") == 2
@@ -152,3 +153,43 @@ def test_csv_in_blocks_is_csv_as_a_whole(spark, tmp_path):
     records = {k: literal.csv_records(v.removeprefix("﻿"), ",") for k, v in texts.items()}
     assert got == {(k, i): [("null", None) if f == "" and not q else ("text", f) for f, q in rec] for k, recs in records.items() for i, rec in enumerate(recs, 1)}
     assert headed[0].header == [f for f, _ in records["e"][0]] and len(headed) == len(records["e"]) - 1
+
+
+def book(*sheets, active=0):
+    """A workbook of sheets, each a list of rows of inline texts (None: no cell)."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    column = lambda i: chr(65 + i)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        names = "".join(f'<sheet name="s{i}" sheetId="{i + 1}" r:id="r{i}"/>' for i in range(len(sheets)))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{r}"><bookViews><workbookView activeTab="{active}"/></bookViews><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(len(sheets)))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets):
+            cells_ = lambda y, row: "".join(f'<c r="{column(x)}{y}" t="inlineStr"><is><t xml:space="preserve">{v}</t></is></c>' for x, v in enumerate(row) if v is not None)
+            body = "".join(f'<row r="{y}">{cells_(y, row)}</row>' for y, row in enumerate(rows, 1) if row)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def test_workbooks_as_tables_and_csv(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(book([["ignored"]], [["id", "note"], ["1", 'a, "b"'], [], ["2", None, None], [None, "x\ny"]], active=1))
+    lines = {x.source_row: x.line for x in literal.xlsx_as_csv(spark, str(tmp_path)).collect()}
+    assert lines == {1: "id,note", 2: '1,"a, ""b"""', 3: ",", 4: "2,", 5: ',"x\ny"'}
+    assert [[f for f, _ in r] for r in literal.csv_records("\n".join(lines[i] for i in sorted(lines)) + "\n", ",")] == [["id", "note"], ["1", 'a, "b"'], ["", ""], ["2", ""], ["", "x\ny"]]
+    got = literal.read_xlsx_table(spark, str(tmp_path), "s1").orderBy("source_row").collect()
+    assert [(x.source_row, x.header, [c.value for c in x.cells]) for x in got] == [(2, ["id", "note"], ["1", 'a, "b"']), (3, ["id", "note"], [None, None]), (4, ["id", "note"], ["2", None]), (5, ["id", "note"], [None, "x\ny"])]
+    assert got[1].cells[0].kind == "null" and got[0].cells[0].kind == "text"
+    (tmp_path / "a.xlsx").write_bytes(book([["title"], ["id", "note"], ["1", "2", "beyond"]]))
+    with pytest.raises(Exception, match="more values than headers"):
+        literal.read_xlsx_table(spark, str(tmp_path), header_row=2).collect()
+    (tmp_path / "a.xlsx").write_bytes(book([["id", None, "note"], ["1", "2", "3"]]))
+    with pytest.raises(Exception, match="without a text"):
+        literal.read_xlsx_table(spark, str(tmp_path)).collect()
+
+
+def test_long_texts_by_units(spark):
+    texts = ["a" * 9, "\U0001f600" * 5, "\U0001f600" * 6, "a" * 11, "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sinks.split_long(F.col("t"), 10)).collect()]
+    assert got == [["a" * 9], ["\U0001f600" * 5], ["\U0001f600" * 5, "\U0001f600"], ["aaaaa", "aaaaa", "a"], [""], [None]]
