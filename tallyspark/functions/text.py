@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -95,12 +94,6 @@ def chunks(text: str, limit: int, overlap: int):
     return [(i, a, b, text[a:b]) for i, (a, b) in enumerate(chunk_bounds(text or "", limit, overlap))]
 
 
-@F.udf(_rows(op=T.StringType(), a0=T.IntegerType(), a1=T.IntegerType(), b0=T.IntegerType(), b1=T.IntegerType()))
-def line_diff(a: str, b: str):
-    """Changed line ranges between two texts."""
-    return [t for t in difflib.SequenceMatcher(None, (a or "").split("\n"), (b or "").split("\n"), autojunk=False).get_opcodes() if t[0] != "equal"]
-
-
 def markdown_row(*cells: Column) -> Column:
     """A Markdown table row; pipes are escaped and line breaks become <br>."""
     esc = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r?\n", "<br>") for c in cells]

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: bytes of a pair's bits held at once
 LIMIT = 64_000_000
@@ -109,17 +111,22 @@ def steps(a: str, b: str) -> list[dict]:
     return out
 
 
-def aligned(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """key, steps of the cheapest path from column a to column b; a null text counts as ''."""
+def _per_pair(df: DataFrame, key: list[str], a: str, b: str, make, name: str, kind: str) -> DataFrame:
+    """key and what make gives for the texts of columns a and b, on Arrow batches."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    result = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("text", pa.string())]))
         for batch in batches:
-            found = [steps(x or "", y or "") for x, y in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(found, kind)], [*key, "steps"])
+            found = [make(x or "", y or "") for x, y in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(found, result)], [*key, name])
+
+    return df.select(*key, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInArrow(run, f"{fields}, {name} {kind}")
+
 
-    return df.select(*key, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInArrow(run, f"{fields}, steps {STEPS}")
+def aligned(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """key, steps of the cheapest path from column a to column b; a null text counts as ''."""
+    return _per_pair(df, key, a, b, steps, "steps", STEPS)
 
 
 def total(steps_: Column, *ops: str) -> Column:
@@ -157,6 +164,40 @@ def gains(df: DataFrame, key: list[str], truth: str, before: str, after: str) ->
     return j.withColumn("net", F.col("corrected") - F.col("introduced"))
 
 
+CHANGES = "array<struct<op:string,a0:int,a1:int,b0:int,b1:int,before:string,after:string,moved:boolean>>"
+
+
+def changes(a: str, b: str) -> list[dict]:
+    """What a cheapest edit of lines changes from a to b, a block of lines each: replace, delete or insert, the lines' places on both
+    sides (ends exclusive) and texts. moved: all that has a text in the block stands in other blocks of the other side,
+    so only the reading order differs."""
+    x, y = a.split("\n"), b.split("\n")
+    number: dict[str, int] = {}
+    p, q = (np.array([number.setdefault(line, len(number)) for line in lines], np.uint32) for lines in (x, y))
+    out, i, j, open_ = [], 0, 0, False
+    for op in path(p, q):
+        if op and not open_:
+            out.append([i, i, j, j])
+        open_ = op > 0
+        i, j = i + (op != 3), j + (op != 2)
+        if op:
+            out[-1][1], out[-1][3] = i, j
+    gone, come = ([{line.strip() for line in side[c[k] : c[k + 1]]} - {""} for c in out] for side, k in ((x, 0), (y, 2)))
+    found = []
+    for n, (a0, a1, b0, b1) in enumerate(out):
+        elsewhere = lambda sets: set().union(*(s for m, s in enumerate(sets) if m != n))  # noqa: E731, B023
+        moved = bool(gone[n] | come[n]) and gone[n] <= elsewhere(come) and come[n] <= elsewhere(gone)
+        op = "insert" if a0 == a1 else "delete" if b0 == b1 else "replace"
+        before, after = "\n".join(x[a0:a1]) if a1 > a0 else None, "\n".join(y[b0:b1]) if b1 > b0 else None
+        found.append({"op": op, "a0": a0, "a1": a1, "b0": b0, "b1": b1, "before": before, "after": after, "moved": moved})
+    return found
+
+
+def line_changes(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """key, and a row for each block of lines that changes from column a to column b (see changes); a null text counts as ''."""
+    return _per_pair(df, key, a, b, changes, "changes", CHANGES).select(*key, F.explode("changes").alias("x")).select(*key, "x.*")
+
+
 def relocate(old: Column, new: Column, start: Column, end: Column, context: int = 16) -> Column:
     """Where the span start to end (from 0, end exclusive) of old stands in new: struct<start, end>, or null.
 

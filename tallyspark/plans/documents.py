@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells, money, text
-from tallyspark.operators import facts, tables
+from tallyspark.operators import alignment, facts, tables
 from tallyspark.operators.reconcile import reconcile
 from tallyspark.plans.cleaning import CLASSIFIED, SPEC, dirty, sides
 from tallyspark.plans.registry import query, table
@@ -81,11 +81,16 @@ def f12(spark, d):
     return table(spark, d, "nation").select("n_nationkey", text.markdown_row(F.col("n_name"), F.col("n_regionkey")).alias("row"))
 
 
-@query("f16_line_diff")
+@query(
+    "f16_line_diff",
+    """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), n AS (SELECT doc_id, x, len(x) AS n FROM t)
+SELECT doc_id, 'replace' AS op, 0 AS a0, 1 AS a1, 0 AS b0, CASE WHEN n = 1 THEN 2 ELSE 1 END AS b1, x[1] AS before, CASE WHEN n = 1 THEN 'first line' || chr(10) || 'last line' ELSE 'first line' END AS after FROM n
+UNION ALL SELECT doc_id, 'insert', CAST(n AS INTEGER), CAST(n AS INTEGER), CAST(n AS INTEGER), CAST(n + 1 AS INTEGER), NULL, 'last line' FROM n WHERE n > 1""",
+)
 def f16(spark, d):
-    df = table(spark, d, "documents").filter("text like '%\n%'")
-    diff = text.line_diff("text", F.regexp_replace("text", "^[^\n]*\n", "first\n"))
-    return df.select("doc_id", F.explode(diff).alias("x")).select("doc_id", "x.*")
+    """Each text against a copy with another first line and one line more."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.regexp_replace("text", "^[^\n]*", "first line"), F.lit("\nlast line")).alias("other"))
+    return alignment.line_changes(docs, ["doc_id"], "text", "other").drop("moved")
 
 
 @query("f25_digit_runs", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{8,}')) AS runs, length(regexp_replace(text, '[0-9 ]', '', 'g')) AS rest FROM documents")

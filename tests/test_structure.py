@@ -453,3 +453,22 @@ def test_totals_of_odd_tables(spark):
     df = spark.createDataFrame(data, "t int, row int, label string, amount decimal(18,2), places int")
     found = {(x.t, x.row): (x["first"], x["last"], x.status) for x in stats.contiguous_totals(df, ["t"], ["Total"]).collect()}
     assert found == {(1, 3): (0, 2, "uncertain"), (1, 5): (4, 4, "rounding_possible"), (2, 0): (None, None, "uncertain"), (3, 3): (2, 2, "equal"), (4, 2): (0, 1, "uncertain")}
+
+
+def test_changed_lines():
+    r = random.Random(12)
+    for _ in range(400):
+        a, b = ([r.choice(["a", "b", "", "c c"]) for _ in range(r.randint(1, 9))] for _ in range(2))
+        found = alignment.changes("\n".join(a), "\n".join(b))
+        out, at = [], 0
+        for c in found:
+            out += a[at : c["a0"]]
+            assert len(out) == c["b0"] and (c["a1"] > c["a0"] or c["b1"] > c["b0"])
+            assert c["before"] == ("\n".join(a[c["a0"] : c["a1"]]) if c["a1"] > c["a0"] else None)
+            out += b[c["b0"] : c["b1"]]
+            at = c["a1"]
+        assert out + a[at:] == b
+        assert sum(max(c["a1"] - c["a0"], c["b1"] - c["b0"]) for c in found) >= distance(a, b)
+        assert not found if a == b else found
+    assert [(c["op"], c["moved"]) for c in alignment.changes("x\nkeep\nstay", "keep\nstay\nx")] == [("delete", True), ("insert", True)]
+    assert [(c["op"], c["moved"]) for c in alignment.changes("", "x")] == [("replace", False)]
