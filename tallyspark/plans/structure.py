@@ -186,6 +186,22 @@ def t08(spark, d):
     return fusion.fuse(readings(spark, d), "first", ["t"]).select("t", "row", "col", "selected", "reason")
 
 
+@query(
+    "t08_text_fusion",
+    r"""WITH d AS (SELECT doc_id, text, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS head FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND NOT regexp_matches(head, '[0-9]') THEN 'a better line' || substr(text, length(head) + 1) ELSE text END AS text,
+ CASE WHEN doc_id % 3 = 1 THEN 'insufficient_evidence' WHEN doc_id % 3 = 2 THEN 'tie' WHEN regexp_matches(head, '[0-9]') THEN 'numeric_protection' ELSE 'evidence_rule_passed' END AS reason FROM d""",
+)
+def t08_texts(spark, d):
+    """Whole documents in three readings of unlike weight: the other two agree on another first line, or only one has the text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    head = lambda line: F.regexp_replace("text", "^[^\n]*", line)
+    second = docs.filter("doc_id % 3 <> 2").select("doc_id", head("a better line").alias("text"))
+    third = docs.filter("doc_id % 3 <> 1").select("doc_id", F.when(F.expr("doc_id % 3 = 0"), head("a better line")).otherwise(head("one more line")).alias("text"))
+    texts, units = fusion.fuse_texts({"first": docs, "second": second, "third": third}, "first", ["doc_id"], fusion.Policy(weights={"second": 2}))
+    return texts.join(units.select("doc_id", "reason"), "doc_id", "left").select("doc_id", "text", "reason")
+
+
 @query(
     "c20_lineage",
     f"""WITH b AS ({BASE}), n AS (SELECT count(*) AS n FROM b), f AS (SELECT count(*) AS n FROM b WHERE seg = 'BUILDING'), g AS (SELECT count(*) AS n FROM b WHERE amount IS NOT NULL)

@@ -472,3 +472,47 @@ def test_changed_lines():
         assert not found if a == b else found
     assert [(c["op"], c["moved"]) for c in alignment.changes("x\nkeep\nstay", "keep\nstay\nx")] == [("delete", True), ("insert", True)]
     assert [(c["op"], c["moved"]) for c in alignment.changes("", "x")] == [("replace", False)]
+
+
+def test_units_of_texts_put_each_source_together():
+    r = random.Random(14)
+    for _ in range(300):
+        line = lambda: r.choice(["a", "b", "c", "", "d d"])
+        base = [line() for _ in range(r.randint(1, 8))]
+        others = {}
+        for k in "xyz"[: r.randint(0, 3)]:
+            other = [x for x in base if r.random() < 0.8] or [""]
+            for _ in range(r.randint(0, 2)):
+                other.insert(r.randint(0, len(other)), line())
+            others[k] = "\n".join(other)
+        units = fusion.text_units("\n".join(base), others, "base")
+        for k in ("base", *others):
+            # a source is what it has in the units and what is common between them
+            out, at = [], 0
+            for u in units:
+                assert at <= u["a0"] <= u["a1"]
+                value = next(v["value"] for v in u["values"] if v["source"] == k)
+                out += base[at : u["a0"]] + ([] if value is None else value.split("\n"))
+                at = u["a1"]
+            assert "\n".join(out + base[at:]) == ("\n".join(base) if k == "base" else others[k])
+
+
+def test_fused_texts(spark):
+    base = "one\ntwo\nthree\nfour"
+    cases = {
+        1: (base, "one\n2\nthree\nfour", "one\n2\nthree\nfour", base, "numeric_protection"),
+        2: (base, "one\nzwei\nthree\nfour", "one\nzwei\nthree\nfour", "one\nzwei\nthree\nfour", "evidence_rule_passed"),
+        3: (base, "one\nthree\nfour", "one\nthree\nfour", "one\nthree\nfour", "evidence_rule_passed"),
+        4: (base, "one\ntwo\nthree\nfour\nfive", "one\ntwo\nthree\nfour\nfive", "one\ntwo\nthree\nfour\nfive", "evidence_rule_passed"),
+        5: (base, "one\nzwei\nthree\nfour", "one\ndeux\nthree\nfour", base, "tie"),
+        6: (base, base, None, base, None),
+        7: (base, "two\nthree\nfour\none", "two\nthree\nfour\none", base, "alignment_unreliable"),
+        8: (None, "x", "x", "x", "evidence_rule_passed"),
+    }
+    source = lambda i: spark.createDataFrame([(k, v[i]) for k, v in cases.items()], "k int, text string")
+    texts, units = fusion.fuse_texts({"a": source(0), "b": source(1), "c": source(2)}, "a", ["k"])
+    assert {x.k: x.text for x in texts.collect()} == {k: v[3] for k, v in cases.items()}
+    found = {}
+    for u in units.collect():
+        found.setdefault(u.k, set()).add(u.reason)
+    assert found == {k: {v[4]} for k, v in cases.items() if v[4]}
