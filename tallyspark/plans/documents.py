@@ -42,9 +42,9 @@ def f03(spark, d):
     return df.select("k", money.unit(F.col("t")).alias("unit")).groupBy("k", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f05_comparable_text", "SELECT doc_id, lower(regexp_replace(source || ' ' || lang, '\\s+', '', 'g')) AS k FROM documents")
+@query("f05_comparable_text", "SELECT doc_id, replace(lower(regexp_replace(text, '\\s+', '', 'g')), 'ß', 'ss') AS k FROM documents")
 def f05(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.comparable(F.concat_ws(" ", "source", "lang")).alias("k"))
+    return table(spark, d, "documents").select("doc_id", text.comparable(F.col("text")).alias("k"))
 
 
 @query("f06_collapsed", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents")
