@@ -62,3 +62,25 @@ def to_cells(df: DataFrame, order: str, revision: str = "rev", columns: list[str
 
 def headers(df: DataFrame) -> dict[str, str | None]:
     return {f.name: f.metadata.get("header") for f in df.schema.fields if f.name.startswith("c")}
+
+
+def described(df: DataFrame) -> DataFrame:
+    """A row for each column of a cell table: name, role (locator or business), header, rows, nulls, warnings, and the kinds of
+    its cells in order. One pass, as counts and flags that combine on the map side."""
+    names = headers(df)
+    kinds = ("text", "boolean", "integer", "decimal", "date", "unknown_formula", "error")
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for c in names:
+        kind = F.col(c)["kind"]
+        aggs += [F.count_if(kind == "null").alias(f"{c}_nulls"), F.count_if(F.col(c)["warning"].isNotNull()).alias(f"{c}_warnings")]
+        aggs += [F.coalesce(F.bool_or(kind == k), F.lit(False)).alias(f"{c}_{k}") for k in kinds]
+    one = df.agg(*aggs)
+    none = F.lit(None).cast("string")
+
+    def row(c: str):
+        if c not in names:
+            return F.struct(F.lit(c).alias("name"), F.lit("locator").alias("role"), none.alias("header"), F.col("rows"), F.lit(0).cast("long").alias("nulls"), F.lit(0).cast("long").alias("warnings"), none.alias("kinds"))
+        seen = F.concat_ws(",", *(F.when(F.col(f"{c}_{k}"), k) for k in kinds))
+        return F.struct(F.lit(c).alias("name"), F.lit("business").alias("role"), F.lit(names[c]).alias("header"), F.col("rows"), F.col(f"{c}_nulls").alias("nulls"), F.col(f"{c}_warnings").alias("warnings"), seen.alias("kinds"))
+
+    return one.select(F.inline(F.array(*map(row, df.columns))))

@@ -116,10 +116,15 @@ def k02(spark, d):
     return spark.read.parquet(path).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k06_table_schema", "SELECT * FROM (VALUES ('row_id', 'locator'), ('source_row', 'locator'), ('c1', 'business'), ('c2', 'business')) AS t(name, role)")
+@query(
+    "k06_table_schema",
+    """WITH n AS (SELECT count(*) AS n, count_if(o_orderkey % 3 = 0) AS gone FROM orders)
+SELECT t.name, role, header, n AS rows, CASE WHEN t.name = 'c4' THEN gone ELSE 0 END AS nulls, CASE WHEN t.name = 'c2' THEN n ELSE 0 END AS warnings, kinds FROM n,
+(VALUES ('row_id', 'locator', NULL, NULL), ('source_row', 'locator', NULL, NULL), ('c1', 'business', 'o_orderstatus', 'text'), ('c2', 'business', 'o_totalprice', 'decimal'), ('c3', 'business', 'day', 'date'), ('c4', 'business', 'part', 'integer')) AS t(name, role, header, kinds)""",
+)
 def k06(spark, d):
-    df = cells.to_cells(table(spark, d, "nation"), "n_nationkey", columns=["n_name", "n_regionkey"])
-    return spark.createDataFrame([(c, "business" if c in cells.headers(df) else "locator") for c in df.columns], "name string, role string")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"), F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7 END").alias("part"))
+    return cells.described(cells.to_cells(o, "o_orderkey", columns=["o_orderstatus", "o_totalprice", "day", "part"]))
 
 
 @query("k11_dataset_snapshot", "SELECT quality, count_if(doc_id % 2 = 0) AS train, count_if(doc_id % 2 = 1) AS test FROM labels GROUP BY quality")
