@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import cells, money, text
 from tallyspark.operators import alignment, facts, tables
 from tallyspark.operators.reconcile import reconcile
-from tallyspark.plans.cleaning import CLASSIFIED, SPEC, dirty, sides
+from tallyspark.plans.cleaning import BASE, CLASSIFIED, SPEC, dirty, sides
 from tallyspark.plans.registry import query, table
 from tallyspark.session import shared_path
 from tallyspark.sources import sinks
@@ -166,11 +166,11 @@ def k01(spark, d):
     return out.toDF("source_row", "name", "seg")
 
 
-@query("k03_result_layout", "SELECT count(*) AS n FROM orders")
+@query("k03_result_layout", CLASSIFIED + " SELECT category, left_source_row, right_source_row, CASE WHEN category IN ('same', 'different') THEN '[' || concat_ws(',', CASE WHEN d1 <> '' THEN '\"' || d1 || '\"' END, CASE WHEN d2 <> '' THEN '\"' || d2 || '\"' END) || ']' END AS different_columns_json FROM x")
 def k03(spark, d):
     left, right = sides(spark, d)
     rows = sinks.result_rows(reconcile(left, right, SPEC), ["c1", "c2"], ["c1", "c2"])
-    return rows.filter("L_c2_value is not null").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("category", "left_source_row", "right_source_row", "different_columns_json")
 
 
 @query("k04_csv_guard", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '''=1+1' WHEN 1 THEN ''' -2.50' WHEN 2 THEN '''@x' ELSE 'plain' END AS t FROM orders")
@@ -179,16 +179,19 @@ def k04(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sinks.safe_csv(t).alias("t"))
 
 
-@query("k05_read_back", "SELECT count(*) AS rows FROM customer")
+@query("k05_read_back", f"SELECT id + 1 AS source_row, coalesce(name, '') AS name, coalesce(amount, '') AS amount, coalesce(flag, '') AS flag FROM ({BASE})")
 def k05(spark, d):
-    n = sinks.write_checked(sinks.flat(dirty(spark, d)), shared_path(spark, "read-back"))
-    return spark.range(1).select(F.lit(n).cast("long").alias("rows"))
+    path = shared_path(spark, "read-back")
+    sinks.write_checked(sinks.flat(dirty(spark, d)), path)
+    back = spark.read.parquet(path)
+    return back.select("source_row", *(F.col(f"`{c} | {h}`").alias(h) for c, h in (("c2", "name"), ("c3", "amount"), ("c4", "flag"))))
 
 
-@query("k07_business_and_lineage", "SELECT count(*) AS n, count(DISTINCT c_name) AS names FROM customer")
+@query("k07_business_and_lineage", "SELECT 'business' AS what, c_name AS value, NULL AS source_row FROM customer UNION ALL SELECT 'lineage', 'r' || substr(sha256('rev:' || (c_custkey + 1)), 1, 32), c_custkey + 1 FROM customer")
 def k07(spark, d):
     out, lineage = sinks.business(cells.to_cells(table(spark, d, "customer"), "c_custkey", columns=["c_name"]))
-    return lineage.agg(F.count_distinct("row_id").alias("n")).crossJoin(out.agg(F.count_distinct("c_name").alias("names")))
+    rows = out.select(F.lit("business").alias("what"), F.col("c_name").alias("value"), F.lit(None).cast("long").alias("source_row"))
+    return rows.unionByName(lineage.select(F.lit("lineage").alias("what"), F.col("row_id").alias("value"), "source_row"))
 
 
 LONG = "length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 3000"
