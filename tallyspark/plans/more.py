@@ -101,11 +101,11 @@ def s09(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).crossJoin(ok).filter("files = 1").select("n")
 
 
-@query("s14_normalised_pages", "SELECT page_id, len(string_split(html, '<p>')) - 1 AS paragraphs FROM pages")
+@query("s14_normalised_pages", "WITH b AS (SELECT page_id, url, string_split(html, '<p>')[2:] AS parts FROM pages), u AS (SELECT page_id, url, unnest(parts) AS t, unnest(range(1, len(parts) + 1)) AS i FROM b) SELECT page_id, url, CAST(i AS INTEGER) AS place, regexp_replace(regexp_replace(t, '(?s)</p>.*', ''), '<[^>]*>', '', 'g') AS text FROM u")
 def s14(spark, d):
-    blocks = F.transform(F.slice(F.split("html", "<p>"), 2, 1_000_000), lambda t, i: F.struct((i + 1).alias("order"), F.lit("paragraph").alias("type"), F.regexp_replace(F.regexp_replace(t, "(?s)</p>.*", ""), "<[^>]*>", "").alias("text")))
+    blocks = F.transform(F.slice(F.split("html", "<p>"), 2, 1_000_000_000), lambda t, i: F.struct((i + 1).alias("order"), F.lit("paragraph").alias("type"), F.regexp_replace(F.regexp_replace(t, "(?s)</p>.*", ""), "<[^>]*>", "").alias("text")))
     doc = table(spark, d, "pages").select("page_id", F.struct(F.col("url").alias("url"), blocks.alias("blocks")).alias("document"))
-    return doc.select("page_id", F.size("document.blocks").cast("long").alias("paragraphs"))
+    return doc.select("page_id", "document.url", F.explode("document.blocks").alias("b")).select("page_id", "url", F.col("b.order").alias("place"), "b.text")
 
 
 @query("k02_comparison_export", CLASSIFIED + " SELECT category, count(*) AS n FROM x WHERE category IN ('different', 'only_left') GROUP BY category")

@@ -268,6 +268,26 @@ def s10_errors(spark, d):
     return tables.tables_of(pages, "p_partkey", "html").withColumnRenamed("end", "end_at")
 
 
+@query(
+    "t01_varied_grids",
+    """WITH p AS (SELECT p_partkey, p_partkey % 8 AS k FROM part), n AS (SELECT *, 0 AS table_no FROM p WHERE k < 7 UNION ALL SELECT *, 1 FROM p WHERE k = 3)
+SELECT p_partkey, table_no, CASE WHEN k IN (0, 2, 6) THEN 2 ELSE 1 END AS n_rows, CASE WHEN k IN (1, 3) THEN 1 ELSE 2 END AS n_cols, CAST(CASE WHEN k IN (0, 2, 6) THEN 4 WHEN k IN (1, 3) THEN 1 ELSE 2 END AS BIGINT) AS covered, CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS overlaps, k <> 2 AS complete FROM n""",
+)
+def t01_varied(spark, d):
+    pages = table(spark, d, "part").selectExpr("p_partkey", f"{PAGE} AS html")
+    return tables.validate(tables.cells_of(pages, "p_partkey", "html"), ["p_partkey", "table_no"])
+
+
+@query(
+    "t02_varied_slots",
+    """WITH p AS (SELECT p_partkey, p_brand, p_partkey % 8 AS k FROM part), s AS (SELECT * FROM (VALUES (0, 0, 0, 'a\nb'), (0, 0, 1, 'c'), (0, 1, 0, 'd'), (0, 1, 1, NULL), (1, 0, 0, 'a'), (2, 0, 0, 'a'), (2, 0, 1, 'b'), (2, 1, 1, 'b'), (2, 1, 0, 'c'), (2, 1, 1, 'c'), (3, 0, 0, 'a'), (3, 0, 0, 'b'), (4, 0, 0, 'a'), (4, 0, 1, 'b'), (5, 0, 0, 'a'), (5, 0, 1, 'b'), (6, 0, 0, 'a'), (6, 1, 0, 'a'), (6, 0, 1, 'b'), (6, 1, 1, 'c')) AS t(k, slot_row, slot_col, text))
+SELECT p_partkey, slot_row, slot_col, CASE WHEN s.text IS NULL THEN p_brand ELSE s.text END AS text FROM p JOIN s USING (k)""",
+)
+def t02_varied(spark, d):
+    pages = table(spark, d, "part").selectExpr("p_partkey", f"{PAGE} AS html")
+    return tables.slots(tables.cells_of(pages, "p_partkey", "html"), ["p_partkey"]).select("p_partkey", "slot_row", "slot_col", "text")
+
+
 #: the lines of an order as a table with a total row after every third line and at the end; some totals are off
 LEDGER = f"""l AS ({LINES}), m AS (SELECT l_orderkey, ln, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, ln // 3 AS block FROM l),
 t AS (SELECT l_orderkey, block, sum(amount) + CASE l_orderkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 7 ELSE 0 END AS total, count(*) AS n, min(ln) AS first, max(ln) AS last, sum(CASE WHEN l_orderkey % 7 = 0 AND ln % 3 = 1 THEN 1 ELSE 0 END) AS unknown FROM m GROUP BY 1, 2)"""
