@@ -4,6 +4,10 @@ Costs are one for each substituted, deleted or inserted code point. A pair's com
 solved row by row with whole rows of the cost table as bits of two long integers, so a text of 100,000 code points against another takes
 seconds. A path needs the bits of all rows; where they pass LIMIT bytes, the first text is halved at the place of the
 second where both halves' costs add up least, so memory is bounded for texts of any length.
+
+Two middles of one length that share no code point among the places where they differ need no table: each of these
+places costs at least one on any path, so the diagonal is cheapest, and time is linear. Results leave a task in pieces of
+PIECE runs, so its memory doesn't grow with the batch.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql.types import StructType
 
 #: bytes of a pair's bits held at once
 LIMIT = 64_000_000
+#: runs of edit paths, or texts, that a task holds before it hands them on
+PIECE = 50_000
 STEPS = "array<struct<op:string,a:int,b:int,n:int,text:string>>"
 
 
@@ -72,6 +78,27 @@ def _backwards(a: np.ndarray, b: np.ndarray) -> list[int]:
     return ([2] * i or [3] * j) + ops[::-1]
 
 
+def _diagonal(a: np.ndarray, b: np.ndarray) -> list[int] | None:
+    """The path that only substitutes, where counting code points proves that none is cheaper."""
+    if len(a) != len(b):
+        return None
+    differ = a != b
+    return None if np.isin(a[differ], b[differ]).any() else differ.astype(np.int8).tolist()
+
+
+def distance(a: str, b: str) -> int:
+    """The cost of the cheapest path, without its bits."""
+    x, y = _points(a), _points(b)
+    if len(x) < len(y):
+        x, y = y, x
+    if (straight := _diagonal(x, y)) is not None:
+        return sum(straight)
+    more, less = (1 << len(y)) - 1, 0
+    for _, more, less in _rows(x, y):
+        pass
+    return len(x) + more.bit_count() - less.bit_count()
+
+
 def path(a: np.ndarray, b: np.ndarray) -> list[int]:
     """A cheapest list of ops from a to b."""
     short = min(len(a), len(b))
@@ -80,7 +107,9 @@ def path(a: np.ndarray, b: np.ndarray) -> list[int]:
     differ = np.flatnonzero(a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1])
     tail = int(differ[0]) if len(differ) else short - head
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) * len(y) // 4 <= LIMIT:
+    if (straight := _diagonal(x, y)) is not None:
+        middle = straight
+    elif len(x) * len(y) // 4 <= LIMIT:
         middle = _backwards(x, y) if len(x) and len(y) else [2] * len(x) + [3] * len(y)
     elif len(x) == 1:
         at = np.flatnonzero(y == x[0])
@@ -111,22 +140,36 @@ def steps(a: str, b: str) -> list[dict]:
     return out
 
 
-def _per_pair(df: DataFrame, key: list[str], a: str, b: str, make, name: str, kind: str) -> DataFrame:
-    """key and what make gives for the texts of columns a and b, on Arrow batches."""
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+def _per_pair(df: DataFrame, key: list[str], sides: dict[str, tuple[str, str]], make, kind: str) -> DataFrame:
+    """key and, under each name of sides, what make gives for the texts of its two columns, on Arrow batches."""
+    fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key), *(f"{name} {kind}" for name in sides)])
     result = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
+    size = lambda x: len(x) if isinstance(x, list) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [make(x or "", y or "") for x, y in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(found, result)], [*key, name])
+            held, start, found = 0, 0, [[] for _ in sides]
+            for row in range(batch.num_rows):
+                for i, out in enumerate(found):
+                    a, b = (batch.column(len(key) + 2 * i + side)[row].as_py() or "" for side in (0, 1))
+                    out.append(make(a, b))
+                    held += 1 + size(out[-1])
+                if held >= PIECE or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, row + 1 - start) for i in range(len(key))), *(pa.array(x, result) for x in found)], [*key, *sides])
+                    held, start, found = 0, row + 1, [[] for _ in sides]
 
-    return df.select(*key, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInArrow(run, f"{fields}, {name} {kind}")
+    texts = [F.col(c).alias(f"_{i}{side}") for i, pair in enumerate(sides.values()) for side, c in enumerate(pair)]
+    return df.select(*key, *texts).mapInArrow(run, fields)
 
 
 def aligned(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """key, steps of the cheapest path from column a to column b; a null text counts as ''."""
-    return _per_pair(df, key, a, b, steps, "steps", STEPS)
+    return _per_pair(df, key, {"steps": (a, b)}, steps, STEPS)
+
+
+def costs(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """key, cost of the cheapest path from column a to column b, without the path; a null text counts as ''."""
+    return _per_pair(df, key, {"cost": (a, b)}, distance, "int")
 
 
 def total(steps_: Column, *ops: str) -> Column:
@@ -152,9 +195,7 @@ def _surplus(steps_: Column) -> Column:
 def gains(df: DataFrame, key: list[str], truth: str, before: str, after: str) -> DataFrame:
     """key, corrected, introduced, net: the errors against the truth that a change from before to after takes away and
     brings in. A place of the truth is right or wrong; surplus is compared gap by gap, by its length."""
-    x = aligned(df, key, truth, before).withColumnRenamed("steps", "was")
-    y = aligned(df, key, truth, after).withColumnRenamed("steps", "now")
-    j = x.join(y, key)
+    j = _per_pair(df, key, {"was": (truth, before), "now": (truth, after)}, steps, STEPS)
     j = j.withColumns({"bad_was": _wrong(F.col("was")), "bad_now": _wrong(F.col("now")), "more_was": _surplus(F.col("was")), "more_now": _surplus(F.col("now"))})
     gaps = F.array_union(F.map_keys("more_was"), F.map_keys("more_now"))
     at = lambda m, g: F.coalesce(F.try_element_at(m, g), F.lit(0))
@@ -195,7 +236,7 @@ def changes(a: str, b: str) -> list[dict]:
 
 def line_changes(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """key, and a row for each block of lines that changes from column a to column b (see changes); a null text counts as ''."""
-    return _per_pair(df, key, a, b, changes, "changes", CHANGES).select(*key, F.explode("changes").alias("x")).select(*key, "x.*")
+    return _per_pair(df, key, {"changes": (a, b)}, changes, CHANGES).select(*key, F.explode("changes").alias("x")).select(*key, "x.*")
 
 
 def relocate(old: Column, new: Column, start: Column, end: Column, context: int = 16) -> Column:
