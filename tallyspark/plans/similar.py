@@ -36,8 +36,8 @@ def j24(spark, d):
 
 @query("j25_unique_anchors", "WITH a AS (SELECT CAST(c_acctbal AS INT) AS v, min(c_custkey) AS c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1), b AS (SELECT CAST(s_acctbal AS INT) AS v, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT v, c_custkey, s_suppkey FROM a JOIN b USING (v)")
 def j25(spark, d):
-    a = table(spark, d, "customer").select(F.round("c_acctbal").cast("int").alias("v"), "c_custkey")
-    b = table(spark, d, "supplier").select(F.round("s_acctbal").cast("int").alias("v"), "s_suppkey")
+    a = table(spark, d, "customer").select(F.rint("c_acctbal").cast("int").alias("v"), "c_custkey")
+    b = table(spark, d, "supplier").select(F.rint("s_acctbal").cast("int").alias("v"), "s_suppkey")
     return similar.unique_anchors(a, b, "v", "c_custkey", "s_suppkey")
 
 
