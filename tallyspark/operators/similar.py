@@ -6,25 +6,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def box_overlap_join(left: DataFrame, right: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
-    """Pairs of boxes (id, x0, y0, x1, y1) that overlap, inside each group of `by`: boxes meet in the grid cells they touch,
-    and a pair is kept only in the cell of its overlap's corner, so no distinct is needed."""
+#: into how many parts a grid cell's left boxes are dealt; each meets all of its right boxes
+SHARES = 16
+BOX = ("id", "x0", "y0", "x1", "y1")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
+    """The columns of by, and of both sides with l_ and r_ before their names, and area, for boxes (id, x0, y0, x1, y1, more)
+    that overlap, inside each group of `by`: boxes meet in the grid cells they touch, and a pair is kept only in the cell of
+    its overlap's corner, so no distinct is needed.
+
+    Without groups, boxes are few bytes but many pairs, so they are dealt to a fixed number of tasks by cell and share: by
+    their size alone they would all go to a few."""
     by = by or []
+    shares = 1 if by else SHARES
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
+    def cells(df: DataFrame, p: str, share: Column) -> DataFrame:
         span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-        df = df.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
-        return df.select(*by, "gx", "gy", *(F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")))
+        rest = [c for c in df.columns if c not in by]
+        df = df.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1"))).withColumn("share", share)
+        df = df.select(*by, "gx", "gy", "share", *(F.col(c).alias(p + c) for c in rest))
+        return df if by else df.repartition(tasks, "gx", "gy", "share")
 
-    df = cells(left, "l_").join(cells(right, "r_"), [*by, "gx", "gy"])
+    dealt = F.pmod(F.xxhash64("id", "gx", "gy"), F.lit(shares)).cast("int")
+    df = cells(left, "l_", dealt).join(cells(right, "r_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), [*by, "gx", "gy", "share"])
     df = df.filter("l_x0 < r_x1 and r_x0 < l_x1 and l_y0 < r_y1 and r_y0 < l_y1")
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("gx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("gy"))
     area = (F.least("l_x1", "r_x1") - F.greatest("l_x0", "r_x0")) * (F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0"))
-    return df.filter(corner).select(*by, "l_id", "r_id", area.alias("area"))
+    return df.filter(corner).withColumn("area", area).drop("gx", "gy", "share")
+
+
+def box_overlap_join(left: DataFrame, right: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
+    """l_id, r_id, area of the boxes that overlap (see box_pairs)."""
+    by = by or []
+    return box_pairs(left.select(*by, *BOX), right.select(*by, *BOX), cell, by).select(*by, "l_id", "r_id", "area")
+
+
+def best_overlaps(left: DataFrame, right: DataFrame, cell: float, of: str = "l") -> DataFrame:
+    """l_id, r_id, area, next: for each box of one side (of: l or r) the box of the other with which it shares most, the least id of those
+    that share as much, and the second largest area (null without one).
+
+    Pairs are made twice and never leave their task: first for the largest area of each box, which goes along with the box
+    then, so that numbers of it are all that is kept of its pairs."""
+    sides = {"l": left.select(*BOX), "r": right.select(*BOX)}
+    other = "r" if of == "l" else "l"
+    most = box_pairs(sides["l"], sides["r"], cell).groupBy(F.col(f"{of}_id").alias("id")).agg(F.max("area").alias("most"))
+    sides[of] = sides[of].join(most, "id")
+    top = F.col("area") == F.col(f"{of}_most")
+    g = box_pairs(sides["l"], sides["r"], cell).groupBy(f"{of}_id").agg(
+        F.max("area").alias("area"), F.min(F.when(top, F.col(f"{other}_id"))).alias(f"{other}_id"), F.count_if(top).alias("as_good"), F.max(F.when(~top, F.col("area"))).alias("less")
+    )
+    return g.select("l_id", "r_id", "area", F.when(F.col("as_good") > 1, F.col("area")).otherwise(F.col("less")).alias("next"))
+
+
+def clear(best: DataFrame, least: float, margin: float) -> DataFrame:
+    """Of best_overlaps those of at least `least` that beat the second by `margin`."""
+    return best.filter((F.col("area") >= least) & (F.col("area") - F.coalesce("next", F.lit(0)) >= margin)).drop("next")
+
+
+def mutual_overlaps(left: DataFrame, right: DataFrame, cell: float, margin: float) -> DataFrame:
+    """Boxes that are each other's best overlap by a margin."""
+    of = lambda side: clear(best_overlaps(left, right, cell, side), 0, margin)
+    return of("l").join(of("r").select("l_id", "r_id"), ["l_id", "r_id"], "left_semi")
 
 
 def best_with_margin(pairs: DataFrame, by: str, score: str, least: float, margin: float) -> DataFrame:

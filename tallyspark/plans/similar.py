@@ -16,22 +16,22 @@ BOXES = f"WITH l AS (SELECT {_sel(BOX_L)} FROM part), r AS (SELECT {_sel(BOX_R)}
 
 
 def boxes(spark, d):
-    return similar.box_overlap_join(table(spark, d, "part").selectExpr(*_exprs(BOX_L)), table(spark, d, "supplier").selectExpr(*_exprs(BOX_R)), 32)
+    return table(spark, d, "part").selectExpr(*_exprs(BOX_L)), table(spark, d, "supplier").selectExpr(*_exprs(BOX_R))
 
 
 @query("j22_box_overlap", BOXES + " SELECT l_id, r_id, area FROM j")
 def j22(spark, d):
-    return boxes(spark, d)
+    return similar.box_overlap_join(*boxes(spark, d), 32)
 
 
 @query("w02_best_with_margin", BOXES + ", k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY area DESC, r_id) AS n, lead(area) OVER (PARTITION BY l_id ORDER BY area DESC, r_id) AS nx FROM j) SELECT l_id, r_id, area FROM k WHERE n = 1 AND area >= 50 AND area - coalesce(nx, 0) >= 20")
 def w02(spark, d):
-    return similar.best_with_margin(boxes(spark, d), "l_id", "area", 50, 20)
+    return similar.clear(similar.best_overlaps(*boxes(spark, d), 32), 50, 20)
 
 
 @query("j24_mutual_best", BOXES + ", a AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY area DESC, r_id) AS n, lead(area) OVER (PARTITION BY l_id ORDER BY area DESC, r_id) AS nx FROM j), b AS (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY area DESC, l_id) AS n, lead(area) OVER (PARTITION BY r_id ORDER BY area DESC, l_id) AS nx FROM j) SELECT a.l_id, a.r_id, a.area FROM a JOIN b ON a.l_id = b.l_id AND a.r_id = b.r_id WHERE a.n = 1 AND b.n = 1 AND a.area - coalesce(a.nx, 0) >= 5 AND b.area - coalesce(b.nx, 0) >= 5")
 def j24(spark, d):
-    return similar.mutual_best(boxes(spark, d), "l_id", "r_id", "area", 5)
+    return similar.mutual_overlaps(*boxes(spark, d), 32, 5)
 
 
 @query("j25_unique_anchors", "WITH a AS (SELECT CAST(c_acctbal AS INT) AS v, min(c_custkey) AS c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1), b AS (SELECT CAST(s_acctbal AS INT) AS v, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT v, c_custkey, s_suppkey FROM a JOIN b USING (v)")
