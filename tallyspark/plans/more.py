@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells
-from tallyspark.operators import layout, matching, queue, recipe, tables
+from tallyspark.operators import layout, matching, queue, recipe, similar, tables
 from tallyspark.operators.reconcile import Spec, reconcile
 from tallyspark.plans.cleaning import CLASSIFIED, SPEC, sides
 from tallyspark.plans.registry import query, table
@@ -26,12 +26,9 @@ def j23(spark, d):
 
 @query("f18_box_iou", PAIRS + " SELECT l_id, r_id, round(CAST(area AS DOUBLE) / (ls + rs - area), 6) AS iou FROM j")
 def f18(spark, d):
-    from tallyspark.operators.similar import box_overlap_join
-
-    left, right = table(spark, d, "part").selectExpr(*_exprs(BOX_L)), table(spark, d, "supplier").selectExpr(*_exprs(BOX_R))
-    p = box_overlap_join(left, right, 32).join(left.select(F.col("id").alias("l_id"), F.struct("x0", "y0", "x1", "y1").alias("a")), "l_id").join(right.select(F.col("id").alias("r_id"), F.struct("x0", "y0", "x1", "y1").alias("b")), "r_id")
-    box = lambda c: tuple(F.col(f"{c}.{k}") for k in ("x0", "y0", "x1", "y1"))
-    return p.select("l_id", "r_id", F.round(layout.box_iou(box("a"), box("b")), 6).alias("iou"))
+    p = similar.box_pairs(table(spark, d, "part").selectExpr(*_exprs(BOX_L)), table(spark, d, "supplier").selectExpr(*_exprs(BOX_R)), 32)
+    box = lambda c: tuple(F.col(f"{c}_{k}") for k in ("x0", "y0", "x1", "y1"))
+    return p.select("l_id", "r_id", F.round(layout.box_iou(box("l"), box("r")), 6).alias("iou"))
 
 
 @query("f18_polygon_area", "SELECT p_partkey, CAST(p_size * 3 AS DOUBLE) / 2 AS area FROM part")
@@ -69,7 +66,9 @@ BLOCK_R = BOX_R | {"text": "'t' || CAST(s_suppkey % 3 AS STRING)"}
 @query("j34_page_merge", PAIRS + ", p AS (SELECT * FROM j WHERE area > least(ls, rs) * 0.5), c AS (SELECT l_id, r_id FROM p WHERE l_id % 3 <> r_id % 3) SELECT 'conflict' AS status, count(*) AS n FROM c UNION ALL SELECT 'native', count(*) FROM l WHERE id NOT IN (SELECT l_id FROM c) UNION ALL SELECT 'recognised', count(*) FROM r WHERE id NOT IN (SELECT r_id FROM p)")
 def j34(spark, d):
     out = layout.merge_blocks(table(spark, d, "part").selectExpr(*_exprs(BLOCK_L)), table(spark, d, "supplier").selectExpr(*_exprs(BLOCK_R)), 32)
-    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    # a status that no block has counts 0
+    n = out.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("conflict", "native", "recognised")))
+    return n.select(F.explode(F.array(*(F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in n.columns))).alias("x")).select("x.status", "x.n")
 
 
 @query("s01_csv_literal", "SELECT n_nationkey + 2 AS source_row, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'null' ELSE 'text' END AS region_kind FROM nation")
