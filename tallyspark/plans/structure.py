@@ -135,7 +135,7 @@ def f15_cost(spark, d):
     # the twin counts bytes, so letters outside ASCII are one sign here
     c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "#").alias("text"))
     pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other")), ["conv_id", "turn"])
-    return alignment.aligned(pairs, ["conv_id", "turn"], "text", "other").select("conv_id", "turn", alignment.cost(F.col("steps")).alias("cost"))
+    return alignment.costs(pairs, ["conv_id", "turn"], "text", "other")
 
 
 @query("f15_corrected_errors", "SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) AS corrected, CAST(length(text) - length(replace(text, ',', '')) AS INTEGER) AS introduced, CAST(length(replace(text, ',', '')) - length(replace(text, 'e', '')) AS INTEGER) AS net FROM documents")
