@@ -60,12 +60,14 @@ def _added(left: DataFrame, right: DataFrame, rows: DataFrame, cols: DataFrame,
     return fresh.withColumn("bad", crossing(fresh, by, line)).filter("not bad").drop("bad")
 
 
-def correspond(left: DataFrame, right: DataFrame, by: list[str], support: int = 1, rounds: int = 20) -> DataFrame:
+def correspond(left: DataFrame, right: DataFrame, by: list[str], support: int = 1, rounds: int = 20, settle: bool = False) -> DataFrame:
     """A row for each cell of left (by, row, col, text): row_b, col_b and the outcome.
 
     anchor, supported: its counterpart has the same text; changed: it has another text; removed: the lines' counterparts
     hold no cell there; conflict: an anchor that crosses others; ambiguous: the text stands in the other version, but nothing proves where;
     unmatched: it doesn't; too_large: not tried. row_b and col_b are null for the last four.
+    With settle, an anchor that crosses others is no conflict where other cells prove its row and its column: one false anchor
+    crosses all true ones between its two places, and these still stand where the lines say.
     """
     cell = lambda df: df.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("text", F.lit("")).alias("text"))
     left, right = cell(left), cell(right)
@@ -92,7 +94,7 @@ def correspond(left: DataFrame, right: DataFrame, by: list[str], support: int =
     lines = F.col("row_b").isNotNull() & F.col("col_b").isNotNull()
     outcome = (
         F.when(F.col("large"), "too_large")
-        .when(F.col("bad"), "conflict")
+        .when(F.col("bad") & ~lines if settle else F.col("bad"), "conflict")
         .when(lines & F.col("text_b").isNull(), "removed")
         .when(lines & (F.col("text") != F.col("text_b")), "changed")
         .when(lines & (F.col("bad") == F.lit(False)), "anchor")
