@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -94,16 +95,22 @@ def unique_anchors(left: DataFrame, right: DataFrame, value: str, a: str, b: str
 
 
 def hamming_pairs(codes: DataFrame, bits: int, bands: int, most: int) -> DataFrame:
-    """a < b, distance: codes (id, code) that differ in at most `most` bits. With more bands than that, a pair agrees in
-    one of them, so the join by (band, bits of the band) loses none. Equal codes count as one first: their ids are
+    """a < b, distance: codes (id, code) that differ in at most `most` bits. Then at most as many bands differ, and a pair
+    agrees in all others at once; so the join by each choice of bands - most bands and their bits loses none. Equal codes count as one first: their ids are
     listed under the least of them, and pairs are between distinct codes and to that least id."""
     if most >= bands:
         raise ValueError("as many bands as bits may differ can miss pairs")
     width = bits // bands
+    # the last band has the bits that are left over
+    mask = lambda i: ((1 << (width if i + 1 < bands else bits - i * width)) - 1) << (i * width)
+    chosen = [sum(mask(i) for i in some) for some in combinations(range(bands), bands - most)]
+    chosen = [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
     reps = codes.groupBy("code").agg(F.min("id").alias("id"))
     same = codes.join(reps.withColumnRenamed("id", "a"), "code").filter("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    part = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.shiftright("code", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i in range(bands))))
-    e = reps.select("id", "code", part.alias("x")).select("id", "code", "x.band", "x.key")
+    part = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(chosen))))
+    # few bytes but many pairs: a fixed number of tasks
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = reps.select("id", "code", part.alias("x")).select("id", "code", "x.band", "x.key").repartition(tasks, "band", "key")
     other = e.select(F.col("id").alias("b"), F.col("code").alias("code_b"), "band", "key")
     near = e.withColumnRenamed("id", "a").join(other, ["band", "key"]).filter("a < b")
     near = near.withColumn("distance", F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))).cast("int")).filter(F.col("distance") <= most)
