@@ -17,6 +17,8 @@ LIMBS = 24
 DIGITS = LIMB * LIMBS // 2
 WIDE = "decimal(38,0)"
 NUMBER = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+#: what plain() leaves as it is
+PLAIN = rf"^-?(0|[1-9]\d{{0,{DIGITS - 1}}})(\.\d{{1,{DIGITS}}})?$"
 VALID = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,4})?$"
 
 
@@ -28,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def plain(text: Column) -> Column:
     """The literal without plus sign, padding zeros, a bare point or an exponent; its digits after the point stay.
     Null for what isn't a finite decimal, or has more than DIGITS digits on a side of the point."""
-    return let(text, lambda t: F.when(t.rlike(VALID), F.when(t.rlike("[eE]"), _moved(t)).otherwise(_bounded(t))))
+    return F.when(text.rlike(PLAIN), text).otherwise(let(text, lambda t: F.when(t.rlike(VALID), F.when(t.rlike("[eE]"), _moved(t)).otherwise(_bounded(t)))))
 
 
 def short(text: Column) -> Column:
@@ -102,6 +104,19 @@ def limbs(text: Column) -> Column:
     return F.when(text.isNotNull(), let(parts(text), cut))
 
 
+def limb_columns(text: Column, length: int) -> dict[int, Column]:
+    """The limbs, by their places in limbs(), that a plain() text of at most so many characters can fill; as columns of
+    their own they are cut and summed without arrays. All other limbs are zero."""
+    n = min(-(-length // LIMB), LIMBS // 2)
+    bare = F.regexp_replace(text, "^-", "")
+    whole = F.lpad(F.substring_index(bare, ".", 1), n * LIMB, "0")
+    after = F.rpad(F.when(F.instr(bare, ".") > 0, F.substring_index(bare, ".", -1)).otherwise(""), n * LIMB, "0")
+    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    cut = lambda side, i: (F.substring(side, i * LIMB + 1, LIMB).cast(f"decimal({LIMB},0)") * sign).cast(f"decimal({LIMB},0)")
+    half = LIMBS // 2
+    return {half - n + i: cut(whole, i) for i in range(n)} | {half + i: cut(after, i) for i in range(n)}
+
+
 def limbs_of(value: str) -> list[Decimal]:
     n = Decimal(value)
     whole, after = (f"{n.copy_abs():f}".split(".") + [""])[:2]
@@ -127,8 +142,14 @@ def within(left: Column, right: Column, tolerance: str) -> Column:
         up = order_key(p["l"]) >= order_key(p["r"])
         return let(up, lambda u: F.zip_with(limbs(F.when(u, p["l"]).otherwise(p["r"])), limbs(F.when(u, p["r"]).otherwise(p["l"])), lambda a, b: (a - b).cast(WIDE)))
 
+    # what decimals hold needs no limbs; a difference of two such has 31 digits before the point
+    bound_, near = Decimal(tolerance), None
+    if bound_.is_finite() and abs(bound_) < 10**30 and bound_.as_tuple().exponent >= -7:
+        number = lambda t: F.when(fits(t, 30, 7), t.try_cast("decimal(37,7)"))
+        near = F.abs(number(left) - number(right)) <= F.lit(bound_).cast("decimal(38,7)")
     both = let(F.struct(left.alias("l"), right.alias("r")), lambda p: F.when(p["l"].isNotNull() & p["r"].isNotNull(), ordered(p)))
-    return sign_of(F.zip_with(both, bound, lambda a, b: (a - b).cast(WIDE))) <= 0
+    exact = sign_of(F.zip_with(both, bound, lambda a, b: (a - b).cast(WIDE))) <= 0
+    return exact if near is None else F.coalesce(near, exact)
 
 
 def carried(v: Column) -> Column:

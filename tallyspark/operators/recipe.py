@@ -172,14 +172,14 @@ def key_of(columns: list[str]) -> list[Column]:
     return [x for c in columns for x in (F.col(c)["kind"].alias(f"{c}_kind"), F.col(c)["value"].alias(f"{c}_value"))]
 
 
-def long_amounts(df: DataFrame, amounts: list[str]) -> set[str]:
-    """The amount columns that may hold amounts beyond EXACT: one small aggregate over lengths. A literal without an exponent
+def long_amounts(df: DataFrame, amounts: list[str]) -> dict[str, int]:
+    """The most characters of the amount columns that may hold amounts beyond EXACT: one small aggregate over lengths. A literal without an exponent
     of at most PLACES characters fits whatever it says."""
     if not amounts:
-        return set()
+        return {}
     value = lambda a: F.col(a)["value"]
     most = df.agg(*(F.max(F.when(value(a).rlike("[eE]"), 1 << 20).otherwise(F.length(value(a)))).alias(a) for a in amounts)).first()
-    return {a for a in amounts if (most[a] or 0) > PLACES}
+    return {a: most[a] for a in amounts if (most[a] or 0) > PLACES}
 
 
 def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage: bool = False) -> DataFrame:
@@ -187,7 +187,8 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
 
     One amount that isn't a number makes its group's sum an error cell, never a partial sum. Sums and counts combine on
     the map side; the lineage array, which holds a whole group, is only built when asked for. Only columns that long_amounts
-    names (it runs a job when the plan is made) are summed limb by limb too, where EXACT can't hold an amount.
+    names (it runs a job when the plan is made) are summed limb by limb too, where EXACT can't hold an amount; only limbs that
+    the longest literal can fill, each an aggregate of the same pass.
     """
     keys = key_of(columns)
     work, long = df, long_amounts(df, amounts)
@@ -201,6 +202,9 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
         dot = F.instr(F.col(f"{a}_text"), F.lit("."))
         places = F.when(dot > 0, F.length(f"{a}_text") - dot).otherwise(0)
         aggs += [F.coalesce(F.sum(f"{a}_num"), F.lit(0).cast("decimal(37,12)")).alias(f"{a}_sum"), F.count_if(F.col(f"{a}_text").isNull()).alias(f"{a}_bad"), F.max(places).alias(f"{a}_scale")]
+        if a in long:
+            beyond = F.when(F.col(f"{a}_num").isNull(), F.col(f"{a}_text"))
+            aggs += [F.sum(limb).alias(f"{a}_limb{at}") for at, limb in exact.limb_columns(beyond, long[a]).items()]
     if lineage:
         aggs.append(F.sort_array(F.collect_list(F.struct("source_row", "row_id"))).alias("source_rows"))
     out = work.groupBy(*keys).agg(*aggs)
@@ -211,7 +215,9 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
         total, frac = F.substring_index(digits, ".", 1), F.substr(F.substring_index(digits, ".", -1), F.lit(1), F.col(f"{a}_scale"))
         text = F.when(F.col(f"{a}_scale") > 0, F.concat(total, F.lit("."), frac)).otherwise(total)
         if a in long:
-            out = out.join(long_sums(work, keys, key_json, a), "row_id", "left")
+            held = {at: f"{a}_limb{at}" for at in range(exact.LIMBS) if f"{a}_limb{at}" in out.columns}
+            vector = F.array(*(F.col(held[at]).cast(exact.WIDE) if at in held else F.lit(0).cast(exact.WIDE) for at in range(exact.LIMBS)))
+            out = out.withColumn(f"{a}_long", F.when(F.col(next(iter(held.values()))).isNotNull(), vector)).drop(*held.values())
             parts = F.zip_with(exact.limbs(F.col(f"{a}_sum").cast("string")), f"{a}_long", lambda x, y: (x + y).cast(exact.WIDE))
             text = F.when(F.col(f"{a}_long").isNull(), text).otherwise(exact.text_of(parts, F.col(f"{a}_scale")))
         out = out.withColumn(f"{a}_total", F.when(F.col(f"{a}_bad") == 0, text))
@@ -219,16 +225,6 @@ def group_summary(df: DataFrame, columns: list[str], amounts: list[str], lineage
     return out
 
 
-def long_sums(work: DataFrame, keys: list[Column], key_json: Column, a: str) -> DataFrame:
-    """row_id and the summed limbs of the amounts that EXACT can't hold, for the keys that have any. Limbs are summed a
-    row each, on the map side first; a key then has exact.LIMBS of them."""
-    each = work.filter(F.col(f"{a}_num").isNull() & F.col(f"{a}_text").isNotNull()).select(*keys, F.posexplode(exact.limbs(F.col(f"{a}_text"))).alias("at", "limb"))
-    each = each.select(F.concat(F.lit("r"), F.substring(F.sha2(key_json, 256), 1, 32)).alias("row_id"), "at", "limb")
-    sums = each.groupBy("row_id", "at").agg(F.sum("limb").alias("limb"))
-    in_turn = F.transform(F.sort_array(F.collect_list(F.struct("at", "limb"))), lambda x: x["limb"])
-    return sums.groupBy("row_id").agg(in_turn.alias(f"{a}_long"))
-
-
 def mark_duplicates(df: DataFrame, columns: list[str], include_null: bool = False) -> DataFrame:
     """Adds group_size where a key (kind and value) occurs more than once; no row is removed.
 
