@@ -7,57 +7,188 @@ most of its cells have the same text in mapped columns, between the counterparts
 as many votes on either side; columns likewise by mapped rows; until no line is added. Where two lines are as likely, neither
 is taken and their cells are reported as ambiguous.
 
-Each step is a join or a window inside one table (`by`). Rows of one text in one column of a table meet pairwise, so
-work per table is bounded by the square of its rows: tables of more than MAX_CELLS cells aren't matched but reported
-as too_large.
+Spark brings the cells of both versions of a table together in one row; tasks then match all tables of an Arrow batch at
+once, round by round, so nothing is written or shuffled between rounds. Lines with equal texts meet pairwise, PAIRS at a
+time, so work per table is bounded by the square of its cells and memory isn't: tables of more than MAX_CELLS cells (the mean
+of both versions) aren't matched but reported as too_large, and are never brought into one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from tallyspark.operators.matching import anchors, line_map
-from tallyspark.session import written
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_CELLS = 20_000
-
-
-def crossing(pairs: DataFrame, by: list[str], line: str) -> Column:
-    """Whether a pair (line, line_b) contradicts the order of any other: exact, by running extremes instead of pairs."""
-    b = f"{line}_b"
-    w = Window.partitionBy(*by).orderBy(line)
-    above = F.max(b).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    below = F.min(b).over(w.rangeBetween(1, Window.unboundedFollowing))
-    level = Window.partitionBy(*by, line)
-    uneven = (F.min(b).over(level) != F.col(b)) | (F.max(b).over(level) != F.col(b))
-    return F.coalesce(above >= F.col(b), F.lit(False)) | F.coalesce(below <= F.col(b), F.lit(False)) | uneven
-
-
-def _mapped(pairs: DataFrame, by: list[str], line: str) -> DataFrame:
-    return pairs.groupBy(*by, line).agg(F.min(f"{line}_b").alias(f"{line}_b"))
-
-
-def _between(left: DataFrame, known: DataFrame, by: list[str], line: str) -> DataFrame:
-    """Each unmapped line with the counterparts of the nearest mapped lines on both sides (low, high)."""
-    lines = left.select(*by, line).distinct().join(known, [*by, line], "left")
-    w = Window.partitionBy(*by).orderBy(line)
-    b = f"{line}_b"
-    low = F.last(b, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first(b, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return lines.withColumns({"low": F.coalesce(low, F.lit(-1)), "high": F.coalesce(high, F.lit(2**31 - 1))}).filter(F.col(b).isNull()).drop(b)
-
-
-def _added(left: DataFrame, right: DataFrame, rows: DataFrame, cols: DataFrame, by: list[str], line: str, support: int) -> DataFrame:
-    """New pairs of lines by the votes of cells in mapped lines of the other axis."""
-    other, known, across = ("col", rows, cols) if line == "row" else ("row", cols, rows)
-    open_left = _between(left, known, by, line)
-    mine = left.filter("text <> ''").join(open_left, [*by, line]).join(across, [*by, other]).select(*by, line, "low", "high", f"{other}_b", "text")
-    theirs = right.filter("text <> ''").select(*by, F.col(line).alias(f"{line}_b"), F.col(other).alias(f"{other}_b"), "text")
-    theirs = theirs.join(known.select(*by, f"{line}_b"), [*by, f"{line}_b"], "left_anti")
-    votes = mine.join(theirs, [*by, f"{other}_b", "text"]).filter((F.col(f"{line}_b") > F.col("low")) & (F.col(f"{line}_b") < F.col("high")))
-    fresh = line_map(votes, by, line, support)
-    return fresh.withColumn("bad", crossing(fresh, by, line)).filter("not bad").drop("bad")
+#: pairs of cells that a task holds at once, about
+PAIRS = 2_000_000
+NONE, LAST = -1, 1 << 62
+FOUND = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("row", "col", "row_b", "col_b")), T.StructField("outcome", T.StringType())]))
+
+
+def _meet(a: np.ndarray, b: np.ndarray, outer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with a[i] == b[j]; with outer, also (i, NONE) for what meets nothing."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    n = np.maximum(hi - lo, 1) if outer else hi - lo
+    i = np.repeat(np.arange(len(a)), n)
+    at = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+    j = np.full(len(i), NONE)
+    hit = at < hi[i]
+    j[hit] = order[at[hit]]
+    return i, j
+
+
+def _once(key: np.ndarray) -> np.ndarray:
+    """Where values stand that occur once."""
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return at[n == 1]
+
+
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: where each begins, and the number of the value at each place."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def crossing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a pair of lines contradicts the order of any other: exact, by running extremes instead of pairs. Lines are
+    numbered table by table on both sides, so pairs of different tables never do."""
+    bad = np.zeros(len(x), bool)
+    if len(x):
+        order = np.argsort(x, kind="stable")
+        b = y[order]
+        start, at = _starts(x[order])
+        low, high = np.minimum.reduceat(b, start), np.maximum.reduceat(b, start)
+        above = np.concatenate([[NONE], np.maximum.accumulate(high)[:-1]])
+        below = np.concatenate([np.minimum.accumulate(low[::-1])[::-1][1:], [LAST]])
+        bad[order] = (above[at] >= b) | (below[at] <= b) | (low != high)[at]
+    return bad
+
+
+class _Axis:
+    """Rows or columns of the tables of a batch, numbered in order on each side, and the counterparts known so far."""
+
+    def __init__(self, table_a: np.ndarray, line_a: np.ndarray, table_b: np.ndarray, line_b: np.ndarray):
+        keys, (self.a, self.b) = zip(*(np.unique((t << 32) + line + (1 << 31), return_inverse=True) for t, line in ((table_a, line_a), (table_b, line_b))), strict=True)
+        self.no_b = (keys[1] & 0xFFFFFFFF) - (1 << 31)
+        self.to, self.taken = np.full(len(keys[0]), NONE), np.zeros(len(keys[1]), bool)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.to[x], self.taken[y] = y, True
+
+    def between(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counterparts of the nearest lines that have one, before and after each line."""
+        n = len(self.to)
+        before = np.maximum.accumulate(np.where(self.to >= 0, np.arange(n), NONE))
+        after = np.minimum.accumulate(np.where(self.to >= 0, np.arange(n), n)[::-1])[::-1]
+        padded = np.concatenate([self.to, [LAST, NONE]])
+        return padded[before], padded[after]
+
+    def added(self, across: _Axis, text_a: np.ndarray, text_b: np.ndarray, support: int) -> int:
+        """Adds pairs of lines by the votes of cells in mapped lines of the other axis. Texts below 0 have no vote."""
+        mine = np.flatnonzero((text_a >= 0) & (self.to[self.a] < 0) & (across.to[across.a] >= 0))
+        theirs = np.flatnonzero((text_b >= 0) & ~self.taken[self.b])
+        if not len(mine) or not len(theirs):
+            return 0
+        mine = mine[np.argsort(self.a[mine], kind="stable")]
+        k = 1 + max(text_a.max(), text_b.max())
+        key_a, key_b = across.to[across.a[mine]] * k + text_a[mine], across.b[theirs] * k + text_b[theirs]
+        ordered = np.sort(key_b)
+        total = np.cumsum(np.searchsorted(ordered, key_a, "right") - np.searchsorted(ordered, key_a))
+        # whole lines together, about PAIRS pairs at once
+        start, _ = _starts(self.a[mine])
+        ends = np.append(start[1:], len(mine))
+        part = total[ends - 1] // PAIRS
+        cuts = np.append(ends[np.flatnonzero(part[1:] != part[:-1])], len(mine))
+        low, high = self.between()
+        m = len(self.taken)
+        most, ties = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        best = []
+        for s, e in zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist(), strict=True):
+            i, j = _meet(key_a[s:e], key_b)
+            x, y = self.a[mine[s:e][i]], self.b[theirs[j]]
+            keep = (low[x] < y) & (y < high[x])
+            pair, n = np.unique(x[keep] * m + y[keep], return_counts=True)
+            if not len(pair):
+                continue
+            x, y = pair // m, pair % m
+            first, at = _starts(x)
+            top = n == np.maximum.reduceat(n, first)[at]
+            alone = top & (np.add.reduceat(top.astype(np.int64), first)[at] == 1)
+            best.append((x[alone], y[alone], n[alone]))
+            now = np.zeros(m, np.int64)
+            np.maximum.at(now, y, n)
+            equal = np.bincount(y[n == now[y]], minlength=m)
+            ties = np.where(now > most, equal, ties + np.where((now == most) & (now > 0), equal, 0))
+            most = np.maximum(most, now)
+        if not best:
+            return 0
+        x, y, n = (np.concatenate(v) for v in zip(*best, strict=True))
+        keep = (n >= support) & (most[y] == n) & (ties[y] == 1)
+        x, y = x[keep], y[keep]
+        good = ~crossing(x, y)
+        self.add(x[good], y[good])
+        return int(good.sum())
+
+
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(table, row, col, text) of the cells in a column of lists."""
+    table = np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+    row, col, text = column.flatten().flatten()
+    return table, np.asarray(row).astype(np.int64), np.asarray(col).astype(np.int64), text
+
+
+def matched(a: pa.Array, b: pa.Array, large: np.ndarray, support: int, rounds: int, settle: bool) -> pa.Array:
+    """A list a table of (row, col, row_b, col_b, outcome), from lists of (row, col, text) on both sides."""
+    (table_a, row_a, col_a, text_a), (table_b, row_b, col_b, text_b) = _cells(a), _cells(b)
+    texts = pa.concat_arrays([text_a, text_b])
+    code = np.asarray(texts.dictionary_encode().indices).astype(np.int64)
+    vote = np.where(np.asarray(pc.binary_length(texts)) > 0, code, NONE)
+    code_a, code_b, vote_a, vote_b = code[: len(row_a)], code[len(row_a) :], vote[: len(row_a)].copy(), vote[len(row_a) :]
+    vote_a[large[table_a]] = NONE
+    rows, cols = _Axis(table_a, row_a, table_b, row_b), _Axis(table_a, col_a, table_b, col_b)
+    k = 1 + code.max(initial=0)
+    filled_a, filled_b = np.flatnonzero(vote_a >= 0), np.flatnonzero(vote_b >= 0)
+    key_a, key_b = table_a[filled_a] * k + vote_a[filled_a], table_b[filled_b] * k + vote_b[filled_b]
+    one_a, one_b = _once(key_a), _once(key_b)
+    i, j = _meet(key_a[one_a], key_b[one_b])
+    i, j = filled_a[one_a[i]], filled_b[one_b[j]]
+    bad = crossing(rows.a[i], rows.b[j]) | crossing(cols.a[i], cols.b[j])
+    for axis in (rows, cols):
+        axis.add(axis.a[i[~bad]], axis.b[j[~bad]])
+    for _ in range(rounds):
+        n = rows.added(cols, vote_a, vote_b, support)
+        if not n + cols.added(rows, vote_a, vote_b, support):
+            break
+    # the cell at the counterparts, and what the place is as an anchor: 0 none, 1 good, 2 crossing
+    width, width_b = 1 + len(cols.to), 1 + len(cols.taken)
+    y, x = rows.to[rows.a], cols.to[cols.a]
+    placed = (y >= 0) & (x >= 0)
+    at, other = _meet(np.where(placed, y * width_b + x, NONE), rows.b * width_b + cols.b, outer=True)
+    place = rows.a * width + cols.a
+    again, anchor = _meet(place[at], place[i], outer=True)
+    at, other = at[again], other[again]
+    state = np.append(np.where(bad, 2, 1), 0)[anchor]
+    there = np.unique(key_b)
+    stands = np.isin(table_a * k + vote_a, there) & (vote_a >= 0)
+    lines = placed[at]
+    same = (other >= 0) & (code_a[at] == np.append(code_b, NONE)[other])
+    outcome = np.select(
+        [large[table_a[at]], (state == 2) & ~lines if settle else state == 2, lines & (other < 0), lines & ~same, lines & (state == 1), lines, stands[at]],
+        ["too_large", "conflict", "removed", "changed", "anchor", "supported", "ambiguous"],
+        "unmatched",
+    )
+    gone = ~np.isin(outcome, ["anchor", "supported", "changed", "removed"])
+    number = lambda v, line: pa.array(np.append(v, 0)[line], pa.int32(), mask=gone)
+    found = pa.StructArray.from_arrays([pa.array(row_a[at], pa.int32()), pa.array(col_a[at], pa.int32()), number(rows.no_b, y[at]), number(cols.no_b, x[at]), pa.array(outcome, pa.string())], names=FOUND.elementType.names)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(table_a[at], np.arange(len(a) + 1)), pa.int32()), found)
 
 
 def correspond(left: DataFrame, right: DataFrame, by: list[str], support: int = 1, rounds: int = 20, settle: bool = False) -> DataFrame:
@@ -69,39 +200,22 @@ def correspond(left: DataFrame, right: DataFrame, by: list[str], support: int =
     With settle, an anchor that crosses others is no conflict where other cells prove its row and its column: one false anchor
     crosses all true ones between its two places, and these still stand where the lines say.
     """
-    cell = lambda df: df.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("text", F.lit("")).alias("text"))
-    left, right = cell(left), cell(right)
-    large = left.unionAll(right).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * MAX_CELLS).select(*by)
-    small, small_right = left.join(large, by, "left_anti"), right.join(large, by, "left_anti")
-    found = anchors(small, small_right, by)
-    found = written(found.withColumn("bad", crossing(found, by, "row") | crossing(found, by, "col")), "anchors")
-    good = found.filter("not bad")
-    rows, cols = written(_mapped(good, by, "row"), "rows"), written(_mapped(good, by, "col"), "cols")
-    for _ in range(rounds):
-        more_rows = written(_added(small, small_right, rows, cols, by, "row", support), "rows")
-        if n := more_rows.count():
-            rows = rows.unionByName(more_rows)
-        more_cols = written(_added(small, small_right, rows, cols, by, "col", support), "cols")
-        if m := more_cols.count():
-            cols = cols.unionByName(more_cols)
-        if not n and not m:
-            break
-    other = right.select(*by, F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("text").alias("text_b"))
-    stands = small_right.select(*by, "text").distinct().withColumn("stands", F.lit(True))
-    j = left.join(rows, [*by, "row"], "left").join(cols, [*by, "col"], "left").join(other, [*by, "row_b", "col_b"], "left")
-    j = j.join(found.select(*by, "row", "col", "bad"), [*by, "row", "col"], "left").join(stands, [*by, "text"], "left")
-    j = j.join(large.withColumn("large", F.lit(True)), by, "left")
-    lines = F.col("row_b").isNotNull() & F.col("col_b").isNotNull()
-    outcome = (
-        F.when(F.col("large"), "too_large")
-        .when(F.col("bad") & ~lines if settle else F.col("bad"), "conflict")
-        .when(lines & F.col("text_b").isNull(), "removed")
-        .when(lines & (F.col("text") != F.col("text_b")), "changed")
-        .when(lines & (F.col("bad") == F.lit(False)), "anchor")
-        .when(lines, "supported")
-        .when(F.col("stands") & (F.col("text") != ""), "ambiguous")
-        .otherwise("unmatched")
-    )
-    j = j.withColumn("outcome", outcome)
-    placed = F.col("outcome").isin("anchor", "supported", "changed", "removed")
-    return j.select(*by, "row", "col", F.when(placed, F.col("row_b")).alias("row_b"), F.when(placed, F.col("col_b")).alias("col_b"), "outcome")
+    most = 2 * MAX_CELLS
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    cell = lambda df: df.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", n)
+    own = F.struct("row", "col", "text")
+    # what is too large in any case is dealt out in pieces, which only take their outcome
+    piece = F.when(F.col("n") > most, F.pmod(F.xxhash64("row", "col"), F.expr(f"n div {most} + 1"))).otherwise(0)
+    a = cell(left).groupBy(*by, piece.alias("piece")).agg(F.collect_list(own).alias("a"), F.max("n").alias("n_a"))
+    b = cell(right).groupBy(*by).agg(F.collect_list(F.when(F.col("n") <= most, own)).alias("b"), F.max("n").alias("n_b"))
+    none = F.array().cast("array<struct<row:int,col:int,text:string>>")
+    both = a.join(b.hint("merge"), by, "left").select(*by, "a", F.coalesce("b", none).alias("b"), (F.col("n_a") + F.coalesce("n_b", F.lit(0)) > most).alias("large"))
+
+    def tables(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            *keys, a, b, large = batch.columns
+            found = matched(a, b, np.asarray(large.cast(pa.int8())).astype(bool), support, rounds, settle)
+            yield pa.RecordBatch.from_arrays([*keys, found], names=[*by, "found"])
+
+    schema = T.StructType([*(both.schema[c] for c in by), T.StructField("found", FOUND)])
+    return both.mapInArrow(tables, schema).select(*by, F.explode("found").alias("c")).select(*by, "c.*")

@@ -91,7 +91,7 @@ def fuse(sources: dict[str, DataFrame], baseline: str, by: list[str], policy: Po
     for name, cells in sources.items():
         if name == baseline:
             continue
-        found = correspond(sources[baseline], cells, by, settle=True)
+        found = written(correspond(sources[baseline], cells, by, settle=True), "found")
         placed = found.filter(F.col("outcome").isin(*PLACED))
         other = cells.select(*by, F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.coalesce("text", F.lit("")).alias("value"))
         ballots.append(placed.join(other, [*by, "row_b", "col_b"]).select(*by, "row", "col", F.lit(name).alias("source"), "value"))
