@@ -9,7 +9,8 @@ A patch is a variant as a row: by, kind, r0, c0, r1, c1, before, after, conserve
 undoing it is the patch with before and after exchanged. Conserved: the texts of both sides in reading order are equal
 but for blanks; what an insertion adds must be blank.
 
-All of it is joins on slots (the unit squares of a grid) and aggregations by region; no task holds more than one region.
+Both grids of a table meet in one row; then all is aggregates by slot (the unit squares of a grid) and by region in the
+partition where the table is. Patches are judged and applied by joins on places.
 Defined cases: a null text counts as ''; a cell that stands twice overlaps itself, so no region that it touches is a variant.
 """
 
@@ -42,14 +43,21 @@ def _slots(df: DataFrame, r0: str, c0: str, r1: str, c1: str) -> DataFrame:
     return df.withColumn("x", F.explode(F.expr(f"sequence({c0}, {c1} - 1)")))
 
 
-def _tiles(areas: DataFrame, cells: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by, region, the cells that tile the region exactly (regions that none do are left out)."""
-    own = _slots(cells, "row", "col", "(row + row_span)", "(col + col_span)")
-    met = _slots(areas, *REGION).join(own, [*by, "y", "x"])
-    met = met.filter("row >= r0 and col >= c0 and row + row_span <= r1 and col + col_span <= c1")
-    g = met.groupBy(*by, *REGION).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y", "x").alias("covered"), F.sort_array(F.collect_set(F.struct(*CELL))).alias(name))
-    area = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
-    return g.filter((F.col("n") == area) & (F.col("covered") == area)).drop("n", "covered")
+def _sides(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFrame:
+    """Both grids of a table in one row: a and b, lists of its cells, and its size in both. From here on all is grouped by
+    the table and more, so nothing is shuffled again (sizes are compared by their difference, as Spark would deal both
+    sides out by sizes that are said to be equal)."""
+
+    def whole(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.collect_list(F.struct(*CELL)).alias(name), *(F.max(F.col(x) + F.col(f"{x}_span")).alias(f"{name}_{x}s") for x in ("row", "col")), *(F.max(f"{x}_span").alias(f"{name}_{x}_span") for x in ("row", "col")))
+
+    return whole(current, "a").join(whole(proposed, "b").hint("merge"), by)
+
+
+def _both(cells: str = "cell") -> Column:
+    """The cells of a and b in one list, with their side."""
+    tagged = lambda name, side: F.transform(name, lambda c: F.struct(F.lit(side).alias("side"), c.alias(cells)))
+    return F.concat(tagged("a", 0), tagged("b", 1))
 
 
 def _shape(cells: Column) -> Column:
@@ -63,12 +71,24 @@ def literal(cells: Column) -> Column:
 
 def variants(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFrame:
     """The merges, splits and header changes, as patches, that lead from current to proposed (grids of equal size)."""
-    current, proposed = plain(current, by), plain(proposed, by)
-    same = sizes(current, by).join(sizes(proposed, by), [*by, "n_rows", "n_cols"]).select(*by)
-    current, proposed = current.join(same, by, "left_semi"), proposed.join(same, by, "left_semi")
-    spans = [*by, F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("row_span")).alias("r1"), (F.col("col") + F.col("col_span")).alias("c1")]
-    areas = current.select(*spans).union(proposed.select(*spans)).distinct()
-    j = _tiles(areas, current, by, "before").join(_tiles(areas, proposed, by, "after"), [*by, *REGION])
+    same = _sides(plain(current, by), plain(proposed, by), by).filter("a_rows - b_rows = 0 and a_cols - b_cols = 0")
+    cells = same.select(*by, F.explode(_both()).alias("c")).select(*by, "c.side", "c.cell.*")
+    slots = _slots(cells, "row", "col", "(row + row_span)", "(col + col_span)").groupBy(*by, "y", "x").agg(F.collect_list(F.struct("side", F.struct(*CELL).alias("cell"))).alias("here"))
+    form = lambda c: F.struct(*(c["cell"][x] for x in (*CELL[:4], "is_header")))
+    h = F.col("here")
+    slots = slots.filter((F.size(h) != 2) | (h[0]["side"] == h[1]["side"]) | (form(h[0]) != form(h[1])))
+    # places to exchange are the cells that only one side has
+    alone = F.filter(h, lambda c: ~F.exists(h, lambda d: (d["side"] != c["side"]) & (form(d) == form(c))))
+    region = lambda c: F.struct(c["row"].alias("r0"), c["col"].alias("c0"), (c["row"] + c["row_span"]).alias("r1"), (c["col"] + c["col_span"]).alias("c1"))
+    met = slots.select(*by, "here", F.explode(F.array_distinct(F.transform(alone, lambda c: region(c["cell"])))).alias("at")).select(*by, "at.*", "here")
+    inside = lambda c: (c["row"] >= F.col("r0")) & (c["col"] >= F.col("c0")) & (c["row"] + c["row_span"] <= F.col("r1")) & (c["col"] + c["col_span"] <= F.col("c1"))
+    met = met.withColumn("here", F.filter("here", lambda c: inside(c["cell"])))
+    twice = lambda i: (F.size(F.filter("here", lambda c: c["side"] == i)) > 1).alias(f"twice{i}")
+    met = met.select(*by, *REGION, twice(0), twice(1), F.explode("here").alias("c"))
+    tiles = lambda i: F.sort_array(F.collect_set(F.when(F.col("c.side") == i, F.col("c.cell"))))
+    j = met.groupBy(*by, *REGION).agg(tiles(0).alias("before"), tiles(1).alias("after"), *(F.count_if(F.col("c.side") == i).alias(f"n{i}") for i in (0, 1)), *(F.max(f"twice{i}").alias(f"twice{i}") for i in (0, 1)))
+    area = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
+    j = j.filter((F.col("n0") == area) & (F.col("n1") == area) & ~F.col("twice0") & ~F.col("twice1"))
     j = j.filter(_shape(F.col("before")) != _shape(F.col("after")))
     n, m = F.size("before"), F.size("after")
     kind = F.when(m < n, "merge").when(m > n, "split").otherwise("header")
@@ -78,26 +98,19 @@ def variants(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFram
 def insertions(current: DataFrame, proposed: DataFrame, by: list[str], axis: str = "row") -> DataFrame:
     """The patch that inserts rows (or columns), for tables where one block of new bands explains all of the difference."""
     other = "col" if axis == "row" else "row"
-    current, proposed = plain(current, by), plain(proposed, by)
-    n, m = f"n_{axis}s", f"n_{other}s"
-    a, b = sizes(current, by), sizes(proposed, by)
-    grown = a.join(b.select(*by, F.col(n).alias("to"), F.col(m).alias("same")), by).filter(f"to > {n} and same = {m}")
-    straight = current.unionByName(proposed).groupBy(*by).agg(F.max(f"{axis}_span").alias("span")).filter("span = 1")
-    tables = grown.join(straight, by).select(*by, n, F.col(m).alias("breadth"))
-
-    def bands(df: DataFrame) -> DataFrame:
-        band = F.sort_array(F.collect_list(F.struct(other, f"{other}_span", "text", "is_header")))
-        g = df.join(tables.select(*by), by, "left_semi").groupBy(*by, F.col(axis).alias("at")).agg(F.sha2(F.to_json(band), 256).alias("band"), F.sort_array(F.collect_list(F.struct(*CELL))).alias("cells"))
-        return g.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(*by, "band")))
-
-    old, new = bands(current), bands(proposed)
-    pairs = old.filter("times = 1").select(*by, "band", F.col("at").alias("was")).join(new.filter("times = 1").select(*by, "band", "at"), [*by, "band"])
-    before = Window.partitionBy(*by).orderBy("was")
-    pairs = pairs.withColumn("falls", F.coalesce(F.lag("at").over(before) > F.col("at"), F.lit(False)))
-    kept = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("found"), F.count_if("falls").alias("falls"))
-    kept = kept.join(tables, by).filter((F.col("found") == F.col(n)) & (F.col("falls") == 0))
-    fresh = new.join(pairs.select(*by, "at"), [*by, "at"], "left_anti").join(kept.select(*by, "breadth"), by)
-    g = fresh.groupBy(*by, "breadth").agg(F.min("at").alias("first"), (F.max("at") + 1).alias("last"), F.count(F.lit(1)).alias("n"), F.flatten(F.sort_array(F.collect_list("cells"))).alias("after"))
+    tables = _sides(plain(current, by), plain(proposed, by), by)
+    tables = tables.filter(f"b_{axis}s > a_{axis}s and a_{other}s - b_{other}s = 0 and greatest(a_{axis}_span, b_{axis}_span) = 1")
+    own = [*by, F.col(f"a_{axis}s").alias("size"), F.col(f"b_{other}s").alias("breadth")]
+    cells = tables.select(*own, F.explode(_both()).alias("c")).select(*by, "size", "breadth", "c.side", "c.cell.*")
+    own = [*by, "size", "breadth"]
+    bands = cells.groupBy(*own, "side", F.col(axis).alias("at")).agg(F.sort_array(F.collect_list(F.struct(other, f"{other}_span", "text", "is_header"))).alias("band"), F.sort_array(F.collect_list(F.struct(*CELL))).alias("cells"))
+    here = lambda i, c: F.when(F.col("side") == i, c)
+    met = bands.groupBy(*own, "band").agg(F.count(here(0, F.lit(1))).alias("n0"), F.count(here(1, F.lit(1))).alias("n1"), F.min(here(0, F.col("at"))).alias("was"), F.min(here(1, F.col("at"))).alias("at"), F.collect_list(here(1, F.struct("at", "cells"))).alias("fresh"))
+    pair = (F.col("n0") == 1) & (F.col("n1") == 1)
+    kept = met.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(pair, F.struct("was", "at")))).alias("kept"), F.sort_array(F.flatten(F.collect_list(F.when(~pair, F.col("fresh"))))).alias("fresh"))
+    order = F.transform("kept", lambda x: x["at"])
+    kept = kept.filter((F.size("kept") == F.col("size")) & (order == F.array_sort(order)) & (F.size("fresh") > 0))
+    g = kept.select(*by, "breadth", F.col("fresh")[0]["at"].alias("first"), (F.element_at("fresh", -1)["at"] + 1).alias("last"), F.size("fresh").alias("n"), F.flatten(F.transform("fresh", lambda x: x["cells"])).alias("after"))
     g = g.filter("last - first = n")
     zero = F.lit(0)
     region = {"r0": F.col("first"), "c0": zero, "r1": F.col("last"), "c1": F.col("breadth")} if axis == "row" else {"r0": zero, "c0": F.col("first"), "r1": F.col("breadth"), "c1": F.col("last")}
@@ -122,8 +135,8 @@ def judged(cells: DataFrame, patches: DataFrame, by: list[str]) -> DataFrame:
     crowded = twice.groupBy(*by, *REGION).agg((F.max("n") > 1).alias("crowded"))
     have = cells.withColumn("here", F.struct(*CELL)).select(*by, "row", "col", "here")
     wanted = p.select(*by, *REGION, F.explode("before").alias("c")).select(*by, *REGION, F.col("c.row").alias("row"), F.col("c.col").alias("col"), "c")
-    fits = wanted.join(have, [*by, "row", "col"], "left").groupBy(*by, *REGION).agg(F.count_if(~F.col("c").eqNullSafe(F.col("here"))).alias("missing"))
-    out = p.join(crowded, [*by, *REGION], "left").join(fits, [*by, *REGION], "left")
+    fits = wanted.join(have.hint("merge"), [*by, "row", "col"], "left").groupBy(*by, *REGION).agg(F.count_if(~F.col("c").eqNullSafe(F.col("here"))).alias("missing"))
+    out = p.join(crowded.hint("merge"), [*by, *REGION], "left").join(fits.hint("merge"), [*by, *REGION], "left")
     outcome = (
         F.when(~F.col("conserved"), "not_conserved")
         .when(F.coalesce("crowded", F.lit(False)) | (F.col("shifted") & ~F.col("alone")), "overlapping")
@@ -138,9 +151,9 @@ def apply(cells: DataFrame, patches: DataFrame, by: list[str]) -> DataFrame:
     cells = plain(cells, by)
     done = written(judged(cells, patches, by).filter("outcome = 'applied'"), "patches")
     gone = done.select(*by, F.explode("before").alias("c")).select(*by, F.col("c.row").alias("row"), F.col("c.col").alias("col"))
-    kept = cells.join(gone, [*by, "row", "col"], "left_anti")
     moves = done.filter(F.col("kind").rlike("^(insert|delete)")).select(*by, "kind", F.col("r0").alias("_r0"), F.col("c0").alias("_c0"), (F.col("r1") - F.col("r0")).alias("_h"), (F.col("c1") - F.col("c0")).alias("_w"))
-    kept = kept.join(moves, by, "left")
+    # what lists hold is more than their files let Spark expect, so it would broadcast them
+    kept = cells.join(moves.hint("merge"), by, "left").join(gone.hint("merge"), [*by, "row", "col"], "left_anti")
     for axis, at, by_how in (("row", "_r0", "_h"), ("col", "_c0", "_w")):
         step = F.when(F.col("kind") == f"insert_{axis}s", F.col(by_how)).when(F.col("kind") == f"delete_{axis}s", -F.col(by_how))
         kept = kept.withColumn(axis, F.col(axis) + F.when(F.col(axis) >= F.col(at), F.coalesce(step, F.lit(0))).otherwise(0))

@@ -14,7 +14,8 @@ def anchors(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
         g = df.filter("text <> ''").groupBy(*by, "text").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias(f"row{p}"), F.min("col").alias(f"col{p}"))
         return g.filter("n = 1").drop("n")
 
-    return once(left, "").join(once(right, "_b"), [*by, "text"])
+    # as of all joins here: cells come out of lists, so Spark takes them for few and would broadcast them
+    return once(left, "").join(once(right, "_b").hint("merge"), [*by, "text"])
 
 
 def line_map(found: DataFrame, by: list[str], line: str, support: int) -> DataFrame:
@@ -30,16 +31,16 @@ def match_cells(left: DataFrame, right: DataFrame, by: list[str], support: int =
     """by, row, col, row_b, col_b, same: cells whose row and column both have a counterpart."""
     found = anchors(left, right, by)
     rows, cols = line_map(found, by, "row", support), line_map(found, by, "col", support)
-    j = left.join(rows, [*by, "row"]).join(cols, [*by, "col"])
+    j = left.join(rows.hint("merge"), [*by, "row"]).join(cols.hint("merge"), [*by, "col"])
     other = right.select(*by, F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("text").alias("text_b"))
-    return j.join(other, [*by, "row_b", "col_b"]).select(*by, "row", "col", "row_b", "col_b", (F.col("text") == F.col("text_b")).alias("same"))
+    return j.join(other.hint("merge"), [*by, "row_b", "col_b"]).select(*by, "row", "col", "row_b", "col_b", (F.col("text") == F.col("text_b")).alias("same"))
 
 
 def reliability(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Per table the share of its rows and columns that hold an anchor."""
     f = anchors(left, right, by).groupBy(*by).agg(F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"))
     all_ = left.groupBy(*by).agg(F.count_distinct("row").alias("all_rows"), F.count_distinct("col").alias("all_cols"))
-    j = all_.join(f, by, "left").fillna(0, ["rows", "cols"])
+    j = all_.join(f.hint("merge"), by, "left").fillna(0, ["rows", "cols"])
     return j.select(*by, (F.col("rows") / F.col("all_rows")).alias("row_share"), (F.col("cols") / F.col("all_cols")).alias("col_share"))
 
 

@@ -30,13 +30,17 @@ def flags(spark, d) -> tuple[DataFrame, DataFrame]:
     """A grid a order of its lines' return flags and suppliers; and one in which runs of a flag are one cell, which keeps all
     their texts unless the order's number is a multiple of three."""
     li = lines(spark, d)
-    current = unit(li, "ln", 0, "l_returnflag").unionByName(unit(li, "ln", 1, "CAST(l_suppkey AS STRING)"))
+    supplier = "CAST(l_suppkey AS STRING)"
+    current = li.select(*KEY, F.expr("ln AS row"), F.posexplode(F.array("l_returnflag", F.expr(supplier))).alias("col", "text"))
     w = Window.partitionBy("l_orderkey").orderBy("ln")
     runs = li.withColumn("new", F.coalesce((F.lag("l_returnflag").over(w) != F.col("l_returnflag")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(w)).groupBy("l_orderkey", "run", "l_returnflag").agg(F.min("ln").alias("first"), F.count(F.lit(1)).cast("int").alias("n"))
+    run = Window.partitionBy("l_orderkey", "run")
+    runs = runs.withColumn("run", F.sum("new").over(w)).withColumns({"first": F.min("ln").over(run), "n": F.count(F.lit(1)).over(run).cast("int")})
     text = "CASE WHEN l_orderkey % 3 = 0 THEN l_returnflag ELSE trim(repeat(concat(l_returnflag, ' '), n)) END"
-    proposed = unit(runs, "first", 0, text, "n").unionByName(unit(li, "ln", 1, "CAST(l_suppkey AS STRING)"))
-    return current, proposed
+    cell = "named_struct('col', {}, 'row_span', {}, 'text', {}, 'stands', {})"
+    proposed = runs.select(*KEY, F.expr("ln AS row"), F.explode(F.expr(f"array({cell.format(0, 'n', text, 'ln = first')}, {cell.format(1, 1, supplier, 'true')})")).alias("c")).filter("c.stands")
+    rest = ["1 AS col_span", "false AS is_header"]
+    return current.selectExpr(*KEY, "row", "col", "1 AS row_span", "text", *rest), proposed.selectExpr(*KEY, "row", "c.col", "c.row_span", "c.text", *rest)
 
 
 RUNS = f"""l AS ({LINES}), s AS (SELECT *, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY ln) = l_returnflag THEN 0 ELSE 1 END AS new FROM l),
@@ -66,11 +70,13 @@ def t06_grid(spark, d):
 
 @query("t07_inserted_rows", f"WITH l AS ({LINES}), u AS (SELECT l_orderkey FROM l GROUP BY 1 HAVING count(DISTINCT l_partkey) = count(*)) SELECT l_orderkey, 'insert_rows' AS kind, 1 AS r0, 2 AS r1, l_orderkey % 2 = 0 AS conserved FROM u")
 def t07_inserted(spark, d):
-    li = lines(spark, d)
-    current = unit(li, "ln", 0, "CAST(l_partkey AS STRING)")
-    fresh = li.filter("ln = 0")
+    li = lines(spark, d).withColumn("part", F.expr("CAST(l_partkey AS STRING)"))
     blank = "CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'total' END"
-    proposed = unit(li, "CASE WHEN ln = 0 THEN 0 ELSE ln + 1 END", 0, "CAST(l_partkey AS STRING)").unionByName(unit(fresh, "1", 0, blank))
+    own = "named_struct('row', {}, 'text', {})"
+    first = f"array({own.format('0L', 'part')}, {own.format('1L', blank)})"
+    shifted = li.select(*KEY, F.explode(F.expr(f"CASE WHEN ln = 0 THEN {first} ELSE array({own.format('ln + 1L', 'part')}) END")).alias("c"))
+    proposed = unit(shifted, "c.row", 0, "c.text")
+    current = unit(li, "ln", 0, "part")
     return grids.insertions(current, proposed, KEY).select(*KEY, "kind", "r0", "r1", "conserved")
 
 
