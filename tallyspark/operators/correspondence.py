@@ -31,7 +31,7 @@ NONE, LAST = -1, 1 << 62
 FOUND = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("row", "col", "row_b", "col_b")), T.StructField("outcome", T.StringType())]))
 
 
-def _meet(a: np.ndarray, b: np.ndarray, outer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def meet(a: np.ndarray, b: np.ndarray, outer: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) with a[i] == b[j]; with outer, also (i, NONE) for what meets nothing."""
     order = np.argsort(b, kind="stable")
     lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
@@ -112,7 +112,7 @@ class _Axis:
         most, ties = np.zeros(m, np.int64), np.zeros(m, np.int64)
         best = []
         for s, e in zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist(), strict=True):
-            i, j = _meet(key_a[s:e], key_b)
+            i, j = meet(key_a[s:e], key_b)
             x, y = self.a[mine[s:e][i]], self.b[theirs[j]]
             keep = (low[x] < y) & (y < high[x])
             pair, n = np.unique(x[keep] * m + y[keep], return_counts=True)
@@ -158,7 +158,7 @@ def matched(a: pa.Array, b: pa.Array, large: np.ndarray, support: int, rounds: i
     filled_a, filled_b = np.flatnonzero(vote_a >= 0), np.flatnonzero(vote_b >= 0)
     key_a, key_b = table_a[filled_a] * k + vote_a[filled_a], table_b[filled_b] * k + vote_b[filled_b]
     one_a, one_b = _once(key_a), _once(key_b)
-    i, j = _meet(key_a[one_a], key_b[one_b])
+    i, j = meet(key_a[one_a], key_b[one_b])
     i, j = filled_a[one_a[i]], filled_b[one_b[j]]
     bad = crossing(rows.a[i], rows.b[j]) | crossing(cols.a[i], cols.b[j])
     for axis in (rows, cols):
@@ -171,9 +171,9 @@ def matched(a: pa.Array, b: pa.Array, large: np.ndarray, support: int, rounds: i
     width, width_b = 1 + len(cols.to), 1 + len(cols.taken)
     y, x = rows.to[rows.a], cols.to[cols.a]
     placed = (y >= 0) & (x >= 0)
-    at, other = _meet(np.where(placed, y * width_b + x, NONE), rows.b * width_b + cols.b, outer=True)
+    at, other = meet(np.where(placed, y * width_b + x, NONE), rows.b * width_b + cols.b, outer=True)
     place = rows.a * width + cols.a
-    again, anchor = _meet(place[at], place[i], outer=True)
+    again, anchor = meet(place[at], place[i], outer=True)
     at, other = at[again], other[again]
     state = np.append(np.where(bad, 2, 1), 0)[anchor]
     there = np.unique(key_b)

@@ -9,19 +9,28 @@ A patch is a variant as a row: by, kind, r0, c0, r1, c1, before, after, conserve
 undoing it is the patch with before and after exchanged. Conserved: the texts of both sides in reading order are equal
 but for blanks; what an insertion adds must be blank.
 
-Both grids of a table meet in one row; then all is aggregates by slot (the unit squares of a grid) and by region in the
-partition where the table is. Patches are judged and applied by joins on places.
+Both grids of a table meet in one row; tasks then compare all tables of an Arrow batch at once, SLOTS slots (unit squares)
+of regions at a time. Patches are judged and applied by joins on places.
 Defined cases: a null text counts as ''; a cell that stands twice overlaps itself, so no region that it touches is a variant.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyspark.operators.correspondence import meet
 from tallyspark.session import written
 
 CELL = ["row", "col", "row_span", "col_span", "text", "is_header"]
+#: slots of regions that a task holds at once, about (a region whole)
+SLOTS = 2_000_000
 REGION = ["r0", "c0", "r1", "c1"]
 CELLS_TYPE = "array<struct<row:int,col:int,row_span:int,col_span:int,text:string,is_header:boolean>>"
 UNDONE = {"merge": "split", "split": "merge", "header": "header", "insert_rows": "delete_rows", "insert_cols": "delete_cols", "delete_rows": "insert_rows", "delete_cols": "insert_cols"}
@@ -43,21 +52,145 @@ def _slots(df: DataFrame, r0: str, c0: str, r1: str, c1: str) -> DataFrame:
     return df.withColumn("x", F.explode(F.expr(f"sequence({c0}, {c1} - 1)")))
 
 
-def _sides(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFrame:
-    """Both grids of a table in one row: a and b, lists of its cells, and its size in both. From here on all is grouped by
-    the table and more, so nothing is shuffled again (sizes are compared by their difference, as Spark would deal both
-    sides out by sizes that are said to be equal)."""
-
-    def whole(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.collect_list(F.struct(*CELL)).alias(name), *(F.max(F.col(x) + F.col(f"{x}_span")).alias(f"{name}_{x}s") for x in ("row", "col")), *(F.max(f"{x}_span").alias(f"{name}_{x}_span") for x in ("row", "col")))
-
-    return whole(current, "a").join(whole(proposed, "b").hint("merge"), by)
-
-
-def _both(cells: str = "cell") -> Column:
-    """The cells of a and b in one list, with their side."""
-    tagged = lambda name, side: F.transform(name, lambda c: F.struct(F.lit(side).alias("side"), c.alias(cells)))
-    return F.concat(tagged("a", 0), tagged("b", 1))
+def _number(*columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct row of the columns."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        low = int(c.min(initial=0))
+        out = np.unique(out * (int(c.max(initial=0)) - low + 1) + (c - low), return_inverse=True)[1]
+    return out
+
+
+def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place n times, and its count there from 0."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Grids:
+    """The cells of both grids of a batch's tables: the table, the side (0, 1) and the columns of each."""
+
+    def __init__(self, a: pa.Array, b: pa.Array):
+        n = [np.asarray(pc.list_value_length(x)) for x in (a, b)]
+        self.tables, self.cells = len(a), pa.concat_arrays([a.flatten(), b.flatten()])
+        self.table = np.concatenate([np.repeat(np.arange(len(x)), x) for x in n])
+        self.side = np.repeat([0, 1], [x.sum() for x in n])
+        *ints, text, header = self.cells.flatten()
+        self.row, self.col, self.row_span, self.col_span = (np.asarray(x).astype(np.int64) for x in ints)
+        text = text.dictionary_encode()
+        rank = np.empty(len(text.dictionary), np.int64)
+        rank[np.asarray(pc.sort_indices(text.dictionary))] = np.arange(len(rank))
+        self.text, self.header = rank[np.asarray(text.indices)], np.asarray(header.cast(pa.int8())).astype(np.int64)
+
+    def most(self, side: int, x: np.ndarray) -> np.ndarray:
+        """The largest x of each table on a side."""
+        out = np.zeros(self.tables, np.int64)
+        np.maximum.at(out, self.table[self.side == side], x[self.side == side])
+        return out
+
+    def ordered(self, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The order of cells `at` by what they belong to, then as Spark sorts them."""
+        return np.lexsort((*(x[at] for x in (self.header, self.text, self.col_span, self.row_span, self.col, self.row)), of))
+
+    def lists(self, of: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+        order = self.ordered(of, at)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(n + 1)), pa.int32()), self.cells.take(pa.array(at[order])))
+
+
+def _regions(g: _Grids) -> Iterator[tuple[np.ndarray, list[np.ndarray], pa.Array, pa.Array]]:
+    """(table, region, before, after) of the places that only one side has as a cell and cells of both tile, in pieces."""
+    bottom, right, size = g.row + g.row_span, g.col + g.col_span, g.row_span * g.col_span
+    same = (g.most(0, bottom) == g.most(1, bottom)) & (g.most(0, right) == g.most(1, right))
+    form = _number(g.table, g.row, g.col, g.row_span, g.col_span, g.header)
+    sides = [np.bincount(form[g.side == i], minlength=len(form)) > 0 for i in (0, 1)]
+    alone = np.flatnonzero(same[g.table] & ~(sides[0] & sides[1])[form])
+    alone = alone[np.unique(_number(*(x[alone] for x in (g.table, g.row, g.col, g.row_span, g.col_span))), return_index=True)[1]]
+    touched = np.isin(g.table, g.table[alone])
+    near = np.flatnonzero(touched)
+    part = np.cumsum(size[alone]) // SLOTS
+    for k in np.unique(part).tolist():
+        area = alone[part == k]
+        p, off = _expanded(size[area])
+        y, x = g.row[area][p] + off // g.col_span[area][p], g.col[area][p] + off % g.col_span[area][p]
+        place = _number(*(np.concatenate(v) for v in ((g.table[area][p], g.table[near]), (y, g.row[near]), (x, g.col[near]))))
+        i, j = meet(place[: len(p)], place[len(p) :])
+        at, cell = p[i], near[j]
+        inside = (bottom[cell] <= bottom[area][at]) & (right[cell] <= right[area][at])
+        at, cell = at[inside], cell[inside]
+        of = 2 * at + g.side[cell]
+        covered = np.bincount(of, size[cell], 2 * len(area)) == np.repeat(size[area], 2)
+        good = covered[::2] & covered[1::2]
+        at, cell, of = (v[good[at]] for v in (at, cell, of))
+        # as many slots as the region has: all of them, unless one is covered twice
+        q, off = _expanded(size[cell])
+        slot = _number(of[q], g.row[cell][q] + off // g.col_span[cell][q], g.col[cell][q] + off % g.col_span[cell][q])
+        good[at[q[np.bincount(slot, minlength=1)[slot] > 1]]] = False
+        keep = good[at]
+        at, cell = (np.cumsum(good) - 1)[at[keep]], cell[keep]
+        area = area[good]
+        lists = [g.lists(at[g.side[cell] == i], cell[g.side[cell] == i], len(area)) for i in (0, 1)]
+        yield g.table[area], [g.row[area], g.col[area], bottom[area], right[area]], *lists
+
+
+def _inserted(g: _Grids, axis: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(table, first, last, breadth, cells) of the bands by which the second side differs, where they stand together and
+    all bands of the first are found again in order."""
+    at, span, other, width = (g.row, g.row_span, g.col, g.col_span) if axis == "row" else (g.col, g.col_span, g.row, g.row_span)
+    size, breadth = ([g.most(i, x) for i in (0, 1)] for x in (at + span, other + width))
+    ok = (size[1] > size[0]) & (breadth[0] == breadth[1]) & (np.maximum(g.most(0, span), g.most(1, span)) == 1)
+    use = np.flatnonzero(ok[g.table])
+    band = _number(g.table[use], g.side[use], at[use])
+    what = _number(other[use], width[use], g.text[use], g.header[use])
+    order = np.lexsort((what, band))
+    use, what, band = use[order], what[order], band[order]
+    n = np.bincount(band)
+    start = np.cumsum(n) - n
+    same = n.copy()
+    for k in range(int(n.max(initial=0))):
+        more = np.flatnonzero(n > k)
+        same[more] = _number(same[more], what[start[more] + k])
+    table, side, at = g.table[use[start]], g.side[use[start]], at[use[start]]
+    like = _number(table, n, same)
+    times = [np.bincount(like[side == i], minlength=len(like)) for i in (0, 1)]
+    pair = ((times[0] == 1) & (times[1] == 1))[like]
+    there = np.zeros(len(like), np.int64)
+    there[like[pair & (side == 1)]] = at[pair & (side == 1)]
+    old = np.flatnonzero(pair & (side == 0))
+    old = old[np.lexsort((at[old], table[old]))]
+    found, to = table[old], there[like[old]]
+    ok &= np.bincount(found, minlength=g.tables) == size[0]
+    ok[found[1:][(found[1:] == found[:-1]) & (to[1:] < to[:-1])]] = False
+    fresh = ~pair & (side == 1)
+    first, last = np.full(g.tables, 1 << 62), np.zeros(g.tables, np.int64)
+    np.minimum.at(first, table[fresh], at[fresh])
+    np.maximum.at(last, table[fresh], at[fresh] + 1)
+    ok &= (last - first == np.bincount(table[fresh], minlength=g.tables)) & (last > 0)
+    good = np.flatnonzero(ok)
+    own = np.flatnonzero((fresh & ok[table])[band])
+    # band by band, within it as Spark sorts cells
+    of = _number(g.table[use[own]], at[band[own]])
+    order = g.ordered(of, use[own])
+    cells = use[own][order]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(g.table[cells], np.append(good, g.tables)), pa.int32()), g.cells.take(pa.array(cells)))
+    return good, first[good], last[good], breadth[1][good], lists
+
+
+def _by_table(current: DataFrame, proposed: DataFrame, by: list[str], columns: str, rows: Callable[[_Grids], Iterator[tuple]]) -> DataFrame:
+    """by, columns: what rows() yields for the tables of a batch (their numbers, then the columns). Both grids of a table
+    meet in one row."""
+    whole = lambda df, name: plain(df, by).groupBy(*by).agg(F.collect_list(F.struct(*CELL)).alias(name))
+    both = whole(current, "a").join(whole(proposed, "b").hint("merge"), by)
+    fields = T.StructType.fromDDL(columns).fields
+    schema = T.StructType([*(both.schema[c] for c in by), *fields])
+
+    def tables(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            *keys, a, b = batch.columns
+            for table, *found in rows(_Grids(a, b)):
+                own = [k.take(pa.array(table)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, *(x if isinstance(x, pa.Array) else pa.array(x, pa.int32()) for x in found)], names=[*by, *(f.name for f in fields)])
+
+    return both.mapInArrow(tables, schema)
 
 
 def _shape(cells: Column) -> Column:
@@ -71,24 +204,11 @@ def literal(cells: Column) -> Column:
 
 def variants(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFrame:
     """The merges, splits and header changes, as patches, that lead from current to proposed (grids of equal size)."""
-    same = _sides(plain(current, by), plain(proposed, by), by).filter("a_rows - b_rows = 0 and a_cols - b_cols = 0")
-    cells = same.select(*by, F.explode(_both()).alias("c")).select(*by, "c.side", "c.cell.*")
-    slots = _slots(cells, "row", "col", "(row + row_span)", "(col + col_span)").groupBy(*by, "y", "x").agg(F.collect_list(F.struct("side", F.struct(*CELL).alias("cell"))).alias("here"))
-    form = lambda c: F.struct(*(c["cell"][x] for x in (*CELL[:4], "is_header")))
-    h = F.col("here")
-    slots = slots.filter((F.size(h) != 2) | (h[0]["side"] == h[1]["side"]) | (form(h[0]) != form(h[1])))
-    # places to exchange are the cells that only one side has
-    alone = F.filter(h, lambda c: ~F.exists(h, lambda d: (d["side"] != c["side"]) & (form(d) == form(c))))
-    region = lambda c: F.struct(c["row"].alias("r0"), c["col"].alias("c0"), (c["row"] + c["row_span"]).alias("r1"), (c["col"] + c["col_span"]).alias("c1"))
-    met = slots.select(*by, "here", F.explode(F.array_distinct(F.transform(alone, lambda c: region(c["cell"])))).alias("at")).select(*by, "at.*", "here")
-    inside = lambda c: (c["row"] >= F.col("r0")) & (c["col"] >= F.col("c0")) & (c["row"] + c["row_span"] <= F.col("r1")) & (c["col"] + c["col_span"] <= F.col("c1"))
-    met = met.withColumn("here", F.filter("here", lambda c: inside(c["cell"])))
-    twice = lambda i: (F.size(F.filter("here", lambda c: c["side"] == i)) > 1).alias(f"twice{i}")
-    met = met.select(*by, *REGION, twice(0), twice(1), F.explode("here").alias("c"))
-    tiles = lambda i: F.sort_array(F.collect_set(F.when(F.col("c.side") == i, F.col("c.cell"))))
-    j = met.groupBy(*by, *REGION).agg(tiles(0).alias("before"), tiles(1).alias("after"), *(F.count_if(F.col("c.side") == i).alias(f"n{i}") for i in (0, 1)), *(F.max(f"twice{i}").alias(f"twice{i}") for i in (0, 1)))
-    area = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
-    j = j.filter((F.col("n0") == area) & (F.col("n1") == area) & ~F.col("twice0") & ~F.col("twice1"))
+    def rows(g: _Grids):
+        for table, region, before, after in _regions(g):
+            yield table, *region, before, after
+
+    j = _by_table(current, proposed, by, f"r0 int, c0 int, r1 int, c1 int, before {CELLS_TYPE}, after {CELLS_TYPE}", rows)
     j = j.filter(_shape(F.col("before")) != _shape(F.col("after")))
     n, m = F.size("before"), F.size("after")
     kind = F.when(m < n, "merge").when(m > n, "split").otherwise("header")
@@ -97,21 +217,7 @@ def variants(current: DataFrame, proposed: DataFrame, by: list[str]) -> DataFram
 
 def insertions(current: DataFrame, proposed: DataFrame, by: list[str], axis: str = "row") -> DataFrame:
     """The patch that inserts rows (or columns), for tables where one block of new bands explains all of the difference."""
-    other = "col" if axis == "row" else "row"
-    tables = _sides(plain(current, by), plain(proposed, by), by)
-    tables = tables.filter(f"b_{axis}s > a_{axis}s and a_{other}s - b_{other}s = 0 and greatest(a_{axis}_span, b_{axis}_span) = 1")
-    own = [*by, F.col(f"a_{axis}s").alias("size"), F.col(f"b_{other}s").alias("breadth")]
-    cells = tables.select(*own, F.explode(_both()).alias("c")).select(*by, "size", "breadth", "c.side", "c.cell.*")
-    own = [*by, "size", "breadth"]
-    bands = cells.groupBy(*own, "side", F.col(axis).alias("at")).agg(F.sort_array(F.collect_list(F.struct(other, f"{other}_span", "text", "is_header"))).alias("band"), F.sort_array(F.collect_list(F.struct(*CELL))).alias("cells"))
-    here = lambda i, c: F.when(F.col("side") == i, c)
-    met = bands.groupBy(*own, "band").agg(F.count(here(0, F.lit(1))).alias("n0"), F.count(here(1, F.lit(1))).alias("n1"), F.min(here(0, F.col("at"))).alias("was"), F.min(here(1, F.col("at"))).alias("at"), F.collect_list(here(1, F.struct("at", "cells"))).alias("fresh"))
-    pair = (F.col("n0") == 1) & (F.col("n1") == 1)
-    kept = met.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(pair, F.struct("was", "at")))).alias("kept"), F.sort_array(F.flatten(F.collect_list(F.when(~pair, F.col("fresh"))))).alias("fresh"))
-    order = F.transform("kept", lambda x: x["at"])
-    kept = kept.filter((F.size("kept") == F.col("size")) & (order == F.array_sort(order)) & (F.size("fresh") > 0))
-    g = kept.select(*by, "breadth", F.col("fresh")[0]["at"].alias("first"), (F.element_at("fresh", -1)["at"] + 1).alias("last"), F.size("fresh").alias("n"), F.flatten(F.transform("fresh", lambda x: x["cells"])).alias("after"))
-    g = g.filter("last - first = n")
+    g = _by_table(current, proposed, by, f"first int, last int, breadth int, after {CELLS_TYPE}", lambda g: [_inserted(g, axis)])
     zero = F.lit(0)
     region = {"r0": F.col("first"), "c0": zero, "r1": F.col("last"), "c1": F.col("breadth")} if axis == "row" else {"r0": zero, "c0": F.col("first"), "r1": F.col("breadth"), "c1": F.col("last")}
     none = F.array().cast(CELLS_TYPE)
