@@ -35,7 +35,14 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float, by: list[str] | No
         return df if by else df.repartition(tasks, "gx", "gy", "share")
 
     dealt = F.pmod(F.xxhash64("id", "gx", "gy"), F.lit(shares)).cast("int")
-    df = cells(left, "l_", dealt).join(cells(right, "r_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), [*by, "gx", "gy", "share"])
+    if by:
+        at = [*by, "gx", "gy", "share"]
+        own = lambda df, p: F.struct(*(f"{p}_{c}" for c in df.columns if c not in by)).alias(p)
+        sides = [cells(df, f"{p}_", F.lit(0)).select(*at, own(df, p)) for df, p in ((left, "l"), (right, "r"))]
+        met = sides[0].unionByName(sides[1], allowMissingColumns=True).groupBy(*at).agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+        df = met.select(*at, F.explode("l").alias("l"), "r").select(*at, "l", F.explode("r").alias("r")).select(*at, "l.*", "r.*")
+    else:
+        df = cells(left, "l_", dealt).join(cells(right, "r_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), ["gx", "gy", "share"])
     df = df.filter("l_x0 < r_x1 and r_x0 < l_x1 and l_y0 < r_y1 and r_y0 < l_y1")
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("gx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("gy"))
     area = (F.least("l_x1", "r_x1") - F.greatest("l_x0", "r_x0")) * (F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0"))
