@@ -60,7 +60,9 @@ def _moved(t: Column) -> Column:
 def parts(text: Column) -> Column:
     """struct<below, whole, after>: is it below zero, its digits before the point, and those after it, without padding
     zeros; of a plain() text."""
-    read = F.struct(text.startswith("-").alias("minus"), F.regexp_extract(text, r"^-?0*(\d*)", 1).alias("whole"), F.regexp_extract(text, r"\.(\d*?)0*$", 1).alias("after"))
+    whole = F.ltrim(F.substring_index(F.ltrim(text, F.lit("-")), ".", 1), F.lit("0"))
+    after = F.when(F.instr(text, ".") > 0, F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).when(text.isNotNull(), "")
+    read = F.struct(text.startswith("-").alias("minus"), whole.alias("whole"), after.alias("after"))
     return let(read, lambda x: F.struct((x["minus"] & ((x["whole"] != "") | (x["after"] != ""))).alias("below"), x["whole"].alias("whole"), x["after"].alias("after")))
 
 

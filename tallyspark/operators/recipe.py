@@ -83,7 +83,8 @@ def map_values(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
     return df.withColumn(column, F.when(c["kind"] == "text", with_cell(c, c["kind"], F.coalesce(lookup[c["value"]], c["value"]))).otherwise(c).alias(column, metadata=df.schema[column].metadata))
 
 
-#: a number with white space around it, without and with an exponent
+#: a number as plain_decimal() leaves it, one with white space around it, and one with an exponent
+BARE_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
 PLAIN_NUMBER = r"(?U)^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
 EXPONENT_NUMBER = r"(?U)^\s*[+-]?(\d+(\.\d*)?|\.\d+)[eE][+-]?\d+\s*$"
 
@@ -97,7 +98,7 @@ def plain_decimal(v: Column) -> Column:
     text = F.regexp_replace(v, r"(?U)^\s*\+?|\.?\s*$", "")
     text = F.regexp_replace(text, r"^(?<s>-?)0+(?=\d)", "${s}")
     text = F.regexp_replace(text, r"^(?<s>-?)\.", "${s}0.")
-    return F.when(v.rlike(PLAIN_NUMBER), text).when(v.rlike(EXPONENT_NUMBER), exact.plain(strip(v)))
+    return F.when(v.rlike(BARE_NUMBER), v).when(v.rlike(PLAIN_NUMBER), text).when(v.rlike(EXPONENT_NUMBER), exact.plain(strip(v)))
 
 
 #: fixed value: an ISO week date
@@ -152,20 +153,25 @@ def keep_compared(df: DataFrame, column: str, comparison: str, value_kind: str,
     """Typed comparison; cells of another kind (nulls, too) are left out with an error. between is inclusive. Decimals of
     any length are compared without rounding, by keys that sort as they do."""
     c = F.col(column)
-    fits = c["kind"].isin("decimal", "integer") if value_kind == "decimal" else c["kind"] == value_kind
+    kinds = c["kind"].isin("decimal", "integer") if value_kind == "decimal" else c["kind"] == value_kind
     if value_kind == "decimal":
-        v, bound = exact.order_key(exact.plain(c["value"])), lambda x: F.lit(exact.order_key_of(x))
-        fits = fits & v.isNotNull()
+        v, bound = exact.let(exact.plain(c["value"]), exact.order_key), lambda x: F.lit(exact.order_key_of(x))
     else:
         sql = {"date": "date", "text": "string"}[value_kind]
         v, bound = c["value"].try_cast(sql), lambda x: F.lit(x).cast(sql)
-    fits = F.coalesce(fits, F.lit(False))
     lo = bound(value)
-    test = {"gt": v > lo, "ge": v >= lo, "lt": v < lo, "le": v <= lo}.get(comparison)
-    if comparison == "between":
-        test = (v >= lo) & (v <= bound(upper))
-    errors = df.filter(~fits).select("row_id", "source_row", F.lit(column).alias("column"), F.lit("comparison_type_unknown").alias("code"), c["raw"].alias("raw"))
-    return df.filter(fits & test), errors
+
+    def judge(v: Column) -> Column:
+        fits = F.coalesce(kinds & v.isNotNull() if value_kind == "decimal" else kinds, F.lit(False))
+        test = {"gt": v > lo, "ge": v >= lo, "lt": v < lo, "le": v <= lo}.get(comparison)
+        if comparison == "between":
+            test = (v >= lo) & (v <= bound(upper))
+        return F.struct(fits.alias("fits"), (fits & test).alias("test"))
+
+    # exploded, as a filter would be pushed below the casts before it, which then are computed again for each of its parts
+    judged = df.withColumn("_fits", F.explode(F.array(exact.let(v, judge))))
+    errors = judged.filter("not _fits.fits").select("row_id", "source_row", F.lit(column).alias("column"), F.lit("comparison_type_unknown").alias("code"), c["raw"].alias("raw"))
+    return judged.filter("_fits.test").drop("_fits"), errors
 
 
 def key_of(columns: list[str]) -> list[Column]:
