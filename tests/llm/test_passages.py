@@ -201,3 +201,15 @@ def test_a_common_line_makes_no_pairs(spark):
     docs = spark.createDataFrame(rows, "id long, text string")
     _, seeds = P.missing_pairs(docs, spark.createDataFrame([], "id long, spans array<struct<s:int,e:int>>"), 8)
     assert {(r.a, r.b) for r in P.seed_pairs(seeds).collect()} == {(1000, 1001)}
+
+
+def test_texts_are_hashed_together_and_verbatim_ones_not_aligned(monkeypatch):
+    rng = random.Random(6)
+    texts = [text(rng, 120), "", "a b", text(rng, 5), text(rng, 60) * 2, None]
+    texts = [" ".join(t) if isinstance(t, list) else t for t in texts]
+    for got, t in zip(P.sequences(pa.array(texts)), texts, strict=True):
+        assert (got == P.sequence(pa.array([t], pa.string()))).all()
+    x, y = P.sequences(pa.array([texts[0], texts[0] + " " + texts[4]]))
+    monkeypatch.setattr(P, "nearest", None)  # only what isn't verbatim needs places
+    assert P.common_passages(x, y) == [(0, len(x), 0, len(x), 1.0)]
+    assert P.common_passages(y, x) == [(0, len(x), 0, len(x), 1.0)]
