@@ -213,3 +213,11 @@ def test_texts_are_hashed_together_and_verbatim_ones_not_aligned(monkeypatch):
     monkeypatch.setattr(P, "nearest", None)  # only what isn't verbatim needs places
     assert P.common_passages(x, y) == [(0, len(x), 0, len(x), 1.0)]
     assert P.common_passages(y, x) == [(0, len(x), 0, len(x), 1.0)]
+
+
+def test_nearest_smaller_values_of_long_runs():
+    rng = np.random.default_rng(7)
+    for x in (np.arange(500), np.arange(500)[::-1], np.append(np.arange(1, 500), 0), rng.permutation(500), np.zeros(0, np.int64)):
+        doc = np.sort(rng.integers(0, 4, len(x)))
+        want = [max((j for j in range(i) if doc[j] == doc[i] and x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert P.smaller_before(x, doc).tolist() == want
